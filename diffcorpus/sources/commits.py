@@ -15,10 +15,10 @@ ID_SHIFT = 40  # row index bits inside the row id: file ordinal << 40 | row inde
 def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id") -> DataFrame:
     """Add a unique BIGINT id in input order: (sorted file ordinal, row index in file).
 
-    The file list is what the driver already holds for planning the scan;
-    its ordinal table (one row per file) is broadcast.
+    The distinct file paths (one row per file, bounded by the listing the
+    driver plans the scan with) are numbered in path order and broadcast.
     """
-    files = sorted(df.inputFiles())
+    files = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
     ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord BIGINT, _file_path STRING")
     meta = df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
     return (
