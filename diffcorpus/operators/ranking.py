@@ -44,9 +44,16 @@ def bucket_offsets(df: DataFrame, key: str, digits: int = BUCKET_DIGITS) -> tupl
     return buckets, before, sum(sizes)
 
 
-def cut_points(df: DataFrame, key: str, tie: str, ranks: list[int], digits: int = BUCKET_DIGITS) -> list[tuple | None]:
-    """``(key, tie)`` of the row at each 0-based rank, ``None`` past the end."""
+def cut_points(
+    df: DataFrame, key: str, tie: str, ranks, digits: int = BUCKET_DIGITS
+) -> list[tuple | None]:
+    """``(key, tie)`` of the row at each 0-based rank, ``None`` past the end.
+
+    ``ranks`` is a list, or a function of the row count returning one.
+    """
     buckets, before, total = bucket_offsets(df, key, digits)
+    if callable(ranks):
+        ranks = ranks(total)
     wanted: dict[tuple[int, int], int] = {}
     for i, r in enumerate(ranks):
         if 0 <= r < total:

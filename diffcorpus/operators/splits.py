@@ -50,16 +50,19 @@ def split_random(
 ) -> DataFrame:
     """Exact ``int(n*train)`` / ``int(n*valid)`` / rest split in seeded order.
 
-    Two small jobs find the keys at the two cut ranks; the split itself is a
-    map-side comparison, so the rows are not shuffled.  ``df`` should be a
-    materialized table (it is scanned three times).
+    Two small jobs (bucket counts, then one window over the two target
+    buckets) find the keys at the cut ranks; the split itself is a map-side
+    comparison, so the rows are not shuffled.  ``df`` should be a
+    materialized table (it is scanned three times, ids only).
     """
     key = "_split_key"
     keyed = df.withColumn(key, ranking.seeded_key(order_col, cfg.seed))
-    n = keyed.count()
-    n_train = int(n * cfg.train_ratio)
-    n_valid = int(n * cfg.valid_ratio)
-    c1, c2 = ranking.cut_points(keyed, key, order_col, [n_train, n_train + n_valid])
+
+    def ranks(n: int) -> list[int]:
+        n_train = int(n * cfg.train_ratio)
+        return [n_train, n_train + int(n * cfg.valid_ratio)]
+
+    c1, c2 = ranking.cut_points(keyed, key, order_col, ranks)
     out = F.when(ranking.before_cut(key, order_col, c1), F.lit("train")).when(
         ranking.before_cut(key, order_col, c2), F.lit("valid")
     ).otherwise(F.lit("test"))

@@ -12,6 +12,9 @@ from ..functions.chat import parse_chat
 from ..operators import scoring, splits
 
 
+BROADCAST_IDS_MAX = 1_000_000  # 8 MB of ids
+
+
 @dataclass
 class Evaluation:
     scored: DataFrame
@@ -41,6 +44,10 @@ def evaluate(
     """
     sample = splits.sample_n(chat, cfg.eval_n, cfg.eval_seed, order_col)
     gold = gold_rows(sample, order_col).join(sample.select(order_col, "sample_pos"), order_col)
+    if cfg.eval_n <= BROADCAST_IDS_MAX:
+        # at most eval_n (id, position) pairs: filter the predictions map-side
+        ids = F.broadcast(sample.select(order_col))
+        predictions = predictions.join(ids, order_col, "left_semi")
     scored = scoring.score(scoring.pair(gold, predictions, order_col))
     by = [run_col] if run_col in predictions.columns else []
     return Evaluation(
