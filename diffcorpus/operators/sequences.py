@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,6 @@ def tokenizer_udf(encode: Callable[[list[str]], list[list[int]]]):
 
     Runs as an Arrow-batched pandas UDF; ``encode`` is built once per worker.
     """
-    import pandas as pd
-
     @F.pandas_udf(IDS)
     def _tok(s: pd.Series) -> pd.Series:
         return pd.Series(encode(s.tolist()))

@@ -49,17 +49,30 @@ def write_chat_jsonl(df: DataFrame, path: str, col: str = "messages", mode: str
     chat_json(df, col).write.mode(mode).text(path)
 
 
-def write_splits(df: DataFrame, path: str, col: str = "messages", split_col: str = "split", mode: str = "error") -> None:
-    """One directory per split (``split=train`` ...), written in one job."""
+def write_splits(
+    df: DataFrame,
+    path: str,
+    col: str = "messages",
+    split_col: str = "split",
+    mode: str = "error",
+    id_col: str | None = None,
+) -> None:
+    """One directory per split (``split=train`` ...), written in one job.
+
+    With ``id_col`` each line also carries the id (``{"row_id":…,"messages":[…]}``)
+    so held-out records can be paired with predictions later.
+    """
+    fields = ([F.col(id_col)] if id_col else []) + [F.col(col).alias("messages")]
     (
-        df.select(F.to_json(F.struct(F.col(col).alias("messages"))).alias("value"), F.col(split_col))
+        df.select(F.to_json(F.struct(*fields)).alias("value"), F.col(split_col))
         .write.mode(mode)
         .partitionBy(split_col)
         .text(path)
     )
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+def read_split(spark: SparkSession, path: str, split: str, id_col: str | None = None) -> DataFrame:
     """Read one split written by ``write_splits`` (partition pruning on ``split``)."""
-    schema = T.StructType(CHAT_SCHEMA.fields + [T.StructField("split", T.StringType())])
+    id_field = [T.StructField(id_col, T.LongType())] if id_col else []
+    schema = T.StructType(id_field + CHAT_SCHEMA.fields + [T.StructField("split", T.StringType())])
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path).where(F.col("split") == split)
