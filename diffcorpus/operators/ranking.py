@@ -1,16 +1,20 @@
 """Exact global ranks and cut points without a single-partition window.
 
-Rows are ordered by a seeded MD5 key (tie-break: the unique id).  The first
-hex digits of the key split the rows into ``16**digits`` uniform buckets; a
-tiny per-bucket count gives every bucket its rank offset.  Two uses:
+Rows are split into ordered buckets; a per-bucket count (a bounded table)
+gives every bucket its rank offset.  Two kinds of buckets:
 
-* ``cut_points``: the key at given ranks, found inside one bucket each, so a
-  split or sample becomes a map-side comparison and the wide rows never move;
+* seeded order ``md5('<seed>:<id>')``: the first hex digits of the key, so
+  ``16**digits`` uniform buckets whatever the data;
+* order by a unique numeric column: ranges between approximate quantiles
+  (one sketch pass), looked up with a balanced tree of comparisons.
+
+Uses:
+
+* ``cut_points``: the sort key at given ranks, found inside one bucket each,
+  so a split, sample or "first n" becomes a map-side comparison and the wide
+  rows never move;
 * ``global_rank``: an exact rank column (bucket offset + row number inside
   the bucket), shuffling rows by bucket only.
-
-The count table has at most ``16**digits`` rows whatever the data size, so
-collecting and broadcasting it is bounded.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 4
+RANGE_BUCKETS = 1024
 
 
 def seeded_key(order_col: Column | str, seed: int) -> Column:
@@ -29,79 +34,100 @@ def seeded_key(order_col: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def _bucket(key: Column, digits: int) -> Column:
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+def hex_bucket(key: str, digits: int = BUCKET_DIGITS) -> Column:
+    """Bucket of a hex key: its first ``digits`` hex digits as an int."""
+    return F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("int")
+
+
+def range_bucket(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, rel_err: float = 1e-4) -> Column:
+    """Ordered range bucket of a numeric column from approximate quantiles.
+
+    One sketch pass; ``buckets - 1`` bounds reach the driver.  Bucket ``i``
+    holds values in ``[bound[i-1], bound[i])``; the lookup is a balanced tree
+    of comparisons (``log2(buckets)`` per row).
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = sorted({b for b in df.approxQuantile(col, probs, rel_err) if b is not None})
+    c = F.col(col).cast("double")
+
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(c >= F.lit(float(bounds[mid - 1])), build(mid, hi)).otherwise(build(lo, mid - 1))
+
+    return build(0, len(bounds))
 
 
-def bucket_offsets(df: DataFrame, key: str, digits: int = BUCKET_DIGITS) -> tuple[list[int], list[int], int]:
+def bucket_offsets(df: DataFrame, bucket: Column) -> tuple[list[int], list[int], int]:
     """(buckets, rows before each bucket, total) from one aggregated pass."""
-    counts = sorted(
-        (r[0], r[1]) for r in df.groupBy(_bucket(F.col(key), digits).alias("b")).count().collect()
-    )
+    counts = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())
     buckets = [b for b, _ in counts]
     sizes = [n for _, n in counts]
     before = [0] + list(accumulate(sizes))[:-1]
     return buckets, before, sum(sizes)
 
 
-def cut_points(
-    df: DataFrame, key: str, tie: str, ranks, digits: int = BUCKET_DIGITS
-) -> list[tuple | None]:
-    """``(key, tie)`` of the row at each 0-based rank, ``None`` past the end.
+def _any(conds) -> Column:
+    out = F.lit(False)
+    for c in conds:
+        out = out | c
+    return out
+
+
+def cut_points(df: DataFrame, sort_cols: list[str], ranks, bucket: Column) -> list[tuple | None]:
+    """Sort-key tuple of the row at each 0-based rank, ``None`` past the end.
 
-    ``ranks`` is a list, or a function of the row count returning one.
+    ``sort_cols`` must order rows uniquely and ``bucket`` must be
+    non-decreasing in that order.  ``ranks`` is a list, or a function of the
+    row count returning one.
     """
-    buckets, before, total = bucket_offsets(df, key, digits)
+    buckets, before, total = bucket_offsets(df, bucket)
     if callable(ranks):
         ranks = ranks(total)
-    wanted: dict[tuple[int, int], int] = {}
+    wanted: dict[tuple[int, int], list[int]] = {}
     for i, r in enumerate(ranks):
         if 0 <= r < total:
-            j = max(k for k in range(len(buckets)) if before[k] <= r) if buckets else 0
-            wanted[(buckets[j], r - before[j] + 1)] = i
+            j = max(k for k in range(len(buckets)) if before[k] <= r)
+            wanted.setdefault((buckets[j], r - before[j] + 1), []).append(i)
     out: list[tuple | None] = [None] * len(ranks)
     if not wanted:
         return out
     target_buckets = sorted({b for b, _ in wanted})
-    w = Window.partitionBy("b").orderBy(key, tie)
+    w = Window.partitionBy("b").orderBy(*sort_cols)
     rows = (
-        df.select(F.col(key), F.col(tie), _bucket(F.col(key), digits).alias("b"))
+        df.select(*sort_cols, bucket.alias("b"))
         .where(F.col("b").isin(target_buckets))
         .withColumn("rn", F.row_number().over(w))
         .where(_any((F.col("b") == b) & (F.col("rn") == n) for b, n in wanted))
         .collect()
     )
     for r in rows:
-        out[wanted[(r["b"], r["rn"])]] = (r[key], r[tie])
-    for i, r in enumerate(ranks):  # same key/tie at several ranks
-        if out[i] is None and 0 <= r < total:
-            raise RuntimeError("cut point not found")
-    return out
-
-
-def _any(conds) -> Column:
-    out = F.lit(False)
-    for c in conds:
-        out = out | c
+        for i in wanted[(r["b"], r["rn"])]:
+            out[i] = tuple(r[c] for c in sort_cols)
     return out
 
 
-def before_cut(key: str, tie: str, cut: tuple | None) -> Column:
-    """True for rows strictly before the cut (all rows when ``cut`` is None)."""
+def before_cut(sort_cols: list[str], cut: tuple | None) -> Column:
+    """True for rows strictly before the cut in ``sort_cols`` order (all rows when ``cut`` is None)."""
     if cut is None:
         return F.lit(True)
-    k, t = cut
-    return (F.col(key) < F.lit(k)) | ((F.col(key) == F.lit(k)) & (F.col(tie) < F.lit(t)))
+    cond = F.lit(False)
+    for i in reversed(range(len(sort_cols))):
+        less = F.col(sort_cols[i]) < F.lit(cut[i])
+        cond = less if i == len(sort_cols) - 1 else (less | ((F.col(sort_cols[i]) == F.lit(cut[i])) & cond))
+    return cond
 
 
-def global_rank(df: DataFrame, key: str, tie: str, out: str = "rank", digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Add an exact 0-based rank in ``(key, tie)`` order."""
+def global_rank(df: DataFrame, sort_cols: list[str], bucket: Column, out: str = "rank") -> DataFrame:
+    """Add an exact 0-based rank in ``sort_cols`` order."""
     spark = df.sparkSession
-    buckets, before, _ = bucket_offsets(df, key, digits)
+    buckets, before, _ = bucket_offsets(df, bucket)
+    # one row per non-empty bucket: bounded by the bucket count
     offsets = spark.createDataFrame(list(zip(buckets, before)), "b INT, _offset BIGINT")
-    w = Window.partitionBy("b").orderBy(key, tie)
+    w = Window.partitionBy("b").orderBy(*sort_cols)
     return (
-        df.withColumn("b", _bucket(F.col(key), digits))
+        df.withColumn("b", bucket)
         .join(F.broadcast(offsets), "b")
         .withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
         .drop("b", "_offset")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranking
 
 
 def pair(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> DataFrame:
@@ -73,11 +74,22 @@ def eval_examples(
     )
 
 
-def eval_subset(df: DataFrame, n: int, order_col: str = "row_id") -> DataFrame:
-    """The first ``n`` rows in ``order_col`` order (top-k), with ``subset_pos``."""
-    picked = df.orderBy(order_col).limit(n)
-    # at most n rows: a window without partitioning is bounded here
-    return picked.withColumn("subset_pos", F.row_number().over(Window.orderBy(order_col)) - 1)
+def eval_subset(df: DataFrame, n: int, order_col: str = "row_id", topk_limit: int = 200_000) -> DataFrame:
+    """The first ``n`` rows in ``order_col`` order (unique), with 0-based ``subset_pos``.
+
+    Small ``n``: a top-k over the ids and a broadcast join back.  Large
+    ``n``: an exact cut in ``order_col`` order (range buckets) and a map-side
+    filter, then an exact rank among the picked rows.
+    """
+    if n <= topk_limit:
+        ids = df.select(order_col).orderBy(order_col).limit(n)
+        # at most n ids: an unpartitioned window is bounded here
+        ids = ids.withColumn("subset_pos", F.row_number().over(Window.orderBy(order_col)) - 1)
+        return df.join(F.broadcast(ids), order_col)
+    bucket = ranking.range_bucket(df, order_col)
+    (cut,) = ranking.cut_points(df, [order_col], [n], bucket)
+    picked = df.where(ranking.before_cut([order_col], cut))
+    return ranking.global_rank(picked, [order_col], bucket, "subset_pos")
 
 
 def peek(df: DataFrame, order_col: str = "row_id") -> DataFrame:

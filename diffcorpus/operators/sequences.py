@@ -64,7 +64,8 @@ def effective_pad_id(pad_id: int | None, eos_id: int | None) -> int:
 def seeded_rank(df: DataFrame, seed: int = 42, order_col: str = "row_id", out: str = "rank") -> DataFrame:
     """Exact rank in seeded shuffle order (the order a seeded sampler visits rows)."""
     key = "_rank_key"
-    return ranking.global_rank(df.withColumn(key, ranking.seeded_key(order_col, seed)), key, order_col, out).drop(key)
+    keyed = df.withColumn(key, ranking.seeded_key(order_col, seed))
+    return ranking.global_rank(keyed, [key, order_col], ranking.hex_bucket(key), out).drop(key)
 
 
 def pad_batches(df: DataFrame, batch_size: int, pad_id: int, rank_col: str = "rank") -> DataFrame:

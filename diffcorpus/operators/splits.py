@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CURATED_SPLITS, DEFAULT, SPLIT_NAMES, Config
 from . import ranking
 
+TOPK_IDS_MAX = 200_000  # ids kept by a top-k and broadcast back: ~3 MB
+
 
 def split_value_count(df: DataFrame, split_col: str = "split") -> DataFrame:
     """Distinct split values, null counted as one value (one row, one small aggregate)."""
@@ -62,10 +64,11 @@ def split_random(
         n_train = int(n * cfg.train_ratio)
         return [n_train, n_train + int(n * cfg.valid_ratio)]
 
-    c1, c2 = ranking.cut_points(keyed, key, order_col, ranks)
-    out = F.when(ranking.before_cut(key, order_col, c1), F.lit("train")).when(
-        ranking.before_cut(key, order_col, c2), F.lit("valid")
-    ).otherwise(F.lit("test"))
+    cols = [key, order_col]
+    c1, c2 = ranking.cut_points(keyed, cols, ranks, ranking.hex_bucket(key))
+    out = F.when(ranking.before_cut(cols, c1), F.lit("train")).when(ranking.before_cut(cols, c2), F.lit("valid")).otherwise(
+        F.lit("test")
+    )
     return keyed.withColumn(split_col, out).drop(key)
 
 
@@ -77,30 +80,26 @@ def split(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> Da
 
 
 def sample_n(
-    df: DataFrame, n: int, seed: int = 42, order_col: str = "row_id", topk_limit: int = 100_000
+    df: DataFrame, n: int, seed: int = 42, order_col: str = "row_id", topk_limit: int = TOPK_IDS_MAX
 ) -> DataFrame:
     """The first ``min(n, N)`` rows in seeded order, with their 0-based ``sample_pos``.
 
-    Small ``n`` is a top-k (``TakeOrderedAndProject``); large ``n`` is a cut
-    point and a map-side filter, so no task holds ``n`` rows.
+    Small ``n``: a top-k over (key, id) only, then a broadcast join back (at
+    most ``topk_limit`` ids).  Large ``n``: a cut point and a map-side
+    filter, then an exact rank among the picked rows.  No task ever holds
+    ``n`` wide rows.
     """
     key = "_sample_key"
+    cols = [key, order_col]
     keyed = df.withColumn(key, ranking.seeded_key(order_col, seed))
     if n <= topk_limit:
-        picked = keyed.orderBy(key, order_col).limit(n)
-        # at most n rows: one partition is bounded
-        return picked.withColumn(
-            "sample_pos", F.row_number().over(_order_window(key, order_col)) - 1
-        ).drop(key)
-    (cut,) = ranking.cut_points(keyed, key, order_col, [n])
-    picked = keyed.where(ranking.before_cut(key, order_col, cut))
-    return ranking.global_rank(picked, key, order_col, "sample_pos").drop(key)
-
-
-def _order_window(key: str, order_col: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(key, order_col)
+        ids = keyed.select(*cols).orderBy(*cols).limit(n)
+        # at most n slim rows: an unpartitioned window is bounded here
+        ids = ids.withColumn("sample_pos", F.row_number().over(Window.orderBy(*cols)) - 1).select(order_col, "sample_pos")
+        return keyed.join(F.broadcast(ids), order_col).drop(key)
+    (cut,) = ranking.cut_points(keyed, cols, [n], ranking.hex_bucket(key))
+    picked = keyed.where(ranking.before_cut(cols, cut))
+    return ranking.global_rank(picked, cols, ranking.hex_bucket(key), "sample_pos").drop(key)
 
 
 def split_values(df: DataFrame, split_col: str = "split") -> DataFrame:

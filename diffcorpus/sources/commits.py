@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 
 ID_SHIFT = 40  # row index bits inside the row id: file ordinal << 40 | row index
+BROADCAST_FILES_MAX = 500_000  # ~60 MB of paths; above it the ordinal table is shuffle-joined
 
 
 def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id") -> DataFrame:
@@ -20,9 +21,11 @@ def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id")
     """
     files = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
     ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord BIGINT, _file_path STRING")
+    if len(files) <= BROADCAST_FILES_MAX:
+        ordinals = F.broadcast(ordinals)
     meta = df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
     return (
-        meta.join(F.broadcast(ordinals), "_file_path")
+        meta.join(ordinals, "_file_path")
         .withColumn(out, F.shiftleft(F.col("_file_ord"), ID_SHIFT) + F.col("_row_index"))
         .drop("_file_path", "_row_index", "_file_ord")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01, one_col
 from diffcorpus.functions import text as T
-from diffcorpus.operators import curate, ranking, sequences, splits
+from diffcorpus.operators import curate, ranking, scoring, sequences, splits
 from diffcorpus.plans import prepare as P
 from diffcorpus.plans import sequences as S
 from diffcorpus.sources import driver_tables as dt
@@ -55,14 +55,32 @@ def test_random_split_exact_and_disjoint(spark):
 
 def test_global_rank_matches_single_sort(spark):
     df = spark.range(0, 3000).withColumnRenamed("id", "row_id").withColumn("k", ranking.seeded_key("row_id", 7))
-    got = {r.row_id: r.rank for r in ranking.global_rank(df, "k", "row_id").collect()}
+    b = ranking.hex_bucket("k")
+    got = {r.row_id: r.rank for r in ranking.global_rank(df, ["k", "row_id"], b).collect()}
     want = {rid: i for i, (k, rid) in enumerate(sorted((r.k, r.row_id) for r in df.collect()))}
     assert got == want
-    cuts = ranking.cut_points(df, "k", "row_id", [0, 1500, 2999, 3000])
+    cuts = ranking.cut_points(df, ["k", "row_id"], [0, 1500, 2999, 3000], b)
     order = sorted((r.k, r.row_id) for r in df.collect())
     assert cuts == [order[0], order[1500], order[2999], None]
 
 
+def test_range_bucket_rank_and_cut(spark):
+    ids = [i * i % 100_003 for i in range(1, 4000)]
+    df = spark.createDataFrame([(x,) for x in sorted(set(ids))], "row_id BIGINT").repartition(5)
+    b = ranking.range_bucket(df, "row_id", buckets=64)
+    got = {r.row_id: r.rank for r in ranking.global_rank(df, ["row_id"], b).collect()}
+    order = sorted(set(ids))
+    assert got == {v: i for i, v in enumerate(order)}
+    assert ranking.cut_points(df, ["row_id"], [0, 17, len(order)], b) == [(order[0],), (order[17],), None]
+
+
+def test_eval_subset_paths_agree(spark):
+    clean = curate.curate(dt.commits(spark, SF01))
+    a = {(r.row_id, r.subset_pos) for r in scoring.eval_subset(clean, 60).collect()}
+    b = {(r.row_id, r.subset_pos) for r in scoring.eval_subset(clean, 60, topk_limit=5).collect()}
+    assert a == b and len(a) == 60 and min(p for _, p in a) == 0
+
+
 def test_sample_paths_agree(spark):
     clean = curate.curate(dt.commits(spark, SF01))
     small = {(r.row_id, r.sample_pos) for r in splits.sample_n(clean, 50).collect()}
