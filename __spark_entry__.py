@@ -515,4 +515,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
-    return {k: v for k, v in sql.items() if k in QUERIES}
+    return {k: O.normalize_types(v) for k, v in sql.items() if k in QUERIES}
