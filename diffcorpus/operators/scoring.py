@@ -62,9 +62,10 @@ def eval_examples(
     is ever gathered into one task.
     """
     by = list(by or [])
-    best = scored.where("exact_match").withColumn("bucket", F.lit("best"))
-    worst = scored.where(~F.col("conventional")).withColumn("bucket", F.lit("worst"))
-    both = best.unionByName(worst)
+    buckets = F.array_compact(
+        F.array(F.when(F.col("exact_match"), F.lit("best")), F.when(~F.col("conventional"), F.lit("worst")))
+    )
+    both = scored.withColumn("bucket", F.explode(buckets))
     keys = by + ["bucket"]
     totals = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     w = Window.partitionBy(*keys).orderBy(order_col)

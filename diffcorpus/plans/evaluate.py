@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.chat import parse_chat
 from ..operators import scoring, splits
+from ..session import materialize
 
 
 BROADCAST_IDS_MAX = 1_000_000  # 8 MB of ids
@@ -49,6 +50,9 @@ def evaluate(
         ids = F.broadcast(sample.select(order_col))
         predictions = predictions.join(ids, order_col, "left_semi")
     scored = scoring.score(scoring.pair(gold, predictions, order_col))
+    if cfg.eval_n <= BROADCAST_IDS_MAX:
+        # at most eval_n rows per run: written once, read by the summary and the examples
+        scored = materialize(scored, "scored")
     by = [run_col] if run_col in predictions.columns else []
     return Evaluation(
         scored=scored,
