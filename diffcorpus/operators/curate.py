@@ -73,13 +73,48 @@ def first_copies(df: DataFrame, key: str, order_col: str) -> DataFrame:
     )
 
 
-def dedup_keep_first(df: DataFrame, key: str = "diff", order_col: str = "row_id") -> DataFrame:
+LOSERS_BROADCAST_MAX = 5_000_000  # duplicate ids broadcast to the scan: ~40 MB
+
+
+def dedup_keep_first(
+    df: DataFrame,
+    key: str = "diff",
+    order_col: str = "row_id",
+    strategy: str = "auto",
+    broadcast_max: int = LOSERS_BROADCAST_MAX,
+) -> DataFrame:
     """Exact dedup on ``key`` keeping the first row in ``order_col`` order.
 
-    ``order_col`` must be unique.  The wide rows are joined once on the
-    unique id (no skew); AQE broadcasts the id side when it is small.
+    ``order_col`` must be unique.  Only (hash, id) pairs are shuffled; the
+    per-hash ``min``/``count`` is combined map-side, so a key holding a third
+    of all rows never lands in one task.
+
+    * ``"shuffle"``: lazy; the wide rows are semi-joined with the first ids
+      on the unique id (one uniform shuffle of the wide rows).
+    * ``"auto"``: the (hash, id) pairs are written once; the exact number of
+      later copies is ``sum(count - 1)``.  When it is at most
+      ``broadcast_max``, their ids are found against the (as few) duplicate
+      groups and dropped from the scan with a broadcast anti-join, so the
+      wide rows never move; otherwise the shuffle path is used.
     """
-    return df.join(first_copies(df, key, order_col), order_col, "left_semi")
+    if strategy == "shuffle":
+        return df.join(first_copies(df, key, order_col), order_col, "left_semi")
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    from ..session import materialize
+
+    slim = materialize(df.select(content_hash(key).alias("_key_hash"), F.col(order_col)), "dedup-keys")
+    groups = slim.groupBy("_key_hash").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    losers = groups.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
+    if losers == 0:
+        return df
+    if losers <= broadcast_max:
+        dups = groups.where(F.col("_n") > 1).select("_key_hash", "_first")  # at most `losers` groups
+        loser_ids = (
+            slim.join(F.broadcast(dups), "_key_hash").where(F.col(order_col) != F.col("_first")).select(order_col)
+        )  # exactly `losers` ids
+        return df.join(F.broadcast(loser_ids), order_col, "left_anti")
+    return df.join(groups.select(F.col("_first").alias(order_col)), order_col, "left_semi")
 
 
 def filter_funnel(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> DataFrame:

@@ -49,6 +49,8 @@ def test_hot_key_dedup_and_funnel(spark):
     base = dt.commits(spark, SF01)
     hot = base.withColumn("diff", F.when(F.col("row_id") % 3 == 0, F.lit("x" * 50)).otherwise(F.col("diff")))
     out = curate.dedup_keep_first(curate.basic_filters(hot))
+    out_shuffle = curate.dedup_keep_first(curate.basic_filters(hot), strategy="shuffle")
+    assert {r.row_id for r in out.collect()} == {r.row_id for r in out_shuffle.collect()}
     kept = {r.row_id for r in out.where(F.col("diff") == "x" * 50).collect()}
     first_hot = curate.basic_filters(hot).where(F.col("diff") == "x" * 50).agg(F.min("row_id")).first()[0]
     assert kept == {first_hot}

@@ -20,11 +20,23 @@ def test_curate_is_native_and_pruned(spark):
 
 
 def test_dedup_aggregates_hashes_not_text(spark):
-    df = curate.dedup_keep_first(curate.basic_filters(dt.commits(spark, SF01)))
+    df = curate.dedup_keep_first(curate.basic_filters(dt.commits(spark, SF01)), strategy="shuffle")
     p = plan(df)
     assert "sha2" in p and "HashAggregate" in p and "SortAggregate" not in p
 
 
+def test_dedup_auto_keeps_wide_rows_in_place(spark):
+    base = curate.basic_filters(dt.commits(spark, SF01))
+    auto = curate.dedup_keep_first(base)
+    p = plan(auto)
+    assert "LeftAnti" in p and "BroadcastExchange" in p
+    wide_side = p.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in wide_side
+    fallback = curate.dedup_keep_first(base, broadcast_max=0)
+    assert {r.row_id for r in auto.collect()} == {r.row_id for r in fallback.collect()}
+    assert len({r.row_id for r in auto.collect()}) == 709
+
+
 def test_top_k_operators(spark):
     clean = curate.curate(dt.commits(spark, SF01))
     assert "TakeOrderedAndProject" in plan(clean.orderBy("row_id").limit(5)) or "TakeOrdered" in plan(
