@@ -26,7 +26,6 @@ from diffcorpus.plans import prepare as P  # noqa: E402
 from diffcorpus.plans import sequences as S  # noqa: E402
 from diffcorpus.sources import commits as SC  # noqa: E402
 from diffcorpus.sources import driver_tables as dt  # noqa: E402
-from diffcorpus.sources.chat_jsonl import chat_json  # noqa: E402
 from diffcorpus.streaming.curate import stream_curate  # noqa: E402
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"

@@ -58,5 +58,27 @@ def evaluate(
         scored=scored,
         summary=scoring.eval_summary(scored, by),
         examples=scoring.eval_examples(scored, cfg.examples_k, "sample_pos", by, cfg.preview_len),
-        missing=scoring.missing_predictions(gold, predictions.select(order_col).distinct(), order_col),
+        missing=_missing_per_run(gold.select(order_col), predictions, order_col, run_col),
     )
+
+
+def _missing_per_run(gold_ids: DataFrame, predictions: DataFrame, order_col: str, run_col: str) -> DataFrame:
+    """``(run_id, row_id)`` of sampled gold rows a run has no prediction for.
+
+    One anti-join per run id (runs are few: base / tuned / checkpoints).
+    """
+    if run_col not in predictions.columns:
+        return scoring.missing_predictions(gold_ids, predictions, order_col).withColumn(run_col, F.lit(None).cast("string"))
+    runs = sorted(r[0] for r in predictions.select(run_col).distinct().collect())
+    parts = [
+        scoring.missing_predictions(gold_ids, predictions.where(F.col(run_col) == run), order_col).withColumn(
+            run_col, F.lit(run)
+        )
+        for run in runs
+    ]
+    if not parts:
+        return gold_ids.withColumn(run_col, F.lit(None).cast("string"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(run_col, order_col)

@@ -6,7 +6,6 @@ Dedup and the random split need the whole table and are batch-only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.chat import chat_example

@@ -66,3 +66,7 @@ def test_evaluate_plan(spark):
     assert got == {"base": (7, 5, 0), "tuned": (6, 3, 1)}
     ex = ev.examples.collect()
     assert all(r.pos <= 5 for r in ex)
+    assert {(r.run_id, r.row_id) for r in ev.missing.collect()} == {
+        (r.run_id, r.row_id) for r in ev.scored.where("false").collect()
+    } | {("tuned", rid) for rid in {r.row_id for r in ev.scored.where("run_id = 'base'").collect()}
+         - {r.row_id for r in ev.scored.where("run_id = 'tuned'").collect()}}
