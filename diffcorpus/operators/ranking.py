@@ -119,16 +119,23 @@ def before_cut(sort_cols: list[str], cut: tuple | None) -> Column:
     return cond
 
 
-def global_rank(df: DataFrame, sort_cols: list[str], bucket: Column, out: str = "rank") -> DataFrame:
-    """Add an exact 0-based rank in ``sort_cols`` order."""
+def global_rank(
+    df: DataFrame, sort_cols: list[str], bucket: Column, out: str = "rank", keep_bucket: bool = False
+) -> DataFrame:
+    """Add an exact 0-based rank in ``sort_cols`` order.
+
+    With ``keep_bucket`` the result keeps ``_b`` (its partitioning key),
+    ``_offset`` (rank of the bucket's first row) and ``_bucket_rows``.
+    """
     spark = df.sparkSession
-    buckets, before, _ = bucket_offsets(df, bucket)
+    buckets, before, total = bucket_offsets(df, bucket)
+    sizes = [b - a for a, b in zip(before, before[1:] + [total])]
     # one row per non-empty bucket: bounded by the bucket count
-    offsets = spark.createDataFrame(list(zip(buckets, before)), "b INT, _offset BIGINT")
-    w = Window.partitionBy("b").orderBy(*sort_cols)
-    return (
-        df.withColumn("b", bucket)
-        .join(F.broadcast(offsets), "b")
+    offsets = spark.createDataFrame(list(zip(buckets, before, sizes)), "_b INT, _offset BIGINT, _bucket_rows BIGINT")
+    w = Window.partitionBy("_b").orderBy(*sort_cols)
+    ranked = (
+        df.withColumn("_b", bucket)
+        .join(F.broadcast(offsets), "_b")
         .withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
-        .drop("b", "_offset")
     )
+    return ranked if keep_bucket else ranked.drop("_b", "_offset", "_bucket_rows")

@@ -61,31 +61,46 @@ def effective_pad_id(pad_id: int | None, eos_id: int | None) -> int:
     return out
 
 
-def seeded_rank(df: DataFrame, seed: int = 42, order_col: str = "row_id", out: str = "rank") -> DataFrame:
+def seeded_rank(
+    df: DataFrame,
+    seed: int = 42,
+    order_col: str = "row_id",
+    out: str = "rank",
+    keep_bucket: bool = False,
+    digits: int = ranking.BUCKET_DIGITS,
+) -> DataFrame:
     """Exact rank in seeded shuffle order (the order a seeded sampler visits rows)."""
     key = "_rank_key"
     keyed = df.withColumn(key, ranking.seeded_key(order_col, seed))
-    return ranking.global_rank(keyed, [key, order_col], ranking.hex_bucket(key), out).drop(key)
+    return ranking.global_rank(keyed, [key, order_col], ranking.hex_bucket(key, digits), out, keep_bucket).drop(key)
+
+
+def pad_arrays(df: DataFrame, width: Column) -> DataFrame:
+    """Right-pad ``input_ids`` / ``attention_mask`` / ``labels`` to ``width`` (uses ``pad_id`` column ``_pad_id``)."""
+    n = F.size("input_ids")
+    padded = df.withColumn("_pad", width - n)
+
+    def pad(col: str, value: Column) -> Column:
+        return F.concat(F.col(col), F.array_repeat(value, F.col("_pad")))
+
+    return (
+        padded.withColumn("input_ids", pad("input_ids", F.col("_pad_id")))
+        .withColumn("attention_mask", pad("attention_mask", F.lit(0)))
+        .withColumn("labels", pad("labels", F.lit(IGNORE_LABEL)))
+        .drop("_pad", "_pad_id")
+    )
 
 
 def pad_batches(df: DataFrame, batch_size: int, pad_id: int, rank_col: str = "rank") -> DataFrame:
     """Q5: ``batch_id = rank div batch_size``; right-pad the three arrays to the batch maximum.
 
-    ids pad with ``pad_id``, the mask with 0, labels with -100.  Batches are
-    ``batch_size`` rows at most, so the per-batch window is bounded.
+    ids pad with ``pad_id``, the mask with 0, labels with -100.  The batch
+    maximum is a window per batch (at most ``batch_size`` rows each).
+    ``plans.sequences.build_sequences`` uses a variant that needs no
+    second shuffle.
     """
     batched = df.withColumn("batch_id", F.floor(F.col(rank_col) / batch_size).cast("long")).withColumn(
         "pos", (F.col(rank_col) % batch_size).cast("int")
     )
-    mx = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
-    batched = batched.withColumn("_pad", mx - F.size("input_ids"))
-
-    def padded(col: str, value: int) -> Column:
-        return F.concat(F.col(col), F.array_repeat(F.lit(value), F.col("_pad")))
-
-    return (
-        batched.withColumn("input_ids", padded("input_ids", pad_id))
-        .withColumn("attention_mask", padded("attention_mask", 0))
-        .withColumn("labels", padded("labels", IGNORE_LABEL))
-        .drop("_pad")
-    )
+    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    return pad_arrays(batched.withColumn("_pad_id", F.lit(pad_id)), width)

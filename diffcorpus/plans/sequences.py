@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.chat import CHATML, ChatTemplate, prompt_messages, render_chat
-from ..operators import scoring, sequences
+from ..operators import ranking, scoring, sequences
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,68 @@ def tokenized(
     )
 
 
+def seeded_batches(
+    chat: DataFrame,
+    cfg: Config = DEFAULT,
+    template: ChatTemplate = CHATML,
+    tokenizer=CodepointTokenizer(),
+    order_col: str = "row_id",
+    digits: int = ranking.BUCKET_DIGITS,
+) -> DataFrame:
+    """Training batches in seeded order, padded, with one shuffle of the rows.
+
+    The sequence length ``least(count(full text), max_seq_length)`` is known
+    before tokenizing, so the rows are shuffled once (by rank bucket) and
+    tokenized after it.  The batch maximum is taken inside each bucket;
+    batches that cross a bucket boundary consist of the first or last
+    ``batch_size - 1`` rows of their buckets, found by a per-bucket top-k
+    (partial limit before its shuffle), so their fix-up table holds at most
+    two rows per bucket and is broadcast.
+    """
+    size = cfg.batch_size
+    key = "_rank_key"
+    full = render_chat("messages", template, add_generation_prompt=False)
+    keyed = chat.withColumn(key, ranking.seeded_key(order_col, cfg.seed)).withColumn(
+        "_len", F.least(tokenizer.count(full), F.lit(cfg.max_seq_length))
+    )
+    bucket = ranking.hex_bucket(key, digits)
+    buckets, before, total = ranking.bucket_offsets(keyed, bucket)
+    rows = [b - a for a, b in zip(before, before[1:] + [total])]
+    # one row per non-empty bucket: bounded by 16**digits
+    offsets = F.broadcast(
+        chat.sparkSession.createDataFrame(list(zip(buckets, before, rows)), "_b INT, _offset BIGINT, _rows BIGINT")
+    )
+    asc = Window.partitionBy("_b").orderBy(key, order_col)
+    off, nrows = F.col("_offset"), F.col("_rows")
+    batch = F.floor(F.col("rank") / size).cast("long")
+    crossing = ((F.col("batch_id") == F.floor(off / size)) & (off % size != 0)) | (
+        (F.col("batch_id") == F.floor((off + nrows - 1) / size)) & ((off + nrows) % size != 0)
+    )
+    slim = keyed.select(bucket.alias("_b"), key, order_col, "_len").join(offsets, "_b")
+    if size > 1:
+        desc = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(order_col).desc())
+        head = slim.withColumn("_rn", F.row_number().over(asc)).where(F.col("_rn") <= size - 1)
+        tail = slim.withColumn("_rn", F.row_number().over(desc)).where(F.col("_rn") <= size - 1)
+        edges = head.withColumn("rank", off + F.col("_rn") - 1).unionByName(
+            tail.withColumn("rank", off + nrows - F.col("_rn"))
+        )
+        fix = edges.withColumn("batch_id", batch).where(crossing).groupBy("batch_id").agg(F.max("_len").alias("_edge_max"))
+    else:
+        fix = slim.sparkSession.createDataFrame([], "batch_id BIGINT, _edge_max INT")
+    ranked = (
+        keyed.withColumn("_b", bucket)
+        .join(offsets, "_b")
+        .withColumn("rank", off + F.row_number().over(asc) - 1)
+        .withColumn("batch_id", batch)
+        .withColumn("pos", (F.col("rank") % size).cast("int"))
+    )
+    local = F.max("_len").over(Window.partitionBy("_b", "batch_id"))
+    ranked = ranked.join(F.broadcast(fix), "batch_id", "left").withColumn("_width", F.coalesce("_edge_max", local))
+    toks = tokenized(ranked.drop(key, "_b", "_offset", "_rows", "_edge_max"), cfg, template, tokenizer)
+    pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
+    return sequences.pad_arrays(toks.withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width", "_len", "rank")
+
+
 def build_sequences(
     chat: DataFrame,
     cfg: Config = DEFAULT,
@@ -54,15 +116,8 @@ def build_sequences(
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
     train = chat.where(F.col("split") == "train")
     valid = chat.where(F.col("split") == "valid")
-    train_ranked = sequences.seeded_rank(train, cfg.seed, order_col, "rank")
+    cols = ["dataset", order_col, "batch_id", "pos", "input_ids", "attention_mask", "labels"]
+    train_out = seeded_batches(train, cfg, template, tokenizer, order_col).withColumn("dataset", F.lit("train"))
     subset = scoring.eval_subset(valid, cfg.val_batches * cfg.batch_size, order_col).withColumnRenamed("subset_pos", "rank")
-    out = []
-    for name, df in (("train", train_ranked), ("eval", subset)):
-        toks = tokenized(df, cfg, template, tokenizer)
-        padded = sequences.pad_batches(toks, cfg.batch_size, pad, "rank")
-        out.append(
-            padded.select(
-                F.lit(name).alias("dataset"), order_col, "batch_id", "pos", "input_ids", "attention_mask", "labels"
-            )
-        )
-    return out[0].unionByName(out[1])
+    eval_out = sequences.pad_batches(tokenized(subset, cfg, template, tokenizer), cfg.batch_size, pad, "rank")
+    return train_out.select(*cols).unionByName(eval_out.withColumn("dataset", F.lit("eval")).select(*cols))

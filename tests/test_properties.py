@@ -128,3 +128,27 @@ def test_partitioning_invariance(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b and len(a) == 383
     assert c == d and len(c) == 428
+
+
+def test_seeded_batches_equal_window_padding(spark):
+    from diffcorpus.config import DEFAULT
+    import dataclasses
+
+    prepared = P.prepare(dt.commits(spark, SF01)).where(F.col("split") == "train")
+    cols = ["row_id", "batch_id", "pos", "input_ids", "attention_mask", "labels"]
+    for digits in (1, 2, 4):
+        for size in (1, 2, 3, 7):
+            cfg = dataclasses.replace(DEFAULT, batch_size=size, max_seq_length=700)
+            fast = S.seeded_batches(prepared, cfg, digits=digits)
+            ranked = sequences.seeded_rank(prepared, cfg.seed)
+            slow = sequences.pad_batches(S.tokenized(ranked, cfg), size, 3)
+            assert sorted(map(tuple, fast.select(*cols).collect())) == sorted(map(tuple, slow.select(*cols).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = S.seeded_batches(prepared, DEFAULT, digits=1)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    feeds = [lines[i + 1] for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln]
+    wide = [f for f in feeds if "messages" in f]
+    assert len(wide) == 1  # the rows move once (rank buckets)
+    assert all("WindowGroupLimit" in f or "partial_max" in f for f in feeds if f not in wide)
