@@ -67,13 +67,6 @@ def _structured(spark, sf):
     return dt.structured_commits(spark, sf)
 
 
-def _stub_generator():
-    def fn(prompts):
-        return [f"  chore: update {len(p[-1]['content'])} chars\n" for p in prompts]
-
-    return fn
-
-
 # --- queries -----------------------------------------------------------------
 
 def q_read_commits(spark, sf):
@@ -314,9 +307,17 @@ def q_build_sequences(spark, sf):
 
 
 def q_generate_stub(spark, sf):
+    """U1 with a stand-in model: the reply names the prompt length (a real model is the user's)."""
+
+    def stub_generator():
+        def fn(prompts):
+            return [f"  chore: update {len(p[-1]['content'])} chars\n" for p in prompts]
+
+        return fn
+
     test = _prepared(spark, sf).where(F.col("split") == "test")
     prompts = test.select("row_id", C.prompt_messages("messages").alias("messages"))
-    return generation.generate(prompts, _stub_generator).select("row_id", "prediction")
+    return generation.generate(prompts, stub_generator).select("row_id", "prediction")
 
 
 def q_stream_curate(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import sysconfig
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -10,6 +13,26 @@ from pyspark.sql import types as T
 Generator = Callable[[list[list[dict]]], list[str]]
 
 
+def ship_by_value(fn) -> None:
+    """Let Python workers rebuild ``fn`` without importing its module.
+
+    Functions from modules outside the installed packages (a script, a
+    notebook helper, this repository when not installed) are pickled by
+    value, so workers do not need the driver's working directory on their
+    path.  Cluster deployments may still ship the package with ``--py-files``.
+    """
+    name = getattr(fn, "__module__", None)
+    mod = sys.modules.get(name or "")
+    if mod is None or name == "__main__" or not getattr(mod, "__file__", None):
+        return
+    installed = {os.path.realpath(p) for p in (sysconfig.get_paths().get("purelib"), sysconfig.get_paths().get("platlib")) if p}
+    if any(os.path.realpath(mod.__file__).startswith(p + os.sep) for p in installed):
+        return
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(mod)
+
+
 def generate(
     df: DataFrame,
     make_fn: Callable[[], Generator],
@@ -25,6 +48,7 @@ def generate(
     ``batch_rows``.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+    ship_by_value(make_fn)
 
     def run(batches: Iterator) -> Iterator:
         fn = make_fn()

@@ -27,6 +27,10 @@ def tokenizer_udf(encode: Callable[[list[str]], list[list[int]]]):
 
     Runs as an Arrow-batched pandas UDF; ``encode`` is built once per worker.
     """
+    from .generation import ship_by_value
+
+    ship_by_value(encode)
+
     @F.pandas_udf(IDS)
     def _tok(s: pd.Series) -> pd.Series:
         return pd.Series(encode(s.tolist()))

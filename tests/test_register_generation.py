@@ -56,3 +56,26 @@ def test_generate_hook_strips_and_keeps_rows(spark):
     rows = out.select("row_id", "prediction").collect()
     assert len(rows) == df.count()
     assert {r.prediction for r in rows} == {"feat: n=2"}
+
+
+def test_python_workers_do_not_need_repo_on_path(tmp_dir):
+    """Generation and tokenizer hooks run from a working directory outside the repository."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as E
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+n = E.queries()["generate_stub"](spark, "/root/testdata/sf0.001").count()
+from diffcorpus.operators import sequences
+tok = sequences.tokenizer_udf(lambda texts: [[len(w) for w in t.split()] for t in texts])
+ids = spark.createDataFrame([("a bb",)], "s STRING").select(tok("s")).first()[0]
+print("RESULT", n, ids)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=600)
+    assert "RESULT 7 [1, 2]" in out.stdout, out.stderr[-2000:]
