@@ -354,7 +354,7 @@ ctx AS (
     PARTITION BY conv_id, epoch ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hist
   FROM kept
 )
-SELECT conv_id, turn, to_json(list_concat([{O.msg('system', O.q(O.SYSTEM_PROMPT))}], hist)) AS messages
+SELECT conv_id, turn, CAST(to_json(list_concat([{O.msg('system', O.q(O.SYSTEM_PROMPT))}], hist)) AS VARCHAR) AS messages
 FROM ctx WHERE role = 'user'"""
     sample = f"""sampled AS (
   SELECT row_id, row_number() OVER (ORDER BY {O.seeded('row_id')}, row_id) - 1 AS sample_pos
@@ -406,11 +406,11 @@ padded AS (
         "norm_match": f"{W(c)}\nSELECT row_id, {O.norm('message')} AS normalized FROM commits",
         "format_commit": f"{W('structured_commits')}\nSELECT row_id, {O.format_commit('type', 'scope', 'description')} AS formatted FROM structured_commits",
         "diff_preview": f"{W(c)}\nSELECT row_id, {O.preview('diff')} AS diff_preview FROM commits",
-        "chat_jsonl": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, to_json({{'messages': {chat_q}}}) AS value FROM prepared",
-        "chat_examples": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, to_json({chat_q}) AS messages FROM clean",
-        "inference_messages": f"{W(c)}\nSELECT row_id, to_json({O.inference('diff')}) AS messages FROM commits WHERE diff IS NOT NULL",
+        "chat_jsonl": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, CAST(to_json({{'messages': {chat_q}}}) AS VARCHAR) AS value FROM prepared",
+        "chat_examples": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM clean",
+        "inference_messages": f"{W(c)}\nSELECT row_id, CAST(to_json({O.inference('diff')}) AS VARCHAR) AS messages FROM commits WHERE diff IS NOT NULL",
         "parse_chat": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, {O.extract(O.user_message('diff'))} AS diff, {O.strip('message')} AS gold FROM prepared",
-        "prompt_messages": f"WITH {chats}\nSELECT conv_id, to_json(list_filter(messages, lambda m: m.role <> 'assistant')) AS messages FROM chats",
+        "prompt_messages": f"WITH {chats}\nSELECT conv_id, CAST(to_json(list_filter(messages, lambda m: m.role <> 'assistant')) AS VARCHAR) AS messages FROM chats",
         "conversation_contexts": f"WITH {conv_ctx}",
         "split_mode": f"""{W(c)},\n{O.CLEAN}
 SELECT CAST(count(DISTINCT split) + coalesce(max(CASE WHEN split IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_values,
@@ -433,8 +433,9 @@ flags AS (
 ),
 firsts AS (SELECT row_id, true AS is_first FROM flags WHERE f3 QUALIFY row_number() OVER (PARTITION BY diff ORDER BY row_id) = 1),
 j AS (SELECT f.*, coalesce(x.is_first, false) AS is_first FROM flags f LEFT JOIN firsts x USING (row_id))
-SELECT count(*) AS rows_loaded, count_if(f1) AS after_not_null, count_if(f2) AS after_diff_len, count_if(f3) AS after_msg_len,
-  count_if(is_first) AS after_dedup, count_if(is_first AND {O.clean('message')} IS NOT NULL) AS after_clean,
+SELECT count(*) AS rows_loaded, CAST(count_if(f1) AS BIGINT) AS after_not_null, CAST(count_if(f2) AS BIGINT) AS after_diff_len,
+  CAST(count_if(f3) AS BIGINT) AS after_msg_len, CAST(count_if(is_first) AS BIGINT) AS after_dedup,
+  CAST(count_if(is_first AND {O.clean('message')} IS NOT NULL) AS BIGINT) AS after_clean,
   count_if(is_first AND {O.clean('message')} IS NOT NULL) * 100.0 / count_if(is_first) AS kept_pct
 FROM j""",
         "split_counts": f"""{W(c)},\n{O.PREPARED},
@@ -469,19 +470,19 @@ FROM prepared WHERE split = 'valid' QUALIFY subset_pos < 50""",
 tests AS (SELECT * FROM prepared WHERE split = 'test'),
 {sample.format(src='tests')}
 SELECT run_id, {O.SUMMARY_COLS} FROM scored WHERE row_id IN (SELECT row_id FROM sampled) GROUP BY run_id""",
-        "prepare": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, to_json({chat_q}) AS messages FROM prepared",
+        "prepare": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM prepared",
         "render_chat": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, {full_text} AS full_text, {prompt_text} AS prompt_text FROM prepared",
         "tokenize_codepoints": f"""{W(c)}
-SELECT row_id, CAST(len({codepoints.format(x='diff')}) AS BIGINT) AS n_tokens, to_json({codepoints.format(x='diff')}) AS ids
+SELECT row_id, CAST(len({codepoints.format(x='diff')}) AS BIGINT) AS n_tokens, CAST(to_json({codepoints.format(x='diff')}) AS VARCHAR) AS ids
 FROM commits WHERE diff IS NOT NULL""",
         "mask_labels": f"""{W(c)},\n{O.PREPARED},
 {mask.format(cols='row_id', ids=codepoints.format(x=full_text), plen=f'length({prompt_text})', src='prepared')}
-SELECT row_id, to_json(input_ids) AS input_ids, to_json(attention_mask) AS attention_mask, to_json(labels) AS labels FROM masked""",
+SELECT row_id, CAST(to_json(input_ids) AS VARCHAR) AS input_ids, CAST(to_json(attention_mask) AS VARCHAR) AS attention_mask, CAST(to_json(labels) AS VARCHAR) AS labels FROM masked""",
         "pad_batches": f"""{W(c)},\n{O.CLEAN},
 {mask.format(cols='row_id', ids=codepoints.format(x='message'), plen='0', src='clean')},
 ranked AS (SELECT *, row_number() OVER (ORDER BY {O.seeded('row_id')}, row_id) - 1 AS rk FROM masked),
 {pad_sql.format(part='', src='ranked')}
-SELECT row_id, batch_id, pos, to_json(p_ids) AS input_ids, to_json(p_mask) AS attention_mask, to_json(p_labels) AS labels FROM padded""",
+SELECT row_id, batch_id, pos, CAST(to_json(p_ids) AS VARCHAR) AS input_ids, CAST(to_json(p_mask) AS VARCHAR) AS attention_mask, CAST(to_json(p_labels) AS VARCHAR) AS labels FROM padded""",
         "build_sequences": f"""{W(c)},\n{O.PREPARED},
 {mask.format(cols='row_id, split', ids=codepoints.format(x=full_text), plen=f'length({prompt_text})', src='prepared')},
 seq_ranked AS (
@@ -490,14 +491,14 @@ seq_ranked AS (
   SELECT 'eval' AS dataset, *, row_number() OVER (ORDER BY row_id) - 1 AS rk FROM masked WHERE split = 'valid' QUALIFY rk < 50
 ),
 {pad_sql.format(part='dataset,', src='seq_ranked')}
-SELECT dataset, row_id, batch_id, pos, to_json(p_ids) AS input_ids, to_json(p_mask) AS attention_mask, to_json(p_labels) AS labels FROM padded""",
+SELECT dataset, row_id, batch_id, pos, CAST(to_json(p_ids) AS VARCHAR) AS input_ids, CAST(to_json(p_mask) AS VARCHAR) AS attention_mask, CAST(to_json(p_labels) AS VARCHAR) AS labels FROM padded""",
         "stream_curate": f"""{W(c)},
 basic AS (
   SELECT * FROM commits
   WHERE diff IS NOT NULL AND message IS NOT NULL AND length(diff) >= 20 AND length(message) BETWEEN 10 AND 500
 ),
 cl AS (SELECT row_id, diff, {O.clean('message')} AS message FROM basic)
-SELECT row_id, message, to_json({chat_q}) AS messages FROM cl WHERE message IS NOT NULL""",
+SELECT row_id, message, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM cl WHERE message IS NOT NULL""",
     }
     return out
 
@@ -515,4 +516,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
-    return {k: O.normalize_types(v) for k, v in sql.items() if k in QUERIES}
+    return {k: v for k, v in sql.items() if k in QUERIES}

@@ -154,68 +154,12 @@ scored AS (
 )"""
 )
 
-SUMMARY_COLS = """count(*) AS n, count_if(conventional) AS conventional,
+SUMMARY_COLS = """count(*) AS n, CAST(count_if(conventional) AS BIGINT) AS conventional,
   CAST(count_if(conventional) AS DOUBLE) / count(*) AS conventional_rate,
-  count_if(exact_match) AS exact, CAST(count_if(exact_match) AS DOUBLE) / count(*) AS exact_rate"""
+  CAST(count_if(exact_match) AS BIGINT) AS exact, CAST(count_if(exact_match) AS DOUBLE) / count(*) AS exact_rate"""
 
 
 def with_views(*names: str) -> str:
     """``WITH`` the driver-derived views, ready for more CTEs after a comma."""
     return cte(*names).rstrip()
 
-
-def _skip_quoted(sql: str, i: int) -> int:
-    """Index just past the string literal starting at ``i`` (``''`` is an escaped quote)."""
-    i += 1
-    while i < len(sql):
-        if sql[i] == "'":
-            if i + 1 < len(sql) and sql[i + 1] == "'":
-                i += 2
-                continue
-            return i + 1
-        i += 1
-    raise ValueError("unterminated string literal")
-
-
-def _matching_paren(sql: str, open_idx: int) -> int:
-    """Index of the parenthesis closing the one at ``open_idx`` (literals skipped)."""
-    depth, i = 0, open_idx
-    while i < len(sql):
-        ch = sql[i]
-        if ch == "'":
-            i = _skip_quoted(sql, i)
-            continue
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-            if depth == 0:
-                return i
-        i += 1
-    raise ValueError("unbalanced parentheses")
-
-
-def cast_calls(sql: str, func: str, sql_type: str) -> str:
-    """Wrap every ``func(...)`` call outside string literals in ``CAST(... AS sql_type)``."""
-    out, i, needle = [], 0, func + "("
-    while i < len(sql):
-        ch = sql[i]
-        if ch == "'":
-            end = _skip_quoted(sql, i)
-            out.append(sql[i:end])
-            i = end
-            continue
-        if sql.startswith(needle, i) and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")):
-            close = _matching_paren(sql, i + len(func))
-            inner = cast_calls(sql[i + len(needle) : close], func, sql_type)
-            out.append(f"CAST({func}({inner}) AS {sql_type})")
-            i = close + 1
-            continue
-        out.append(ch)
-        i += 1
-    return "".join(out)
-
-
-def normalize_types(sql: str) -> str:
-    """Give DuckDB results the Spark types: JSON text as VARCHAR, counts as BIGINT."""
-    return cast_calls(cast_calls(sql, "to_json", "VARCHAR"), "count_if", "BIGINT")
