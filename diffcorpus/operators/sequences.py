@@ -38,6 +38,17 @@ def tokenizer_udf(encode: Callable[[list[str]], list[list[int]]]):
     return _tok
 
 
+def tokenize(df: DataFrame, col: str, tokenizer=None, out: str = "input_ids") -> DataFrame:
+    """Q2: add token ids of ``col``; ``tokenizer`` is None (code points) or a batch ``encode`` function."""
+    ids = tokenize_codepoints(col) if tokenizer is None else tokenizer_udf(tokenizer)(F.col(col))
+    return df.withColumn(out, ids)
+
+
+def attention_mask(ids: Column | str) -> Column:
+    """Q4: one ``1`` per token."""
+    return F.array_repeat(F.lit(1), F.size(_c(ids)))
+
+
 def mask_labels(full_ids: Column | str, prompt_len: Column | str | int, max_seq_length: int) -> Column:
     """Q3 + Q4: ``struct(input_ids, attention_mask, labels)``.
 
@@ -52,7 +63,7 @@ def mask_labels(full_ids: Column | str, prompt_len: Column | str | int, max_seq_
     )
     return F.struct(
         full.alias("input_ids"),
-        F.array_repeat(F.lit(1), F.size(full)).alias("attention_mask"),
+        attention_mask(full).alias("attention_mask"),
         labels.alias("labels"),
     )
 

@@ -152,3 +152,12 @@ def test_seeded_batches_equal_window_padding(spark):
     wide = [f for f in feeds if "messages" in f]
     assert len(wide) == 1  # the rows move once (rank buckets)
     assert all("WindowGroupLimit" in f or "partial_max" in f for f in feeds if f not in wide)
+
+
+def test_tokenize_wrapper_and_attention_mask(spark):
+    df = one_col(spark, ["ab", "a b c"])
+    got = sequences.tokenize(df, "s").orderBy("i").select("input_ids", sequences.attention_mask("input_ids").alias("m")).collect()
+    assert [r.input_ids for r in got] == [[97, 98], [97, 32, 98, 32, 99]]
+    assert [r.m for r in got] == [[1, 1], [1, 1, 1, 1, 1]]
+    words = sequences.tokenize(df, "s", lambda texts: [[len(w) for w in t.split()] for t in texts]).orderBy("i").collect()
+    assert [r.input_ids for r in words] == [[2], [1, 1, 1]]
