@@ -348,7 +348,7 @@ flagged AS (
   SELECT *, max(CAST(is_quit AS INT)) OVER w AS quit_seen, sum(CAST(is_reset AS INT)) OVER w AS epoch
   FROM staged WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
-kept AS (SELECT * FROM flagged WHERE quit_seen = 0 AND NOT is_reset AND {O.nonblank('t')}),
+kept AS (SELECT * FROM flagged WHERE quit_seen = 0 AND NOT is_reset AND (role <> 'user' OR {O.nonblank('t')})),
 ctx AS (
   SELECT conv_id, turn, role, list({{'role': role, 'content': t}}) OVER (
     PARTITION BY conv_id, epoch ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hist

@@ -20,10 +20,11 @@ def conversation_contexts(
 ) -> DataFrame:
     """For every user turn: the system prompt, then the kept earlier turns and this one.
 
-    Texts are stripped and blank turns skipped; a user turn ``r`` (any case)
-    clears the history, ``q`` ends the conversation.  ``system`` rows are
-    dropped: the system prompt is the parameter.  Output:
-    ``(conv, turn, messages)``.
+    Texts are stripped.  As in the interactive loop, blank user turns are
+    skipped, a user turn ``r`` (any case) clears the history and ``q`` ends
+    the conversation; assistant turns are kept as recorded (also when they
+    strip to empty).  ``system`` rows are dropped: the system prompt is the
+    parameter.  Output: ``(conv, turn, messages)``.
     """
     t = py_strip(F.col(text))
     low = F.lower(t)
@@ -35,7 +36,7 @@ def conversation_contexts(
         .select(conv, turn, role, t.alias("_t"), (is_user & (low == "r")).alias("_reset"), (is_user & (low == "q")).alias("_quit"))
         .withColumn("_quit_seen", F.max(F.col("_quit").cast("int")).over(upto))
         .withColumn("_epoch", F.sum(F.col("_reset").cast("int")).over(upto))
-        .withColumn("_keep", (F.col("_quit_seen") == 0) & ~F.col("_reset") & ~is_blank("_t"))
+        .withColumn("_keep", (F.col("_quit_seen") == 0) & ~F.col("_reset") & ~(is_user & is_blank("_t")))
     )
     entry = F.when(F.col("_keep"), F.struct(F.col("_epoch").alias("e"), F.col(role).alias("role"), F.col("_t").alias("content")))
     with_hist = staged.withColumn("_hist", F.collect_list(entry).over(upto))

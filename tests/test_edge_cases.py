@@ -57,7 +57,7 @@ def test_conversation_reset_quit_blank_and_system(spark):
         (1, 3, "user", "   "),  # blank: skipped
         (1, 4, "user", "R"),  # reset
         (1, 5, "user", "second"),
-        (1, 6, "assistant", ""),  # blank assistant: skipped
+        (1, 6, "assistant", "  "),  # blank assistant reply: kept, stripped
         (1, 7, "user", "third"),
         (1, 8, "user", "q"),  # ends the conversation
         (1, 9, "user", "after quit"),
@@ -69,7 +69,7 @@ def test_conversation_reset_quit_blank_and_system(spark):
     assert got == {
         (1, 1): [("system", "SYS"), ("user", "first question")],
         (1, 5): [("system", "SYS"), ("user", "second")],
-        (1, 7): [("system", "SYS"), ("user", "second"), ("user", "third")],
+        (1, 7): [("system", "SYS"), ("user", "second"), ("assistant", ""), ("user", "third")],
         (2, 0): [("system", "SYS"), ("user", "other conversation")],
     }
 
