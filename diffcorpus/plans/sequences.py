@@ -26,6 +26,23 @@ class CodepointTokenizer:
         return F.length(text)
 
 
+class UdfTokenizer:
+    """Any tokenizer given as a batch ``encode(texts) -> id lists`` (Arrow pandas UDF).
+
+    ``encode`` runs on the workers; build heavy state lazily inside it.
+    """
+
+    def __init__(self, encode, pad_id: int | None, eos_id: int | None):
+        self.encode, self.pad_id, self.eos_id = encode, pad_id, eos_id
+        self._udf = sequences.tokenizer_udf(encode)
+
+    def ids(self, text: Column) -> Column:
+        return self._udf(text)
+
+    def count(self, text: Column) -> Column:
+        return F.size(self._udf(text))
+
+
 def tokenized(
     chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate = CHATML, tokenizer=CodepointTokenizer()
 ) -> DataFrame:

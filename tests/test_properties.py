@@ -161,3 +161,25 @@ def test_tokenize_wrapper_and_attention_mask(spark):
     assert [r.m for r in got] == [[1, 1], [1, 1, 1, 1, 1]]
     words = sequences.tokenize(df, "s", lambda texts: [[len(w) for w in t.split()] for t in texts]).orderBy("i").collect()
     assert [r.input_ids for r in words] == [[2], [1, 1, 1]]
+
+
+def test_build_sequences_with_udf_tokenizer(spark):
+    import dataclasses
+
+    from diffcorpus.config import DEFAULT
+
+    def encode(texts):
+        return [[len(w) % 97 + 1 for w in t.split()] for t in texts]
+
+    prepared = P.prepare(dt.commits(spark, SF01))
+    tok = S.UdfTokenizer(encode, pad_id=0, eos_id=5)
+    cfg = dataclasses.replace(DEFAULT, batch_size=3, max_seq_length=300)
+    out = S.build_sequences(prepared, cfg, tokenizer=tok)
+    widths = out.groupBy("dataset", "batch_id").agg(F.countDistinct(F.size("input_ids")).alias("w"))
+    assert widths.where("w <> 1").count() == 0
+    assert out.where(F.size("input_ids") != F.size("labels")).count() == 0
+    train = prepared.where(F.col("split") == "train")
+    slow = sequences.pad_batches(S.tokenized(sequences.seeded_rank(train, cfg.seed), cfg, tokenizer=tok), 3, 5)
+    cols = ["row_id", "batch_id", "pos", "input_ids", "attention_mask", "labels"]
+    fast = out.where(F.col("dataset") == "train")
+    assert sorted(map(tuple, fast.select(*cols).collect())) == sorted(map(tuple, slow.select(*cols).collect()))
