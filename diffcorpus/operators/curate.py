@@ -118,33 +118,35 @@ def dedup_keep_first(
 
 
 def filter_funnel(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> DataFrame:
-    """A1: rows loaded and left after each stage, in one pass over flagged rows.
+    """A1: rows loaded and left after each stage, in one pass.
 
     Columns: rows_loaded, after_not_null, after_diff_len, after_msg_len,
     after_dedup, after_clean, kept_pct (after_clean / after_dedup * 100).
+
+    One aggregation keyed by the diff hash (null for rows that fail F1-F3):
+    stage counts and the first copy's (id, cleaned-ok) are combined
+    map-side, so only partial aggregates move and no group is gathered.
     """
     d, m = F.col(cfg.diff_col), F.col(cfg.message_col)
     f1 = d.isNotNull() & m.isNotNull()
     f2 = f1 & (F.length(d) >= cfg.min_diff_len)
     f3 = f2 & F.length(m).between(cfg.min_message_len, cfg.max_message_len)
-    flagged = df.select(
-        F.col(order_col),
-        f1.alias("_f1"),
-        f2.alias("_f2"),
-        f3.alias("_f3"),
-        F.when(f3, d).alias("_d"),
-        F.when(f3, T.clean_message(m, cfg.max_commit_lines).isNotNull()).alias("_clean"),
+    clean_ok = T.clean_message(m, cfg.max_commit_lines).isNotNull()
+    per_hash = df.groupBy(F.when(f3, content_hash(d)).alias("_h")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(f1).alias("_f1"),
+        F.count_if(f2).alias("_f2"),
+        F.count_if(f3).alias("_f3"),
+        F.min(F.struct(F.col(order_col), F.when(f3, clean_ok).alias("ok"))).alias("_first"),
     )
-    firsts = first_copies(flagged.where("_f3"), "_d", order_col).withColumn("_first", F.lit(True))
-    joined = flagged.drop("_d").join(firsts, order_col, "left")
-    first = F.coalesce(F.col("_first"), F.lit(False))
-    return joined.agg(
-        F.count(F.lit(1)).alias("rows_loaded"),
-        F.count_if("_f1").alias("after_not_null"),
-        F.count_if("_f2").alias("after_diff_len"),
-        F.count_if("_f3").alias("after_msg_len"),
+    first = F.col("_h").isNotNull()
+    return per_hash.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows_loaded"),
+        F.coalesce(F.sum("_f1"), F.lit(0)).cast("long").alias("after_not_null"),
+        F.coalesce(F.sum("_f2"), F.lit(0)).cast("long").alias("after_diff_len"),
+        F.coalesce(F.sum("_f3"), F.lit(0)).cast("long").alias("after_msg_len"),
         F.count_if(first).alias("after_dedup"),
-        F.count_if(first & F.col("_clean")).alias("after_clean"),
+        F.count_if(first & F.col("_first.ok")).alias("after_clean"),
     ).withColumn("kept_pct", F.try_divide(F.col("after_clean") * F.lit(100.0), F.col("after_dedup")))
 
 
