@@ -137,7 +137,7 @@ def filter_funnel(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id
         F.count_if(f1).alias("_f1"),
         F.count_if(f2).alias("_f2"),
         F.count_if(f3).alias("_f3"),
-        F.min(F.struct(F.col(order_col), F.when(f3, clean_ok).alias("ok"))).alias("_first"),
+        F.min_by(F.when(f3, clean_ok), F.col(order_col)).alias("_first_ok"),
     )
     first = F.col("_h").isNotNull()
     return per_hash.agg(
@@ -146,7 +146,7 @@ def filter_funnel(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id
         F.coalesce(F.sum("_f2"), F.lit(0)).cast("long").alias("after_diff_len"),
         F.coalesce(F.sum("_f3"), F.lit(0)).cast("long").alias("after_msg_len"),
         F.count_if(first).alias("after_dedup"),
-        F.count_if(first & F.col("_first.ok")).alias("after_clean"),
+        F.count_if(first & F.col("_first_ok")).alias("after_clean"),
     ).withColumn("kept_pct", F.try_divide(F.col("after_clean") * F.lit(100.0), F.col("after_dedup")))
 
 
