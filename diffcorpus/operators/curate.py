@@ -109,9 +109,12 @@ def dedup_keep_first(
     if losers == 0:
         return df
     if losers <= broadcast_max:
-        dups = groups.where(F.col("_n") > 1).select("_key_hash", "_first")  # at most `losers` groups
+        # at most `losers` groups; null keys count as one value, as in the shuffle path
+        dups = groups.where(F.col("_n") > 1).select(F.col("_key_hash").alias("_dup_hash"), "_first")
         loser_ids = (
-            slim.join(F.broadcast(dups), "_key_hash").where(F.col(order_col) != F.col("_first")).select(order_col)
+            slim.join(F.broadcast(dups), F.col("_key_hash").eqNullSafe(F.col("_dup_hash")))
+            .where(F.col(order_col) != F.col("_first"))
+            .select(order_col)
         )  # exactly `losers` ids
         return df.join(F.broadcast(loser_ids), order_col, "left_anti")
     return df.join(groups.select(F.col("_first").alias(order_col)), order_col, "left_semi")

@@ -79,3 +79,14 @@ def test_kelvin_sign_does_not_break_rules(spark):
     from diffcorpus.functions import text as T
 
     assert apply(spark, T.clean_message, ["feat: 5 K units"]) == ["feat: 5 K units"]
+
+
+def test_dedup_null_keys_keep_first_in_both_strategies(spark):
+    from diffcorpus.operators import curate
+
+    df = spark.createDataFrame(
+        [(1, None), (2, "a"), (3, None), (4, "a"), (5, "b")], "row_id BIGINT, diff STRING"
+    )
+    for strategy in ("auto", "shuffle"):
+        got = sorted(r.row_id for r in curate.dedup_keep_first(df, strategy=strategy).collect())
+        assert got == [1, 2, 5], strategy
