@@ -23,7 +23,7 @@ def split_value_count(df: DataFrame, split_col: str = "split") -> DataFrame:
 def split_mode(df: DataFrame, split_col: str = "split") -> DataFrame:
     """P1 as a table: ``n_values`` and ``mode`` ('curated' or 'random')."""
     if split_col not in df.columns:
-        return df.sparkSession.createDataFrame([(0, "random")], "n_values INT, mode STRING")
+        return df.sparkSession.createDataFrame([(0, "random")], "n_values BIGINT, mode STRING")
     return split_value_count(df, split_col).withColumn(
         "mode", F.when(F.col("n_values") <= 1, F.lit("random")).otherwise(F.lit("curated"))
     )
