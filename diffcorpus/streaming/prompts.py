@@ -30,3 +30,10 @@ def stream_prompts(spark: SparkSession, path: str, max_files_per_trigger: int |
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("diff")
     )
     return prompts(raw)
+
+
+def stream_generate(spark: SparkSession, path: str, make_fn, batch_rows: int = 16) -> DataFrame:
+    """W1 -> U1: prompts from arriving diff files, answered by the user's generator."""
+    from ..operators.generation import generate
+
+    return generate(stream_prompts(spark, path), make_fn, batch_rows=batch_rows)

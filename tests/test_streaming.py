@@ -8,7 +8,7 @@ from conftest import SF001
 from diffcorpus.sources import commits as SC
 from diffcorpus.sources import driver_tables as dt
 from diffcorpus.streaming.curate import stream_curate
-from diffcorpus.streaming.prompts import prompts, stream_prompts
+from diffcorpus.streaming.prompts import prompts, stream_generate, stream_prompts
 
 
 def _run_to_table(sdf, spark, tmp_dir, name):
@@ -40,3 +40,22 @@ def test_stream_curate_equals_batch(spark, tmp_dir):
     batch = stream_curate(spark.read.parquet(src))
     cols = ["row_id", "message", F.to_json("messages").alias("m")]
     assert sorted(map(tuple, streamed.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_stream_generate_equals_batch(spark, tmp_dir):
+    from diffcorpus.operators.generation import generate
+
+    d = os.path.join(tmp_dir, "incoming-gen")
+    os.makedirs(d)
+    for i, text in enumerate(["--- a\n+x\n", "\n", "--- c\n+yy\n"]):
+        with open(os.path.join(d, f"{i}.diff"), "w", encoding="utf-8") as f:
+            f.write(text)
+
+    def make():
+        return lambda ps: [f" fix: {len(p[1]['content'])} \n" for p in ps]
+
+    streamed = _run_to_table(stream_generate(spark, d, make), spark, tmp_dir, "w1u1")
+    batch = generate(prompts(SC.read_diffs(spark, d, strict=False)), make)
+    got = sorted((r.path, r.prediction) for r in streamed.collect())
+    assert got == sorted((r.path, r.prediction) for r in batch.collect())
+    assert len(got) == 2 and all(p.startswith("fix: ") for _, p in got)
