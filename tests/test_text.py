@@ -174,3 +174,10 @@ def test_no_python_in_text_plans(spark):
     )
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BatchEval" not in plan
+
+
+def test_case_folding_edges(spark):
+    """Dotted / dotless i, long s: Python's IGNORECASE folds them to the ASCII letters."""
+    vals = ["feat: a\nfİxes #1", "feat: a\nfıxes #1", "feat: a\ncloſes #1", "feat: a\nFIXES #1"]
+    assert apply(spark, T.strip_footers, vals) == ["feat: a"] * 4
+    assert apply(spark, T.has_noise, ["a\nsİgned-off-by: x", "WWW.x", "htTpS://y", "feat: K"]) == [True, True, True, False]
