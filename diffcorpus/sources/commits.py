@@ -13,20 +13,30 @@ ID_SHIFT = 40  # row index bits inside the row id: file ordinal << 40 | row inde
 BROADCAST_FILES_MAX = 500_000  # ~60 MB of paths; above it the ordinal table is shuffle-joined
 
 
+def _scan_path(uri: str) -> str:
+    """The listing's file URI in the form ``_metadata.file_path`` reports (``file:/x``, not ``file:///x``)."""
+    return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
+
+
 def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id") -> DataFrame:
     """Add a unique BIGINT id in input order: (sorted file ordinal, row index in file).
 
-    The distinct file paths (one row per file, bounded by the listing the
-    driver plans the scan with) are numbered in path order and broadcast.
+    File ordinals come from the file listing the driver already holds for
+    the scan (no job); the table has one row per file and is broadcast up
+    to ``BROADCAST_FILES_MAX`` files, shuffle-joined beyond.  A row whose
+    file is missing from the listing fails the job instead of being dropped.
     """
-    files = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
+    files = sorted({_scan_path(f) for f in df.inputFiles()})
     ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord BIGINT, _file_path STRING")
     if len(files) <= BROADCAST_FILES_MAX:
         ordinals = F.broadcast(ordinals)
     meta = df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
+    row_id = F.when(
+        F.col("_file_ord").isNull(), F.raise_error(F.concat(F.lit("file not in listing: "), F.col("_file_path")))
+    ).otherwise(F.shiftleft(F.col("_file_ord"), ID_SHIFT) + F.col("_row_index"))
     return (
-        meta.join(ordinals, "_file_path")
-        .withColumn(out, F.shiftleft(F.col("_file_ord"), ID_SHIFT) + F.col("_row_index"))
+        meta.join(ordinals, "_file_path", "left")
+        .withColumn(out, row_id.cast("long"))
         .drop("_file_path", "_row_index", "_file_ord")
     )
 

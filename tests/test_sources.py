@@ -88,3 +88,11 @@ def test_read_diffs_whole_file_and_blank(spark, tmp_dir):
     assert [r.diff for r in rows] == ["--- a\n+++ b\n+x\n"]
     with pytest.raises(Exception):
         SC.read_diffs(spark, d, strict=True).collect()
+
+
+def test_file_order_id_with_encoded_path(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "with space=1", "t")
+    spark.range(0, 20).repartition(3).write.parquet(p)
+    df = SC.with_file_order_id(spark.read.parquet(p), spark)
+    rows = df.collect()
+    assert len(rows) == 20 and len({r.row_id for r in rows}) == 20
