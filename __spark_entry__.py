@@ -222,6 +222,10 @@ def q_split_counts(spark, sf):
     return splits.split_counts(_prepared(spark, sf))
 
 
+def q_split_report(spark, sf):
+    return splits.split_report(_clean(spark, sf))
+
+
 def q_corpus_size(spark, sf):
     return splits.corpus_size(_prepared(spark, sf).where(F.col("split") == "train"), DEFAULT.small_corpus)
 
@@ -441,6 +445,10 @@ FROM j""",
         "split_counts": f"""{W(c)},\n{O.PREPARED},
 names AS (SELECT unnest(['train', 'valid', 'test']) AS split)
 SELECT n.split, CAST(count(p.row_id) AS BIGINT) AS rows FROM names n LEFT JOIN prepared p ON p.split = n.split GROUP BY n.split""",
+        "split_report": f"""{W(c)},\n{O.CLEAN},
+names AS (SELECT unnest(['train', 'valid', 'test', 'dropped']) AS split),
+mapped AS (SELECT coalesce({O.CURATED}, 'dropped') AS split FROM clean)
+SELECT n.split, CAST(count(m.split) AS BIGINT) AS rows FROM names n LEFT JOIN mapped m ON m.split = n.split GROUP BY n.split""",
         "corpus_size": f"{W(c)},\n{O.PREPARED}\nSELECT count(*) AS rows, count(*) < 200 AS small_corpus FROM prepared WHERE split = 'train'",
         "pair_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT run_id, row_id, gold, prediction FROM scored",
         "missing_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT row_id FROM gold WHERE row_id NOT IN (SELECT row_id FROM predictions WHERE run_id = 'tuned')",

@@ -117,6 +117,20 @@ def split_counts(df: DataFrame, split_col: str = "split", names=SPLIT_NAMES) ->
     )
 
 
+def split_report(clean: DataFrame, split_col: str = "split") -> DataFrame:
+    """A2 with the curated split's silent drops: rows per train / valid / test, and ``dropped``.
+
+    ``clean`` is the table before P2 (values other than train / val /
+    validation / test, null included, are counted as ``dropped``).
+    """
+    target = F.coalesce(curated_split(split_col), F.lit("dropped"))
+    counts = clean.groupBy(target.alias(split_col)).agg(F.count(F.lit(1)).alias("rows"))
+    names = clean.sparkSession.createDataFrame([(s,) for s in (*SPLIT_NAMES, "dropped")], f"{split_col} STRING")
+    return names.join(counts, split_col, "left").select(
+        split_col, F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows")
+    )
+
+
 def corpus_size(df: DataFrame, min_rows: int = 200) -> DataFrame:
     """A3: row count and the small-corpus warning flag."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("small_corpus", F.col("rows") < min_rows)

@@ -70,3 +70,12 @@ def test_evaluate_plan(spark):
         (r.run_id, r.row_id) for r in ev.scored.where("false").collect()
     } | {("tuned", rid) for rid in {r.row_id for r in ev.scored.where("run_id = 'base'").collect()}
          - {r.row_id for r in ev.scored.where("run_id = 'tuned'").collect()}}
+
+
+def test_split_report_golden(spark):
+    for sf, want in (
+        (SF001, {"train": 54, "valid": 17, "test": 7, "dropped": 8}),
+        (SF01, {"train": 254, "valid": 86, "test": 43, "dropped": 45}),
+    ):
+        got = {r.split: r.rows for r in splits.split_report(curate.curate(dt.commits(spark, sf))).collect()}
+        assert got == want
