@@ -79,3 +79,17 @@ def test_split_report_golden(spark):
     ):
         got = {r.split: r.rows for r in splits.split_report(curate.curate(dt.commits(spark, sf))).collect()}
         assert got == want
+
+
+def test_golden_sf01_largest(spark):
+    sf = "/root/testdata/sf0.1"
+    c = dt.commits(spark, sf)
+    row = curate.filter_funnel(c).first()
+    assert (row.rows_loaded, row.after_not_null, row.after_diff_len, row.after_msg_len, row.after_dedup, row.after_clean) == (
+        10_000, 9_231, 9_200, 7_670, 7_088, 4_258
+    )
+    clean = curate.curate(c)
+    got = {r.split: r.rows for r in splits.split_report(clean).collect()}
+    assert got == {"train": 2_521, "valid": 863, "test": 435, "dropped": 439}
+    rnd = {r[0]: r[1] for r in splits.split_random(clean.drop("split")).groupBy("split").count().collect()}
+    assert rnd == {"train": 3_406, "valid": 425, "test": 427}
