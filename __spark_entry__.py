@@ -310,18 +310,24 @@ def q_build_sequences(spark, sf):
     )
 
 
-def q_generate_stub(spark, sf):
-    """U1 with a stand-in model: the reply names the prompt length (a real model is the user's)."""
+def _stub_generator():
+    """A stand-in model for U1: the reply names the length of the last prompt message."""
+
+    def fn(prompts):
+        return [f"  chore: update {len(p[-1]['content'])} chars\n" for p in prompts]
 
-    def stub_generator():
-        def fn(prompts):
-            return [f"  chore: update {len(p[-1]['content'])} chars\n" for p in prompts]
+    return fn
 
-        return fn
 
+def q_generate_stub(spark, sf):
     test = _prepared(spark, sf).where(F.col("split") == "test")
     prompts = test.select("row_id", C.prompt_messages("messages").alias("messages"))
-    return generation.generate(prompts, stub_generator).select("row_id", "prediction")
+    return generation.generate(prompts, _stub_generator).select("row_id", "prediction")
+
+
+def q_evaluate_generated(spark, sf):
+    test = _prepared(spark, sf).where(F.col("split") == "test")
+    return E.evaluate_generated(test, _stub_generator, run_id="stub").summary
 
 
 def q_stream_curate(spark, sf):
@@ -500,6 +506,23 @@ seq_ranked AS (
 ),
 {pad_sql.format(part='dataset,', src='seq_ranked')}
 SELECT dataset, row_id, batch_id, pos, CAST(to_json(p_ids) AS VARCHAR) AS input_ids, CAST(to_json(p_mask) AS VARCHAR) AS attention_mask, CAST(to_json(p_labels) AS VARCHAR) AS labels FROM padded""",
+        "generate_stub": f"""{W(c)},\n{O.PREPARED}
+SELECT row_id, 'chore: update ' || CAST(length({O.user_message('diff')}) AS VARCHAR) || ' chars' AS prediction
+FROM prepared WHERE split = 'test'""",
+        "evaluate_generated": f"""{W(c)},\n{O.PREPARED},
+tests AS (SELECT * FROM prepared WHERE split = 'test'),
+{sample.format(src='tests')},
+gen AS (
+  SELECT p.row_id, {O.strip('message')} AS gold,
+    'chore: update ' || CAST(length({O.user_message(O.extract(O.user_message('diff')))}) AS VARCHAR) || ' chars' AS prediction
+  FROM tests p WHERE row_id IN (SELECT row_id FROM sampled)
+),
+scored AS (
+  SELECT 'stub' AS run_id, coalesce({O.conventional('prediction')}, false) AS conventional,
+    coalesce({O.norm('prediction')} = {O.norm('gold')}, false) AS exact_match
+  FROM gen
+)
+SELECT run_id, {O.SUMMARY_COLS} FROM scored GROUP BY run_id""",
         "stream_curate": f"""{W(c)},
 basic AS (
   SELECT * FROM commits

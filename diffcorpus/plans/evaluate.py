@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.chat import parse_chat
+from ..functions.chat import inference_messages, parse_chat
 from ..operators import scoring, splits
 from ..session import materialize
 
@@ -82,3 +82,32 @@ def _missing_per_run(gold_ids: DataFrame, predictions: DataFrame, order_col: str
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.select(run_col, order_col)
+
+
+def evaluate_generated(
+    chat: DataFrame,
+    make_fn,
+    cfg: Config = DEFAULT,
+    order_col: str = "row_id",
+    run_id: str = "run",
+    batch_rows: int = 16,
+) -> Evaluation:
+    """E2 with U1 in the loop: generate for the seeded sample, then score.
+
+    As in the original evaluation, the prompt is rebuilt from the diff
+    extracted from the held-out user message (so it can differ from the
+    training prompt by the block's trailing newline).  Only the sample
+    (``eval_n`` rows) reaches the generator.
+    """
+    from ..operators.generation import generate
+
+    sample = splits.sample_n(chat, cfg.eval_n, cfg.eval_seed, order_col)
+    prompts = gold_rows(sample, order_col).select(
+        order_col, inference_messages("diff", cfg.system_prompt, cfg.max_diff_chars).alias("messages")
+    )
+    preds = (
+        generate(prompts, make_fn, batch_rows=batch_rows)
+        .select(order_col, "prediction")
+        .withColumn("run_id", F.lit(run_id))
+    )
+    return evaluate(chat, preds, cfg, order_col)
