@@ -3,6 +3,7 @@
     python -m diffcorpus.cli combine   --inputs a.parquet b.parquet --out raw/
     python -m diffcorpus.cli prepare   --input raw/ --out processed/ [--with-ids]
     python -m diffcorpus.cli evaluate  --data processed/ --predictions preds/ --out report/
+    python -m diffcorpus.cli evaluate  --data processed/ --generator my_model:load --out report/
     python -m diffcorpus.cli sequences --data processed/ --out sequences/
     python -m diffcorpus.cli prompts   --diffs incoming/ --out prompts/ [--stream --checkpoint ck/]
     python -m diffcorpus.cli contexts  --input conversations/ --out contexts/
@@ -64,16 +65,29 @@ def cmd_prepare(args, spark):
     print(json.dumps({r["split"]: r["rows"] for r in split_counts(out).collect()}))
 
 
+def _load(spec: str):
+    """``package.module:function`` -> the function."""
+    import importlib
+
+    mod, _, name = spec.partition(":")
+    return getattr(importlib.import_module(mod), name)
+
+
 def cmd_evaluate(args, spark):
-    from .plans.evaluate import evaluate
+    from .plans.evaluate import evaluate, evaluate_generated
     from .sources.chat_jsonl import read_split
 
     cfg = dataclasses.replace(DEFAULT, eval_n=args.n, eval_seed=args.seed)
     test = read_split(spark, args.data, "test", id_col="row_id")
-    preds = _read_table(spark, args.predictions)
-    if "run_id" not in preds.columns:
-        preds = preds.withColumn("run_id", F.lit("run"))
-    ev = evaluate(test, preds, cfg)
+    if args.generator:
+        ev = evaluate_generated(test, _load(args.generator), cfg, run_id=args.run_id)
+    else:
+        if not args.predictions:
+            raise SystemExit("give --predictions or --generator")
+        preds = _read_table(spark, args.predictions)
+        if "run_id" not in preds.columns:
+            preds = preds.withColumn("run_id", F.lit(args.run_id))
+        ev = evaluate(test, preds, cfg)
     ev.summary.coalesce(1).write.mode(args.mode).json(f"{args.out}/summary")
     ev.examples.coalesce(1).write.mode(args.mode).json(f"{args.out}/examples")
     for r in ev.summary.collect():
@@ -133,7 +147,9 @@ def main(argv=None) -> None:
     p.add_argument("--funnel", action="store_true")
     e = sub.add_parser("evaluate")
     e.add_argument("--data", required=True)
-    e.add_argument("--predictions", required=True)
+    e.add_argument("--predictions", help="table (run_id?, row_id, prediction)")
+    e.add_argument("--generator", help="module:factory returning fn(list of message lists) -> texts")
+    e.add_argument("--run-id", default="run")
     e.add_argument("--out", required=True)
     e.add_argument("--n", type=int, default=DEFAULT.eval_n)
     e.add_argument("--seed", type=int, default=DEFAULT.eval_seed)

@@ -26,6 +26,10 @@ def test_cli_prepare_evaluate_sequences(spark, tmp_dir, capsys):
     cli.main(["evaluate", "--data", out, "--predictions", preds, "--out", os.path.join(tmp_dir, "report")])
     summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert summary["n"] == 7 and summary["exact"] == 7
+    cli.main(["--mode", "overwrite", "evaluate", "--data", out, "--generator", "__spark_entry__:_stub_generator",
+              "--out", os.path.join(tmp_dir, "report2"), "--run-id", "stub"])
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary == {"run_id": "stub", "n": 7, "conventional": 7, "conventional_rate": 1.0, "exact": 0, "exact_rate": 0.0}
     cli.main(["sequences", "--data", out, "--out", os.path.join(tmp_dir, "seq")])
     seq = spark.read.parquet(os.path.join(tmp_dir, "seq"))
     assert seq.where("dataset = 'eval'").count() == 17 and seq.where("dataset = 'train'").count() == 54
