@@ -11,7 +11,7 @@ from diffcorpus.plans import prepare as P
 from diffcorpus.plans import sequences as S
 from diffcorpus.sources import driver_tables as dt
 
-TRICKY = "ab :#\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　\t ſıKfixesignd-oby1١"
+TRICKY = "ab :#\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000\t ſıKfixesignd-oby1١"
 
 
 @settings(max_examples=6, deadline=None)
@@ -183,3 +183,38 @@ def test_build_sequences_with_udf_tokenizer(spark):
     cols = ["row_id", "batch_id", "pos", "input_ids", "attention_mask", "labels"]
     fast = out.where(F.col("dataset") == "train")
     assert sorted(map(tuple, fast.select(*cols).collect())) == sorted(map(tuple, slow.select(*cols).collect()))
+
+
+MSG_ALPHABET = st.sampled_from(
+    ["feat", "fix(x)", ": ", "docs", "Fixes", " #12", "signed-off-by:", " ", "\n", "\r\n", "\u2028", "www.", "http://",
+     "a", "B", "  ", "\t", "(", ")", "!", "ci", "Closes #3", "\x1c", "ſ"]
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(MSG_ALPHABET, max_size=14).map("".join), min_size=1, max_size=60))
+def test_clean_message_invariants(spark, values):
+    import re
+
+    rows = one_col(spark, values).orderBy("i").select(
+        T.clean_message("s").alias("c"), T.has_noise("s").alias("noise")
+    ).collect()
+    cleaned = [r.c for r in rows if r.c is not None]
+    checks = one_col(spark, cleaned).orderBy("i").select(
+        T.is_conventional("s").alias("conv"), T.has_noise("s").alias("noise"), T.strip_footers("s").alias("sf")
+    ).collect() if cleaned else []
+    k = 0
+    for v, r in zip(values, rows):
+        if r.c is None:
+            continue
+        chk = checks[k]
+        k += 1
+        assert not r.noise and chk.conv and not chk.noise
+        lines = r.c.split("\n")
+        assert len(lines) in (1, 4) or (len(lines) == 3 and lines[1] == "")
+        if len(lines) > 1:
+            assert lines[1] == "" and all(ln.strip() for ln in lines[2:])
+        assert chk.sf == r.c.strip()  # no footer left to strip
+        kept = [ln for ln in re.split(r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", v) if ln.strip()]
+        body = [ln for ln in lines if ln]
+        assert all(any(b.strip() == x.strip() for x in kept) for b in body)
