@@ -35,7 +35,7 @@ def test_strip_on_long_inner_runs(spark):
 
 
 def test_subject_line(spark):
-    assert apply(spark, T.subject_line, ["\n \n  feat: a  \nb", "", "  \n\t", None, "x y"]) == [
+    assert apply(spark, T.subject_line, ["\n \n  feat: a  \nb", "", "  \n\t", None, "x\u2028y"]) == [
         "feat: a",
         "",
         "",
@@ -57,10 +57,10 @@ def test_has_noise(spark):
         "a\nsigned-off-by: x",
         "a\n  signed-off-by: x",  # indented: column 0 only
         "a\rsigned-off-by: x",  # Python ^ follows \n only
-        "a Signed-off-by: x",
+        "a\u2028Signed-off-by: x",
         "a\nſigned-off-by: x",  # U+017F folds to s
         "a\nsigned-off-by:",
-        "a\nsigned-off-by:　x",
+        "a\nsigned-off-by:\u3000x",
     ]
     assert apply(spark, T.has_noise, vals) == [True, True, False, True, False, False, False, True, False, True]
 
@@ -124,7 +124,7 @@ def test_clean_message_fixture_kinds(spark):
 
 
 def test_clean_message_exotic_breaks(spark):
-    vals = ["feat: x\rsigned-off-by: y", "feat: x Signed-off-by: y", "feat: x\x1cbody\x85two three"]
+    vals = ["feat: x\rsigned-off-by: y", "feat: x\u2028Signed-off-by: y", "feat: x\x1cbody\x85two\u2029three"]
     assert apply(spark, T.clean_message, vals) == ["feat: x", "feat: x", "feat: x\n\nbody\ntwo"]
 
 
