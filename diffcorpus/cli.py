@@ -60,7 +60,6 @@ def cmd_prepare(args, spark):
     if args.funnel:
         print(json.dumps(curate.filter_funnel(raw, cfg).first().asDict()))
     out = prepare(raw, cfg)
-    curate.require_rows(out, "rows")
     write_splits(out, args.out, mode=args.mode, id_col="row_id" if args.with_ids else None)
     print(json.dumps({r["split"]: r["rows"] for r in split_counts(out).collect()}))
 
@@ -78,7 +77,9 @@ def cmd_evaluate(args, spark):
     from .sources.chat_jsonl import read_split
 
     cfg = dataclasses.replace(DEFAULT, eval_n=args.n, eval_seed=args.seed)
-    test = read_split(spark, args.data, "test", id_col="row_id")
+    from .operators.curate import require_rows
+
+    test = require_rows(read_split(spark, args.data, "test", id_col="row_id"), "examples in the test split")
     if args.generator:
         ev = evaluate_generated(test, _load(args.generator), cfg, run_id=args.run_id)
     else:
@@ -101,7 +102,9 @@ def cmd_sequences(args, spark):
     cfg = dataclasses.replace(
         DEFAULT, max_seq_length=args.max_seq_length, batch_size=args.batch_size, val_batches=args.val_batches
     )
-    train = read_split(spark, args.data, "train", id_col="row_id")
+    from .operators.curate import require_rows
+
+    train = require_rows(read_split(spark, args.data, "train", id_col="row_id"), "training examples")
     valid = read_split(spark, args.data, "valid", id_col="row_id")
     chat = train.unionByName(valid)
     build_sequences(chat, cfg).write.mode(args.mode).partitionBy("dataset").parquet(args.out)

@@ -12,17 +12,22 @@ from ..session import materialize
 from ..sources.chat_jsonl import write_splits
 
 
-def prepare(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id", written: bool = True) -> DataFrame:
+def prepare(
+    df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id", written: bool = True, require_rows: bool = True
+) -> DataFrame:
     """Chat examples ``(row_id, split, messages)`` for train / valid / test.
 
     The cleaned table is written once below the checkpoint folder (when
     ``written``) so the split decision and a random split read it instead of
-    re-running the scan and the dedup shuffle.
+    re-running the scan and the dedup shuffle.  With ``require_rows`` an
+    empty cleaned table raises, as the original preparation does.
     """
     clean = curate.curate(df, cfg, order_col)
     if written:
         clean = materialize(clean.select(order_col, cfg.diff_col, cfg.message_col, *(
             [cfg.split_col] if cfg.split_col in df.columns else [])), "clean")
+    if require_rows:
+        curate.require_rows(clean, "rows")  # F8: fail when nothing survives cleaning
     if cfg.split_col in clean.columns and splits.choose_mode(clean, cfg.split_col) == "curated":
         out = splits.split_curated(clean, cfg.split_col)
     else:

@@ -60,3 +60,11 @@ def test_hot_key_dedup_and_funnel(spark):
     assert kept == {first_hot}
     row = curate.filter_funnel(hot).first()
     assert row.after_dedup == out.count()
+
+
+def test_prepare_raises_when_nothing_survives(spark):
+    from diffcorpus.plans.prepare import prepare
+
+    bad = dt.commits(spark, SF001).withColumn("message", F.lit("Update things"))
+    with pytest.raises(ValueError, match="No rows"):
+        prepare(bad)
