@@ -68,3 +68,15 @@ def test_prepare_raises_when_nothing_survives(spark):
     bad = dt.commits(spark, SF001).withColumn("message", F.lit("Update things"))
     with pytest.raises(ValueError, match="No rows"):
         prepare(bad)
+
+
+def test_cli_combine(spark, tmp_dir, capsys):
+    c = dt.commits(spark, SF001).drop("row_id")
+    a, b = os.path.join(tmp_dir, "a"), os.path.join(tmp_dir, "b")
+    c.where("split = 'train'").write.parquet(a)
+    c.where("split <> 'train'").write.parquet(b)
+    out = os.path.join(tmp_dir, "combined")
+    cli.main(["combine", "--inputs", a, b, "--out", out])
+    values = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["split_values"]
+    assert sorted(values) == ["holdout", "test", "train", "val", "validation"]
+    assert spark.read.parquet(out).count() == 200
