@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CURATED_SPLITS, DEFAULT, SPLIT_NAMES, Config
@@ -11,13 +11,14 @@ from . import ranking
 TOPK_IDS_MAX = 200_000  # ids kept by a top-k and broadcast back: ~3 MB
 
 
+def n_split_values(split_col: str = "split") -> Column:
+    """Aggregate: distinct split values, null counted as one value."""
+    return F.count_distinct(split_col) + F.coalesce(F.max(F.col(split_col).isNull().cast("int")), F.lit(0))
+
+
 def split_value_count(df: DataFrame, split_col: str = "split") -> DataFrame:
     """Distinct split values, null counted as one value (one row, one small aggregate)."""
-    return df.agg(
-        (
-            F.count_distinct(split_col) + F.coalesce(F.max(F.col(split_col).isNull().cast("int")), F.lit(0))
-        ).alias("n_values")
-    )
+    return df.agg(n_split_values(split_col).alias("n_values"))
 
 
 def split_mode(df: DataFrame, split_col: str = "split") -> DataFrame:

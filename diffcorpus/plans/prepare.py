@@ -26,9 +26,15 @@ def prepare(
     if written:
         clean = materialize(clean.select(order_col, cfg.diff_col, cfg.message_col, *(
             [cfg.split_col] if cfg.split_col in df.columns else [])), "clean")
-    if require_rows:
-        curate.require_rows(clean, "rows")  # F8: fail when nothing survives cleaning
-    if cfg.split_col in clean.columns and splits.choose_mode(clean, cfg.split_col) == "curated":
+    # one small aggregate answers both F8 (anything left?) and P1 (curated or random)
+    has_split = cfg.split_col in clean.columns
+    stats = clean.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *([splits.n_split_values(cfg.split_col).alias("n_values")] if has_split else []),
+    ).first()
+    if require_rows and stats["rows"] == 0:
+        raise ValueError("No rows left after filtering. Relax the length thresholds or inspect the cleaning rules.")
+    if has_split and stats["n_values"] > 1:
         out = splits.split_curated(clean, cfg.split_col)
     else:
         out = splits.split_random(clean, cfg, order_col, cfg.split_col)
