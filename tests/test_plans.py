@@ -68,3 +68,25 @@ def test_prepare_writes_clean_stage_once(spark):
     p = plan(out)
     assert "documents" not in p  # reads the written stage, not the source again
     assert out.where(F.col("split") == "test").count() == 43
+
+
+def _exchanges(df):
+    """Lines feeding each hash/range exchange of the static plan."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return [lines[i + 1] for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln]
+
+
+def test_shuffle_budget_of_headline_pipelines(spark):
+    """Where the wide columns (diff text, chat messages) cross a shuffle."""
+    base = curate.basic_filters(dt.commits(spark, SF01))
+    # D1 (size-checked path): the diff text never crosses a shuffle
+    assert not [f for f in _exchanges(curate.dedup_keep_first(base)) if "diff" in f]
+    # E1 after the written stage: no shuffle at all
+    assert _exchanges(P.prepare(dt.commits(spark, SF01))) == []
+    # A1: no row-level join, only hash-keyed partial aggregates
+    assert all("HashAggregate" in f for f in _exchanges(curate.filter_funnel(dt.commits(spark, SF01))))
