@@ -36,26 +36,29 @@ def _str(s: str) -> str:
     return "concat(" + ", ".join(parts) + ")" if len(parts) > 1 else (parts[0] if parts else "''")
 
 
+def _unicode_lit(chars: str) -> str:
+    """SQL string literal spelling every character as a ``\\uXXXX`` escape."""
+    return "'" + "".join(f"\\u{ord(ch):04x}" for ch in chars) + "'"
+
+
 def function_bodies(max_diff_chars: int = 12_000, preview_len: int = 200, max_lines: int = 3) -> dict[str, str]:
-    strip = f"regexp_replace(s, {_lit(T.STRIP_RE)}, '')"
+    ws = _unicode_lit(T.PY_WHITESPACE)
+    strip = f"btrim(s, {ws})"
     nonblank = f"{_lit(T.NON_WS_CLASS)}"
-    footer = (
-        f"(regexp_replace(l, {_lit(T.STRIP_RE)}, '') RLIKE {_lit(T.SIGNED_OFF_LINE_RE)} "
-        f"OR regexp_replace(l, {_lit(T.STRIP_RE)}, '') RLIKE {_lit(T.ISSUE_LINE_RE)})"
-    )
+    footer = f"(btrim(l, {ws}) RLIKE {_lit(T.SIGNED_OFF_LINE_RE)} OR btrim(l, {ws}) RLIKE {_lit(T.ISSUE_LINE_RE)})"
     strip_footers = (
-        f"regexp_replace(array_join(transform(filter(split(s, {_lit(T.LINE_BREAK)}, -1), "
+        f"btrim(array_join(transform(filter(split(s, {_lit(T.LINE_BREAK)}, -1), "
         f"l -> NOT (l RLIKE {nonblank} AND {footer})), l -> CASE WHEN l RLIKE {nonblank} THEN l ELSE '' END), "
-        f"chr(10)), {_lit(T.STRIP_RE)}, '')"
+        f"chr(10)), {ws})"
     )
     subject = (
-        f"CASE WHEN s IS NULL THEN NULL ELSE coalesce(regexp_replace(get(filter(split(s, {_lit(T.LINE_BREAK)}, -1), "
-        f"l -> l RLIKE {nonblank}), 0), {_lit(T.STRIP_RE)}, ''), '') END"
+        f"CASE WHEN s IS NULL THEN NULL ELSE coalesce(btrim(get(filter(split(s, {_lit(T.LINE_BREAK)}, -1), "
+        f"l -> l RLIKE {nonblank}), 0), {ws}), '') END"
     )
     lines = f"filter(split(py_strip_footers(s), chr(10), -1), l -> l RLIKE {nonblank})"
     clean = (
         f"CASE WHEN s IS NULL OR s RLIKE {_lit(T.NOISE_RE)} THEN NULL ELSE get(transform(array({lines}), ls -> "
-        f"CASE WHEN size(ls) > 0 AND regexp_replace(get(ls, 0), {_lit(T.STRIP_RE)}, '') RLIKE {_lit(T.CONVENTIONAL_RE)} "
+        f"CASE WHEN size(ls) > 0 AND btrim(get(ls, 0), {ws}) RLIKE {_lit(T.CONVENTIONAL_RE)} "
         f"THEN CASE WHEN size(ls) > 1 THEN concat(get(ls, 0), chr(10), chr(10), array_join(slice(ls, 2, {max(max_lines - 1, 1)}), chr(10))) "
         f"ELSE get(ls, 0) END END), 0) END"
     )

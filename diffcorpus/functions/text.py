@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 from ..config import COMMIT_TYPES, TRUNCATION_MARKER
 
+# The characters Python's str.strip removes (str.isspace is true),
+# in code-point order.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Python's whitespace set (str.isspace / str.strip / re \s) and
 # line boundaries (str.splitlines), written as Java regex classes.
 WS_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_WS_CLASS = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
-# Leading run, or a trailing run that starts where the previous char is not
-# whitespace (the look-behind keeps the scan linear on long inner runs).
-STRIP_RE = r"\A" + WS_CLASS + r"+|(?<!" + WS_CLASS + r")" + WS_CLASS + r"++\z"
 
 # The conventional-commit subject, the noise markers and the
 # footer lines.  (?u) gives Unicode case folding as Python's re.IGNORECASE
@@ -47,8 +51,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 # --- T0 -------------------------------------------------------------------
 
 def py_strip(c: Column | str) -> Column:
-    """Python ``str.strip()``: removes leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), STRIP_RE, "")
+    """Python ``str.strip()``: removes leading/trailing Unicode whitespace (a character-set trim)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def py_splitlines(c: Column | str) -> Column:
