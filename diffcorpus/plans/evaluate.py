@@ -24,10 +24,10 @@ class Evaluation:
     missing: DataFrame
 
 
-def gold_rows(chat: DataFrame, order_col: str = "row_id", strict: bool = False) -> DataFrame:
-    """C3 over a chat table: ``(row_id, diff, gold)``."""
-    return chat.select(F.col(order_col), parse_chat("messages", strict).alias("_p")).select(
-        order_col, "_p.diff", "_p.gold"
+def gold_rows(chat: DataFrame, order_col: str = "row_id", strict: bool = False, keep: tuple = ()) -> DataFrame:
+    """C3 over a chat table: ``(row_id, *keep, diff, gold)``."""
+    return chat.select(F.col(order_col), *keep, parse_chat("messages", strict).alias("_p")).select(
+        order_col, *keep, "_p.diff", "_p.gold"
     )
 
 
@@ -44,13 +44,14 @@ def evaluate(
     output of ``operators.generation.generate``.
     """
     sample = splits.sample_n(chat, cfg.eval_n, cfg.eval_seed, order_col)
-    gold = gold_rows(sample, order_col).join(sample.select(order_col, "sample_pos"), order_col)
-    if cfg.eval_n <= BROADCAST_IDS_MAX:
-        # at most eval_n (id, position) pairs: filter the predictions map-side
-        ids = F.broadcast(sample.select(order_col))
-        predictions = predictions.join(ids, order_col, "left_semi")
+    small = cfg.eval_n <= BROADCAST_IDS_MAX
+    gold = gold_rows(sample, order_col, keep=("sample_pos",))
+    if small:
+        # at most eval_n rows: written once, then read for the ids, the pairing and the examples
+        gold = materialize(gold, "eval-sample")
+        predictions = predictions.join(F.broadcast(gold.select(order_col)), order_col, "left_semi")
     scored = scoring.score(scoring.pair(gold, predictions, order_col))
-    if cfg.eval_n <= BROADCAST_IDS_MAX:
+    if small:
         # at most eval_n rows per run: written once, read by the summary and the examples
         scored = materialize(scored, "scored")
     by = [run_col] if run_col in predictions.columns else []
@@ -110,4 +111,5 @@ def evaluate_generated(
         .select(order_col, "prediction")
         .withColumn("run_id", F.lit(run_id))
     )
-    return evaluate(chat, preds, cfg, order_col)
+    # the model runs once: its (at most eval_n) answers are written, then scored
+    return evaluate(chat, materialize(preds, "generated"), cfg, order_col)

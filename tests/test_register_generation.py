@@ -1,5 +1,7 @@
 """U2 SQL functions agree with the Column functions; U1 generation hook."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -79,3 +81,29 @@ print("RESULT", n, ids)
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, capture_output=True, text=True, timeout=600)
     assert "RESULT 7 [1, 2]" in out.stdout, out.stderr[-2000:]
+
+
+def test_evaluate_generated_calls_model_once_per_prompt(spark, tmp_dir):
+    import glob
+    import uuid
+
+    from diffcorpus.plans import evaluate as E
+    from diffcorpus.plans import prepare as P
+
+    marks = os.path.join(tmp_dir, "calls")
+    os.makedirs(marks)
+
+    def make():
+        def fn(prompts):
+            for _ in prompts:
+                open(os.path.join(marks, uuid.uuid4().hex), "w").close()
+            return ["feat: x"] * len(prompts)
+
+        return fn
+
+    test = P.prepare(dt.commits(spark, SF01)).where(F.col("split") == "test")
+    ev = E.evaluate_generated(test, make, run_id="m")
+    ev.summary.collect()
+    ev.examples.collect()
+    ev.missing.collect()
+    assert len(glob.glob(os.path.join(marks, "*"))) == 43
