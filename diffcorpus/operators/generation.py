@@ -45,7 +45,8 @@ def generate(
     ``make_fn`` is called once per task (load the model there); the returned
     function gets a list of message lists (dicts with ``role``/``content``)
     and returns one text per prompt.  Rows stream through in Arrow batches of
-    ``batch_rows``.
+    ``batch_rows``.  The result is lazy like any DataFrame: write it (see
+    ``session.materialize``) before using it twice, or the model runs twice.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
     ship_by_value(make_fn)
