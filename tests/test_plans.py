@@ -47,12 +47,13 @@ def test_top_k_operators(spark):
 
 def test_no_unpartitioned_window_on_whole_table(spark):
     clean = curate.curate(dt.commits(spark, SF01))
-    ranked = S.sequences.seeded_rank(clean, 42)
-    p = plan(ranked)
-    assert "SinglePartition" not in p
-    out = splits.split_random(clean.drop("split"))
-    p2 = plan(out)
-    assert "Window" not in p2 and "Exchange" not in p2.split("Scan")[0] or "SinglePartition" not in p2
+    for df in (
+        S.sequences.seeded_rank(clean, 42),
+        S.seeded_batches(P.prepare(dt.commits(spark, SF01))),
+        splits.split_random(clean.drop("split")),
+        scoring.eval_subset(clean, 10, topk_limit=5),
+    ):
+        assert "SinglePartition" not in plan(df)
 
 
 def test_random_split_moves_no_rows(spark):
