@@ -46,9 +46,14 @@ def eval_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scored.agg(*summary_columns())
 
 
-def compare_runs(scored: DataFrame, run_col: str = "run_id") -> DataFrame:
-    """The A5 summary per run."""
-    return eval_summary(scored, [run_col])
+def compare_runs(scored: DataFrame, run_col: str = "run_id", wide: bool = False, runs: list[str] | None = None) -> DataFrame:
+    """The A5 summary per run; ``wide`` gives one row with ``<run>_<metric>`` columns.
+
+    Pass ``runs`` to fix the pivot columns (otherwise a small distinct job finds them).
+    """
+    if not wide:
+        return eval_summary(scored, [run_col])
+    return scored.groupBy().pivot(run_col, runs).agg(*summary_columns())
 
 
 def eval_examples(

@@ -90,3 +90,11 @@ def test_dedup_null_keys_keep_first_in_both_strategies(spark):
     for strategy in ("auto", "shuffle"):
         got = sorted(r.row_id for r in curate.dedup_keep_first(df, strategy=strategy).collect())
         assert got == [1, 2, 5], strategy
+
+
+def test_compare_runs_wide(spark):
+    df = spark.createDataFrame(
+        [("a", True, True), ("a", False, False), ("b", True, False)], "run_id STRING, conventional BOOLEAN, exact_match BOOLEAN"
+    )
+    row = scoring.compare_runs(df, wide=True, runs=["a", "b"]).first().asDict()
+    assert (row["a_n"], row["a_conventional"], row["a_exact"], row["b_n"], row["b_exact_rate"]) == (2, 1, 1, 1, 0.0)
