@@ -98,3 +98,13 @@ def test_compare_runs_wide(spark):
     )
     row = scoring.compare_runs(df, wide=True, runs=["a", "b"]).first().asDict()
     assert (row["a_n"], row["a_conventional"], row["a_exact"], row["b_n"], row["b_exact_rate"]) == (2, 1, 1, 1, 0.0)
+
+
+def test_random_split_boundaries(spark):
+    for n, want in ((1, {"test": 1}), (2, {"train": 1, "test": 1}), (10, {"train": 8, "valid": 1, "test": 1}),
+                    (19, {"train": 15, "valid": 1, "test": 3})):
+        df = _commits(spark, [None] * n)
+        got = {r[0]: r[1] for r in splits.split_random(df).groupBy("split").count().collect()}
+        assert got == want, n
+    assert splits.sample_n(_commits(spark, ["x"] * 5), 0).count() == 0
+    assert scoring.eval_subset(_commits(spark, ["x"] * 5), 0).count() == 0
