@@ -91,22 +91,30 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``predictions(run_id, row_id, prediction)``: a tuned and a base run over ``commits``."""
+    """``predictions(run_id, row_id, prediction)``: a tuned and a base run over ``commits``.
+
+    Same rows as ``PREDICTIONS_SQL``; both runs come from one scan (an
+    exploded pair of candidate rows, the tuned one kept where it exists).
+    """
     from pyspark.sql import functions as F
 
     c = commits(spark, sf_dir).where(F.col("message").isNotNull())
-    tuned = c.where(F.expr("row_id % 17 <> 16")).selectExpr(
-        "'tuned' AS run_id",
-        "row_id",
+    tuned = F.expr(
         """CASE CAST(row_id % 7 AS INT) WHEN 0 THEN message WHEN 1 THEN message
            WHEN 2 THEN '  ' || upper(message) || chr(10)
            WHEN 3 THEN 'fix: other ' || CAST(row_id AS VARCHAR(20))
-           ELSE 'Update ' || split END AS prediction""",
+           ELSE 'Update ' || split END"""
+    )
+    base = F.expr("CASE WHEN row_id % 3 = 0 THEN 'Update' ELSE 'docs: base' END")
+    candidates = F.array(
+        F.struct(F.lit("tuned").alias("run_id"), tuned.alias("prediction"), F.expr("row_id % 17 <> 16").alias("keep")),
+        F.struct(F.lit("base").alias("run_id"), base.alias("prediction"), F.lit(True).alias("keep")),
     )
-    base = c.selectExpr(
-        "'base' AS run_id", "row_id", "CASE WHEN row_id % 3 = 0 THEN 'Update' ELSE 'docs: base' END AS prediction"
+    return (
+        c.select("row_id", F.explode(candidates).alias("p"))
+        .where("p.keep")
+        .select("p.run_id", "row_id", "p.prediction")
     )
-    return tuned.unionByName(base)
 
 
 def structured_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
