@@ -58,8 +58,16 @@ def read_commits(
     return with_file_order_id(df, spark, id_col)
 
 
-def union_splits(dfs: list[DataFrame]) -> DataFrame:
-    """Concatenate source splits; the schemas must have the same columns."""
+def union_splits(dfs: list[DataFrame], names: list[str] | None = None, split_col: str = "split") -> DataFrame:
+    """Concatenate source splits; the schemas must have the same columns.
+
+    With ``names`` each part is labelled with its split name in ``split_col``
+    (for sources that keep splits apart instead of in a column).
+    """
+    if names is not None:
+        if len(names) != len(dfs):
+            raise ValueError("one name per part")
+        dfs = [df.withColumn(split_col, F.lit(n)) for df, n in zip(dfs, names)]
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 

@@ -96,3 +96,10 @@ def test_file_order_id_with_encoded_path(spark, tmp_dir):
     df = SC.with_file_order_id(spark.read.parquet(p), spark)
     rows = df.collect()
     assert len(rows) == 20 and len({r.row_id for r in rows}) == 20
+
+
+def test_union_splits_labels_parts(spark):
+    a = spark.createDataFrame([("d1", "m1")], "diff STRING, message STRING")
+    b = spark.createDataFrame([("d2", "m2"), ("d3", "m3")], "diff STRING, message STRING")
+    out = SC.union_splits([a, b], names=["train", "test"])
+    assert sorted((r.diff, r.split) for r in out.collect()) == [("d1", "train"), ("d2", "test"), ("d3", "test")]
