@@ -43,7 +43,7 @@ def cmd_combine(args, spark):
     from .sources.commits import union_splits, write_commits
 
     dfs = [_read_table(spark, p) for p in args.inputs]
-    combined = union_splits(dfs)
+    combined = union_splits(dfs, args.names)
     write_commits(combined, args.out, mode=args.mode)
     print(json.dumps({"split_values": [r[0] for r in combined.select("split").distinct().collect()]} if "split" in combined.columns else {}))
 
@@ -139,6 +139,7 @@ def main(argv=None) -> None:
     sub = ap.add_subparsers(dest="cmd", required=True)
     c = sub.add_parser("combine")
     c.add_argument("--inputs", nargs="+", required=True)
+    c.add_argument("--names", nargs="+", help="split name of each input, when the inputs have no split column")
     c.add_argument("--out", required=True)
     p = sub.add_parser("prepare")
     p.add_argument("--input", required=True)
