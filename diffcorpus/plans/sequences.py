@@ -55,6 +55,9 @@ def tokenized(
     )
 
 
+RANK_BROADCAST_MAX = 2_000_000  # (id, batch, pos, width) rows broadcast to the scan: ~60 MB
+
+
 def seeded_batches(
     chat: DataFrame,
     cfg: Config = DEFAULT,
@@ -62,16 +65,20 @@ def seeded_batches(
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
     digits: int = ranking.BUCKET_DIGITS,
+    broadcast_max: int = RANK_BROADCAST_MAX,
 ) -> DataFrame:
-    """Training batches in seeded order, padded, with one shuffle of the rows.
+    """Training batches in seeded order, padded; the wide rows move at most once.
 
     The sequence length ``least(count(full text), max_seq_length)`` is known
-    before tokenizing, so the rows are shuffled once (by rank bucket) and
-    tokenized after it.  The batch maximum is taken inside each bucket;
-    batches that cross a bucket boundary consist of the first or last
-    ``batch_size - 1`` rows of their buckets, found by a per-bucket top-k
-    (partial limit before its shuffle), so their fix-up table holds at most
-    two rows per bucket and is broadcast.
+    before tokenizing.  Up to ``broadcast_max`` rows (the count comes with
+    the bucket offsets), rank, batch and width are computed on slim
+    ``(key, id, length)`` rows and the ``(id, batch, pos, width)`` table is
+    broadcast back: the wide rows do not move.  Beyond it the rows are
+    shuffled once (by rank bucket) and tokenized after it; the batch maximum
+    is taken inside each bucket, and batches that cross a bucket boundary
+    (the first or last ``batch_size - 1`` rows of their buckets, found by a
+    per-bucket top-k with a partial limit before its shuffle) are fixed up
+    from a table of at most two rows per bucket.
     """
     size = cfg.batch_size
     key = "_rank_key"
@@ -89,6 +96,20 @@ def seeded_batches(
     asc = Window.partitionBy("_b").orderBy(key, order_col)
     off, nrows = F.col("_offset"), F.col("_rows")
     batch = F.floor(F.col("rank") / size).cast("long")
+    pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
+    if total <= broadcast_max:
+        ranks = (
+            keyed.select(bucket.alias("_b"), key, order_col, "_len")
+            .join(offsets, "_b")
+            .withColumn("rank", off + F.row_number().over(asc) - 1)
+            .withColumn("batch_id", batch)
+            .withColumn("pos", (F.col("rank") % size).cast("int"))
+        )
+        widths = ranks.groupBy("batch_id").agg(F.max("_len").alias("_width"))
+        table = ranks.join(widths, "batch_id").select(order_col, "batch_id", "pos", "_width")  # `total` rows
+        placed = keyed.drop(key).join(F.broadcast(table), order_col)
+        toks = tokenized(placed, cfg, template, tokenizer)
+        return sequences.pad_arrays(toks.withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width", "_len")
     crossing = ((F.col("batch_id") == F.floor(off / size)) & (off % size != 0)) | (
         (F.col("batch_id") == F.floor((off + nrows - 1) / size)) & ((off + nrows) % size != 0)
     )
@@ -113,7 +134,6 @@ def seeded_batches(
     local = F.max("_len").over(Window.partitionBy("_b", "batch_id"))
     ranked = ranked.join(F.broadcast(fix), "batch_id", "left").withColumn("_width", F.coalesce("_edge_max", local))
     toks = tokenized(ranked.drop(key, "_b", "_offset", "_rows", "_edge_max"), cfg, template, tokenizer)
-    pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
     return sequences.pad_arrays(toks.withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width", "_len", "rank")
 
 

@@ -139,19 +139,23 @@ def test_seeded_batches_equal_window_padding(spark):
     for digits in (1, 2, 4):
         for size in (1, 2, 3, 7):
             cfg = dataclasses.replace(DEFAULT, batch_size=size, max_seq_length=700)
-            fast = S.seeded_batches(prepared, cfg, digits=digits)
             ranked = sequences.seeded_rank(prepared, cfg.seed)
-            slow = sequences.pad_batches(S.tokenized(ranked, cfg), size, 3)
-            assert sorted(map(tuple, fast.select(*cols).collect())) == sorted(map(tuple, slow.select(*cols).collect()))
+            slow = sorted(map(tuple, sequences.pad_batches(S.tokenized(ranked, cfg), size, 3).select(*cols).collect()))
+            for bmax in (0, 10**9):  # shuffle path, broadcast path
+                fast = S.seeded_batches(prepared, cfg, digits=digits, broadcast_max=bmax)
+                assert sorted(map(tuple, fast.select(*cols).collect())) == slow
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        lines = S.seeded_batches(prepared, DEFAULT, digits=1)._jdf.queryExecution().executedPlan().toString().splitlines()
+        lines = S.seeded_batches(prepared, DEFAULT, digits=1, broadcast_max=0)._jdf.queryExecution().executedPlan().toString().splitlines()
+        small = S.seeded_batches(prepared, DEFAULT, digits=1)._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     feeds = [lines[i + 1] for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln]
     wide = [f for f in feeds if "messages" in f]
     assert len(wide) == 1  # the rows move once (rank buckets)
     assert all("WindowGroupLimit" in f or "partial_max" in f for f in feeds if f not in wide)
+    small_feeds = [small[i + 1] for i, ln in enumerate(small) if "Exchange hashpartitioning" in ln]
+    assert not [f for f in small_feeds if "messages" in f]  # broadcast path: the rows do not move
 
 
 def test_tokenize_wrapper_and_attention_mask(spark):
