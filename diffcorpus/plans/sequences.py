@@ -97,11 +97,10 @@ def seeded_batches(
     off, nrows = F.col("_offset"), F.col("_rows")
     batch = F.floor(F.col("rank") / size).cast("long")
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
+    slim = keyed.select(bucket.alias("_b"), key, order_col, "_len").join(offsets, "_b")
     if total <= broadcast_max:
         ranks = (
-            keyed.select(bucket.alias("_b"), key, order_col, "_len")
-            .join(offsets, "_b")
-            .withColumn("rank", off + F.row_number().over(asc) - 1)
+            slim.withColumn("rank", off + F.row_number().over(asc) - 1)
             .withColumn("batch_id", batch)
             .withColumn("pos", (F.col("rank") % size).cast("int"))
         )
@@ -113,7 +112,6 @@ def seeded_batches(
     crossing = ((F.col("batch_id") == F.floor(off / size)) & (off % size != 0)) | (
         (F.col("batch_id") == F.floor((off + nrows - 1) / size)) & ((off + nrows) % size != 0)
     )
-    slim = keyed.select(bucket.alias("_b"), key, order_col, "_len").join(offsets, "_b")
     if size > 1:
         desc = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(order_col).desc())
         head = slim.withColumn("_rn", F.row_number().over(asc)).where(F.col("_rn") <= size - 1)
