@@ -5,7 +5,7 @@
     python -m diffcorpus.cli evaluate  --data processed/ --predictions preds/ --out report/
     python -m diffcorpus.cli evaluate  --data processed/ --generator my_model:load --out report/
     python -m diffcorpus.cli sequences --data processed/ --out sequences/
-    python -m diffcorpus.cli prompts   --diffs incoming/ --out prompts/ [--stream --checkpoint ck/]
+    python -m diffcorpus.cli prompts   --diffs incoming/ --out prompts/ [--stream --checkpoint ck/] [--generator m:f]
     python -m diffcorpus.cli contexts  --input conversations/ --out contexts/
 
 Under spark-submit the cluster's session is used; ``spark.checkpoint.dir``
@@ -111,12 +111,17 @@ def cmd_sequences(args, spark):
 
 
 def cmd_prompts(args, spark):
+    from .operators.generation import generate
     from .sources.commits import read_diffs
     from .streaming.prompts import prompts, stream_prompts
 
+    make_fn = _load(args.generator) if args.generator else None
     if args.stream:
+        sdf = stream_prompts(spark, args.diffs)
+        if make_fn:
+            sdf = generate(sdf, make_fn)
         q = (
-            stream_prompts(spark, args.diffs)
+            sdf
             .writeStream.format("parquet")
             .option("checkpointLocation", args.checkpoint)
             .trigger(availableNow=True)
@@ -124,7 +129,10 @@ def cmd_prompts(args, spark):
         )
         q.awaitTermination()
     else:
-        prompts(read_diffs(spark, args.diffs, strict=False)).write.mode(args.mode).parquet(args.out)
+        df = prompts(read_diffs(spark, args.diffs, strict=False))
+        if make_fn:
+            df = generate(df, make_fn)
+        df.write.mode(args.mode).parquet(args.out)
 
 
 def cmd_contexts(args, spark):
@@ -168,6 +176,7 @@ def main(argv=None) -> None:
     w.add_argument("--out", required=True)
     w.add_argument("--stream", action="store_true")
     w.add_argument("--checkpoint")
+    w.add_argument("--generator", help="module:factory; answers each prompt (U1)")
     x = sub.add_parser("contexts")
     x.add_argument("--input", required=True)
     x.add_argument("--out", required=True)

@@ -80,3 +80,23 @@ def test_cli_combine(spark, tmp_dir, capsys):
     values = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["split_values"]
     assert sorted(values) == ["holdout", "test", "train", "val", "validation"]
     assert spark.read.parquet(out).count() == 200
+
+
+def test_cli_prompts_and_contexts(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "incoming")
+    os.makedirs(d)
+    for i, text in enumerate(["--- a\n+x\n", "  \n"]):
+        with open(os.path.join(d, f"{i}.diff"), "w", encoding="utf-8") as f:
+            f.write(text)
+    out = os.path.join(tmp_dir, "prompts")
+    cli.main(["prompts", "--diffs", d, "--out", out, "--generator", "__spark_entry__:_stub_generator"])
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0].prediction.startswith("chore: update ")
+    sout = os.path.join(tmp_dir, "prompts-stream")
+    cli.main(["prompts", "--diffs", d, "--out", sout, "--stream", "--checkpoint", os.path.join(tmp_dir, "ck")])
+    assert spark.read.parquet(sout).count() == 1
+    cout = os.path.join(tmp_dir, "contexts")
+    cli.main(["contexts", "--input", os.path.join(SF001, "conversations.parquet"), "--out", cout])
+    assert spark.read.parquet(cout).count() == spark.read.parquet(os.path.join(SF001, "conversations.parquet")).where(
+        "role = 'user'"
+    ).count()
