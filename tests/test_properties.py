@@ -222,3 +222,12 @@ def test_clean_message_invariants(spark, values):
         kept = [ln for ln in re.split(r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", v) if ln.strip()]
         body = [ln for ln in lines if ln]
         assert all(any(b.strip() == x.strip() for x in kept) for b in body)
+
+
+def test_no_diff_in_two_splits(spark):
+    for drop_split in (False, True):
+        base = dt.commits(spark, SF01)
+        prepared = P.prepare(base.drop("split") if drop_split else base)
+        raw = prepared.select("row_id", "split").join(base.select("row_id", "diff"), "row_id")
+        per_diff = raw.groupBy("diff").agg(F.countDistinct("split").alias("n"), F.count("*").alias("rows"))
+        assert per_diff.where("n > 1 OR rows > 1").count() == 0
