@@ -108,3 +108,64 @@ def test_random_split_boundaries(spark):
         assert got == want, n
     assert splits.sample_n(_commits(spark, ["x"] * 5), 0).count() == 0
     assert scoring.eval_subset(_commits(spark, ["x"] * 5), 0).count() == 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+TURN = st.tuples(
+    st.integers(0, 2),
+    st.sampled_from(["user", "user", "assistant", "system"]),
+    st.sampled_from(["r", " R ", "q", "Q ", "hi", "  ", "", "ok then", " x "]),
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(TURN, min_size=1, max_size=30))
+def test_contexts_match_duckdb_on_random_conversations(spark, turns):
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as E
+
+    rows = [(conv, i, role, text) for i, (conv, role, text) in enumerate(turns)]
+    pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "int64", "turn": "int64"})
+    df = spark.createDataFrame(pdf)
+    got = sorted(
+        (r.conv_id, r.turn, r.m)
+        for r in contexts.conversation_contexts(df).select("conv_id", "turn", F.to_json("messages").alias("m")).collect()
+    )
+    con = duckdb.connect()
+    con.register("conversations", pdf)
+    want = sorted(tuple(r) for r in con.execute(E.oracle_sql()["conversation_contexts"]).fetchall())
+    assert got == want
+
+
+PIECES = st.sampled_from(
+    ["feat", "fix(core)", ": ", "docs", "Fixes", "closes", " #12", "#", "signed-off-by:", "Signed-Off-By:", " ", "\n",
+     "\r\n", "\r", "\x0b", "\x1c", "\x85", " ", "　", "\xa0", "www.", "HTTP://", "a", "Body", "  ", "\t", "(",
+     ")", "!", "ci", "Update", "1", "٣"]
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=16).map("".join), min_size=1, max_size=50))
+def test_cleaning_matches_duckdb_on_random_messages(spark, messages):
+    import duckdb
+    import pandas as pd
+
+    import oracle_sql as O
+    from diffcorpus.functions import text as T
+
+    pdf = pd.DataFrame({"i": range(len(messages)), "m": messages}).astype({"i": "int64"})
+    got = sorted(
+        tuple(r)
+        for r in spark.createDataFrame(pdf)
+        .select("i", T.clean_message("m").alias("c"), T.strip_footers("m").alias("f"), T.has_noise("m").alias("n"))
+        .collect()
+    )
+    con = duckdb.connect()
+    con.register("msgs", pdf)
+    sql = f"SELECT i, {O.clean('m')} AS c, {O.strip_footers('m')} AS f, {O.noise('m')} AS n FROM msgs"
+    want = sorted(tuple(r) for r in con.execute(sql).fetchall())
+    assert got == want
