@@ -169,3 +169,38 @@ def test_cleaning_matches_duckdb_on_random_messages(spark, messages):
     sql = f"SELECT i, {O.clean('m')} AS c, {O.strip_footers('m')} AS f, {O.noise('m')} AS n FROM msgs"
     want = sorted(tuple(r) for r in con.execute(sql).fetchall())
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.sets(st.integers(0, 2**40), min_size=1, max_size=400),
+    st.integers(0, 450),
+    st.integers(0, 10**6),
+)
+def test_ranks_match_duckdb_on_random_ids(spark, ids, n, seed):
+    import duckdb
+    import pandas as pd
+
+    from diffcorpus.config import DEFAULT
+    import dataclasses
+
+    from diffcorpus.operators import ranking
+
+    pdf = pd.DataFrame({"row_id": sorted(ids)}).astype({"row_id": "int64"})
+    df = spark.createDataFrame(pdf)
+    cfg = dataclasses.replace(DEFAULT, seed=seed)
+    got_split = sorted(tuple(r) for r in splits.split_random(df, cfg).select("row_id", "split").collect())
+    got_sample = sorted(tuple(r) for r in splits.sample_n(df, n, seed, topk_limit=n // 2).collect())
+    keyed = df.withColumn("k", ranking.seeded_key("row_id", seed))
+    got_rank = sorted(tuple(r) for r in ranking.global_rank(keyed, ["k", "row_id"], ranking.hex_bucket("k", 2)).select("row_id", "rank").collect())
+    con = duckdb.connect()
+    con.register("ids", pdf)
+    ranked = f"SELECT row_id, row_number() OVER (ORDER BY md5('{seed}:' || CAST(row_id AS VARCHAR)), row_id) - 1 AS rk, count(*) OVER () AS c FROM ids"
+    want_split = sorted(con.execute(
+        f"""SELECT row_id, CASE WHEN rk < CAST(floor(c * 0.8) AS BIGINT) THEN 'train'
+            WHEN rk < CAST(floor(c * 0.8) AS BIGINT) + CAST(floor(c * 0.1) AS BIGINT) THEN 'valid' ELSE 'test' END
+            FROM ({ranked})"""
+    ).fetchall())
+    want_sample = sorted(con.execute(f"SELECT row_id, rk FROM ({ranked}) WHERE rk < {n}").fetchall())
+    want_rank = sorted(con.execute(f"SELECT row_id, rk FROM ({ranked})").fetchall())
+    assert got_split == want_split and got_sample == want_sample and got_rank == want_rank
