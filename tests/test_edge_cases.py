@@ -204,3 +204,35 @@ def test_ranks_match_duckdb_on_random_ids(spark, ids, n, seed):
     want_sample = sorted(con.execute(f"SELECT row_id, rk FROM ({ranked}) WHERE rk < {n}").fetchall())
     want_rank = sorted(con.execute(f"SELECT row_id, rk FROM ({ranked})").fetchall())
     assert got_split == want_split and got_sample == want_sample and got_rank == want_rank
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(st.tuples(st.lists(st.integers(1, 50), max_size=12), st.integers(0, 15)), min_size=1, max_size=40),
+    st.integers(1, 10),
+)
+def test_mask_labels_match_duckdb_on_random_arrays(spark, rows, max_len):
+    import duckdb
+    import pandas as pd
+
+    from diffcorpus.operators import sequences
+
+    pdf = pd.DataFrame({"i": range(len(rows)), "ids": [r[0] for r in rows], "p": [r[1] for r in rows]})
+    df = spark.createDataFrame(pdf, "i BIGINT, ids ARRAY<INT>, p INT")
+    got = sorted(
+        (r.i, list(r.m.input_ids), list(r.m.attention_mask), list(r.m.labels))
+        for r in df.select("i", sequences.mask_labels("ids", "p", max_len).alias("m")).collect()
+    )
+    con = duckdb.connect()
+    con.register("t", pdf)
+    want = sorted(
+        (r[0], list(r[1]), list(r[2]), list(r[3]))
+        for r in con.execute(
+            f"""SELECT i, ids[1:{max_len}] AS full_ids,
+                   list_transform(ids[1:{max_len}], lambda x: 1),
+                   list_concat(list_transform(range(least(p, len(ids[1:{max_len}]))), lambda x: -100),
+                               ids[1:{max_len}][least(p, len(ids[1:{max_len}])) + 1:])
+                FROM t"""
+        ).fetchall()
+    )
+    assert got == want
