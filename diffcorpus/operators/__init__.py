@@ -1,0 +1 @@
+"""Table operators: filters, dedup, splits, ranks, scoring, sequences, contexts, generation."""

@@ -1,0 +1 @@
+"""Whole pipelines: prepare (E1), evaluate (E2), build sequences."""

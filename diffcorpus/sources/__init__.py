@@ -1,0 +1 @@
+"""Sources and sinks: commit tables, diff files, chat JSONL, commit-shaped views of the test tables."""
