@@ -28,6 +28,15 @@ from diffcorpus.sources import commits as SC  # noqa: E402
 from diffcorpus.sources import driver_tables as dt  # noqa: E402
 from diffcorpus.streaming.curate import stream_curate  # noqa: E402
 
+# The training-data operators live in one subpackage that nothing else needs.
+try:
+    import corpus_pipeline
+    from diffcorpus.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "diffcorpus.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 
 
@@ -542,9 +551,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    out = dict(QUERIES)
+    if llm_queries:
+        out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
-    return {k: v for k, v in sql.items() if k in QUERIES}
+    out = {k: v for k, v in sql.items() if k in QUERIES}
+    if llm_queries:
+        out |= llm_queries.SQL
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
