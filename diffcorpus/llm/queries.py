@@ -5,8 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .stages import read
+from . import decontaminate, langid, quality, simhash, toxicity
+from .stages import bucket_of, read
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=bucket_of("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select(
+        F.col("doc").alias("doc_id"),
+        F.coalesce(bucket_of("doc", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 poor, 1 good but toxic, 2 good; selected when a grade above 0 is likelier than not."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(F.col("quality") * 2).alias("grade"))
+    model = quality.train(docs, ratings, usable=bucket_of("doc_id", 5) != 0)
+    return quality.grade(docs, model).select(
+        F.col("doc").alias("doc_id"),
+        F.coalesce(bucket_of("doc", 5) == 0, F.lit(False)).alias("held_out"),
+        "expected_grade",
+        F.coalesce(F.get("tails", F.lit(0)), F.lit(0.0)).alias("score"),
+        (F.coalesce(F.get("tails", F.lit(0)), F.lit(0.0)) >= 0.5).alias("keep"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, usable=bucket_of("doc_id", 5) != 0)
+    return langid.predict(docs, model).select(
+        F.col("doc").alias("doc_id"), F.coalesce(bucket_of("doc", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted"
+    )
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +64,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
+    "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
 
