@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, simhash, toxicity
+from . import decontaminate, langid, pitman_yor, quality, simhash, toxicity
 from .stages import bucket_of, read
 
 
@@ -46,6 +46,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score(read(spark, sf_dir, "documents"), learn=bucket_of("doc_id", 7) != 2)
+    return scored.select(
+        F.col("doc").alias("doc_id"), F.coalesce(bucket_of("doc", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs, usable=bucket_of("doc_id", 5) != 0)
@@ -67,6 +74,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
