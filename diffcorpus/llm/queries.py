@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pitman_yor, quality, simhash, toxicity
+from . import decontaminate, langid, pieces, pitman_yor, quality, simhash, toxicity
 from .stages import bucket_of, read
 
+#: A public SentencePiece model; any with byte fallback will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -46,6 +49,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(read(spark, sf_dir, "documents"), PIECES)
+    return pieces.decode(encoded, PIECES).select(
+        F.col("doc").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = pitman_yor.score(read(spark, sf_dir, "documents"), learn=bucket_of("doc_id", 7) != 2)
     return scored.select(
@@ -74,6 +87,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,

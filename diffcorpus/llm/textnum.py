@@ -79,9 +79,15 @@ def words(data: np.ndarray, offs: np.ndarray, word_bytes: np.ndarray) -> tuple[n
     return starts, ends, per_row
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, read eight bytes at a time; spans may overlap."""
-    eight = np.lib.stride_tricks.as_strided(np.concatenate((data, np.zeros(8, np.uint8))).view(), (len(data) + 1, 8), (1, 1)).view("<u8")[:, 0]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte the eight bytes from there on, as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1)).view("<u8")[:, 0]
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each byte span, read eight bytes at a time; spans may overlap.  ``eight``: ``eights(data)``, if at hand."""
+    eight = eights(data) if eight is None else eight
     left = ends - starts
     out = left.astype(np.uint64) * _MULT
     at, now = np.arange(len(starts)), starts
@@ -89,7 +95,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         out[at] = mix(out[at] ^ (eight[now] & _KEEP[np.minimum(left, 8)])) + _MULT
         more = left > 8
         at, now, left = at[more], now[more] + 8, left[more] - 8
-    return mix(out)
+    return out
 
 
 def hash_words(col: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
