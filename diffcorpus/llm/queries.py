@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, pieces, pitman_yor, quality, simhash, toxicity
+from . import decontaminate, langid, licenses, pieces, pitman_yor, quality, secret_scan, simhash, toxicity
 from .stages import bucket_of, read
 
 #: A public SentencePiece model; any with byte fallback will do.
@@ -78,6 +78,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets themselves stay out of the result: place, length and digest name them."""
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "start", F.length("found").cast("long").alias("n_chars"), F.sha2("found", 256).alias("found_sha256"), "score", "is_secret"
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select(
@@ -95,6 +102,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_language_id": op8_language_id,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
