@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, pieces, pitman_yor, quality, secret_scan, simhash, toxicity
+from . import decontaminate, hilbert_ann, langid, licenses, pieces, pitman_yor, quality, secret_scan, simhash, toxicity
 from .stages import bucket_of, read
 
 #: A public SentencePiece model; any with byte fallback will do.
@@ -27,6 +27,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades from the labels: 0 poor, 1 good but toxic, 2 good; selected when a grade above 0 is likelier than not."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -97,6 +101,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
+    "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
