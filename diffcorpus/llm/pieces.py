@@ -213,31 +213,37 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, text, ids)`` per row: the whole text as piece ids.  An empty text has none, a null text null ids.
+def _with_column(df: DataFrame, name: str, kind: T_.DataType) -> tuple[DataFrame, T_.StructType]:
+    """``df`` without a column ``name``, and its schema with one at the end."""
+    schema = T_.StructType([f for f in df.schema if f.name != name] + [T_.StructField(name, kind)])
+    return df.select(*[F.col(f"`{c}`") for c in schema.names[:-1]]), schema
 
-    Rows and ids may repeat; other columns are not read; an empty table gives
-    an empty result.
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """``docs`` with ``out_col``, the whole text as piece ids; an empty text has none, a null text null ids.
+
+    Rows may repeat; a column named ``out_col`` is replaced, all others pass
+    through; an empty table gives an empty result.
     """
     shared = _shared(docs.sparkSession, path)
+    src, schema = _with_column(docs, out_col, T_.ArrayType(T_.IntegerType()))
+    place = src.columns.index(text_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.batches(source, "text"):
-            texts = batch.column("text").to_pylist()
+        for batch in T.batches(source, text_col):
+            texts = batch.column(place).to_pylist()
             ids, per_row = encode_texts(texts, shared.value)
             offs = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
             none = pa.array([t is None for t in texts])
-            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(offs, ids, mask=none)], names=["doc", "text", "ids"])
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(offs, ids, mask=none)], names=schema.names)
 
-    src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, text string, ids array<int>")
+    return src.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``out_col``, the text of ``ids_col``; null ids give a null text, null elements are left out."""
     shared = _shared(encoded.sparkSession, path)
-    schema = T_.StructType([f for f in encoded.schema if f.name != out_col] + [T_.StructField(out_col, T_.StringType())])
-    src = encoded.select(*schema.names[:-1])
+    src, schema = _with_column(encoded, out_col, T_.StringType())
     place = src.columns.index(ids_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

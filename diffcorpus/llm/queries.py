@@ -58,9 +58,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(read(spark, sf_dir, "documents"), PIECES)
+    encoded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     return pieces.decode(encoded, PIECES).select(
-        F.col("doc").alias("doc_id"),
+        "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
