@@ -7,8 +7,11 @@ outputs are returned as compact JSON text so both engines compare as strings.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,13 +23,17 @@ import oracle_sql as O  # noqa: E402
 from diffcorpus.config import DEFAULT  # noqa: E402
 from diffcorpus.functions import chat as C  # noqa: E402
 from diffcorpus.functions import text as T  # noqa: E402
-from diffcorpus.operators import contexts, curate, generation, scoring, sequences, splits  # noqa: E402
+from diffcorpus.functions.register import register  # noqa: E402
+from diffcorpus.operators import contexts, curate, generation, ranking, scoring, sequences, splits  # noqa: E402
 from diffcorpus.plans import evaluate as E  # noqa: E402
 from diffcorpus.plans import prepare as P  # noqa: E402
 from diffcorpus.plans import sequences as S  # noqa: E402
+from diffcorpus.session import checkpoint_root  # noqa: E402
+from diffcorpus.sources import chat_jsonl as J  # noqa: E402
 from diffcorpus.sources import commits as SC  # noqa: E402
 from diffcorpus.sources import driver_tables as dt  # noqa: E402
 from diffcorpus.streaming.curate import stream_curate  # noqa: E402
+from diffcorpus.streaming.prompts import stream_prompts  # noqa: E402
 
 # The training-data operators live in one subpackage that nothing else needs.
 try:
@@ -78,13 +85,37 @@ def _structured(spark, sf):
 
 # --- queries -----------------------------------------------------------------
 
+def _fresh(spark, name):
+    """A folder of its own below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df, name, key):
+    """``df`` as Parquet files whose order, and that of their rows, is the order of ``key``."""
+    path = _fresh(df.sparkSession, name)
+    SC.write_commits(df.repartitionByRange(key).sortWithinPartitions(key), path)
+    return path
+
+
 def q_read_commits(spark, sf):
-    return _commits(spark, sf).select("row_id", "diff", "message", "split")
+    """Ids in input order, shown as places."""
+    path = _written(_commits(spark, sf).withColumnRenamed("row_id", "key"), "commits", "key")
+    df = SC.read_commits(spark, path)
+    placed = ranking.global_rank(df, ["row_id"], ranking.range_bucket(df, "row_id"), "place")
+    return placed.select(F.col("key").alias("row_id"), "place", "diff", "message", "split")
+
+
+def q_write_commits(spark, sf):
+    path = _fresh(spark, "combined")
+    SC.write_commits(_commits(spark, sf), path)
+    return SC.read_commits(spark, path).select("row_id", "diff", "message", "split")
 
 
 def q_union_splits(spark, sf):
+    """Every value of ``split``, also one not foreseen, is in one part."""
     c = _commits(spark, sf)
-    parts = [c.where(F.col("split") == s) for s in ("train", "val", "validation", "test", "holdout")]
+    known = ("train", "val", "validation", "test")
+    parts = [c.where(F.col("split") == s) for s in known] + [c.where(~F.coalesce(F.col("split").isin(*known), F.lit(False)))]
     return SC.union_splits(parts).select("row_id", "diff", "message", "split")
 
 
@@ -102,12 +133,12 @@ def q_filter_msg_len(spark, sf):
 
 
 def q_has_noise(spark, sf):
-    c = _commits(spark, sf).where(F.col("message").isNotNull())
+    c = dt.messages(spark, sf).where(F.col("message").isNotNull())
     return c.select("row_id", T.has_noise("message").alias("has_noise"))
 
 
 def q_is_conventional(spark, sf):
-    c = _commits(spark, sf).where(F.col("message").isNotNull())
+    c = dt.messages(spark, sf).where(F.col("message").isNotNull())
     return c.select("row_id", T.is_conventional("message").alias("is_conventional"))
 
 
@@ -134,11 +165,11 @@ def q_py_strip(spark, sf):
 
 
 def q_subject_line(spark, sf):
-    return _commits(spark, sf).select("row_id", T.subject_line("message").alias("subject"))
+    return dt.messages(spark, sf).select("row_id", T.subject_line("message").alias("subject"))
 
 
 def q_strip_footers(spark, sf):
-    return _commits(spark, sf).select("row_id", T.strip_footers("message").alias("stripped"))
+    return dt.messages(spark, sf).select("row_id", T.strip_footers("message").alias("stripped"))
 
 
 def q_truncate_diff(spark, sf):
@@ -159,7 +190,7 @@ def q_extract_diff(spark, sf):
 
 
 def q_norm_match(spark, sf):
-    return _commits(spark, sf).select("row_id", T.norm_match("message").alias("normalized"))
+    return dt.messages(spark, sf).select("row_id", T.norm_match("message").alias("normalized"))
 
 
 def q_format_commit(spark, sf):
@@ -173,7 +204,95 @@ def q_diff_preview(spark, sf):
 
 def q_chat_jsonl(spark, sf):
     p = _prepared(spark, sf)
-    return p.select("row_id", "split", F.to_json(F.struct("messages")).alias("value"))
+    lines = J.chat_json(p, keep=("row_id", "split"))
+    return lines.select("row_id", "split", "value")
+
+
+def q_read_chat_jsonl(spark, sf):
+    """S5 then S4: plain lines, records in input order."""
+    path = _fresh(spark, "chat")
+    J.write_chat_jsonl(_prepared(spark, sf).repartitionByRange("row_id").sortWithinPartitions("row_id"), path)
+    return J.read_chat_jsonl(spark, path, id_col="place").select("place", _json("messages"))
+
+
+def _split_files(spark, sf):
+    path = _fresh(spark, "splits")
+    J.write_splits(_prepared(spark, sf), path)
+    return path
+
+
+def q_jsonl_round_trip(spark, sf):
+    """S6 then S7: the splits that were written are found again, with their ids."""
+    path = _split_files(spark, sf)
+    found = [J.read_split(spark, path, s, "row_id") for s in ("train", "valid", "test")]
+    return SC.union_splits(found).select("row_id", "split", _json("messages"))
+
+
+def q_evaluate_from_jsonl(spark, sf):
+    test = J.read_split(spark, _split_files(spark, sf), "test", "row_id")
+    return E.evaluate(test, dt.predictions(spark, sf)).summary
+
+
+def _item_files(spark, sf):
+    """The benchmark texts, each in a file of its own."""
+    path = _fresh(spark, "items")
+    dt.table(spark, sf, "benchmark").repartition("item_id").write.partitionBy("item_id").text(path)
+    return f"{path}/item_id=*"
+
+
+def _item_id():
+    return F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id")
+
+
+def q_read_diffs(spark, sf):
+    return SC.read_diffs(spark, _item_files(spark, sf)).select(_item_id(), "diff")
+
+
+def q_require_rows(spark, sf):
+    return curate.require_rows(_clean(spark, sf)).select("row_id", "message")
+
+
+def q_peek(spark, sf):
+    return scoring.peek(_clean(spark, sf)).select("row_id", "message")
+
+
+def q_sql_functions(spark, sf):
+    """U2 on whole document texts."""
+    register(spark)
+    dt.table(spark, sf, "documents").createOrReplaceTempView("sql_functions_documents")
+    return spark.sql(
+        """SELECT doc_id, py_subject_line(text) AS subject, py_is_conventional(text) AS conventional, py_has_noise(text) AS noise,
+             py_truncate_diff(text) AS truncated, py_norm_match(text) AS norm FROM sql_functions_documents"""
+    )
+
+
+def _streamed(spark, sdf, name):
+    """All that has arrived, through a real stream into files, read back."""
+    out = _fresh(spark, name)
+    sdf.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(out)
+
+
+def q_stream_prompts(spark, sf):
+    return _streamed(spark, stream_prompts(spark, _item_files(spark, sf)), "prompts").select(_item_id(), _json("messages"))
+
+
+def q_evaluate_missing(spark, sf):
+    """A run without a prediction for any sampled row is missing them all."""
+    late = dt.predictions(spark, sf).join(_commits(spark, sf).where(F.col("split") == "train").select("row_id"), "row_id")
+    preds = dt.predictions(spark, sf).unionByName(late.where("run_id = 'base'").withColumn("run_id", F.lit("late")))
+    return E.evaluate(_prepared(spark, sf).where(F.col("split") == "test"), preds).missing
+
+
+def _codepoints(texts):
+    return [[ord(ch) for ch in t] for t in texts]
+
+
+def q_build_sequences_user_tokenizer(spark, sf):
+    out = S.build_sequences(_prepared(spark, sf), tokenizer=S.UdfTokenizer(_codepoints, 0, 3))
+    return out.select(
+        "dataset", "row_id", "batch_id", "pos", _json("input_ids"), _json("attention_mask"), _json("labels")
+    )
 
 
 def q_chat_examples(spark, sf):
@@ -245,8 +364,7 @@ def q_pair_predictions(spark, sf):
 
 
 def q_missing_predictions(spark, sf):
-    tuned = dt.predictions(spark, sf).where(F.col("run_id") == "tuned")
-    return scoring.missing_predictions(_gold_test(spark, sf), tuned).select("row_id")
+    return scoring.missing_by_run(_gold_test(spark, sf).select("row_id"), dt.predictions(spark, sf)).select("run_id", "row_id")
 
 
 def q_score_predictions(spark, sf):
@@ -254,7 +372,7 @@ def q_score_predictions(spark, sf):
 
 
 def q_eval_summary(spark, sf):
-    return scoring.eval_summary(_scored(spark, sf).where(F.col("run_id") == "tuned"))
+    return scoring.eval_summary(_scored(spark, sf))
 
 
 def q_compare_runs(spark, sf):
@@ -340,7 +458,9 @@ def q_evaluate_generated(spark, sf):
 
 
 def q_stream_curate(spark, sf):
-    return stream_curate(_commits(spark, sf)).select("row_id", "message", _json("messages"))
+    path = _written(_commits(spark, sf), "arriving", "row_id")
+    arriving = spark.readStream.schema(_commits(spark, sf).schema).parquet(path)
+    return _streamed(spark, stream_curate(arriving), "curated").select("row_id", "message", _json("messages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -405,24 +525,25 @@ padded AS (
   FROM batched
 )"""
     out = {
-        "read_commits": f"{W(c)}\nSELECT row_id, diff, message, split FROM commits",
-        "union_splits": f"{W(c)}\nSELECT row_id, diff, message, split FROM commits WHERE split IN ('train', 'val', 'validation', 'test', 'holdout')",
+        "read_commits": f"{W(c)}\nSELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, diff, message, split FROM commits",
+        "write_commits": f"{W(c)}\nSELECT row_id, diff, message, split FROM commits",
+        "union_splits": f"{W(c)}\nSELECT row_id, diff, message, split FROM commits",
         "filter_nulls": f"{W(c)}\nSELECT row_id, diff, message, split FROM commits WHERE diff IS NOT NULL AND message IS NOT NULL",
         "filter_diff_len": f"{W(c)}\nSELECT row_id FROM commits WHERE diff IS NOT NULL AND message IS NOT NULL AND length(diff) >= 20",
         "filter_msg_len": f"{W(c)},\n{O.BASIC}\nSELECT row_id, message FROM basic",
-        "has_noise": f"{W(c)}\nSELECT row_id, {O.noise('message')} AS has_noise FROM commits {ok_msg}",
-        "is_conventional": f"{W(c)}\nSELECT row_id, {O.conventional('message')} AS is_conventional FROM commits {ok_msg}",
+        "has_noise": f"{W('messages')}\nSELECT row_id, {O.noise('message')} AS has_noise FROM messages {ok_msg}",
+        "is_conventional": f"{W('messages')}\nSELECT row_id, {O.conventional('message')} AS is_conventional FROM messages {ok_msg}",
         "clean_messages": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, message FROM clean",
         "non_blank": f"SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND {O.nonblank('text')}",
         "valid_commit_type": f"{W('structured_commits')}\nSELECT row_id, type, type IN ({', '.join(O.q(t) for t in O.COMMIT_TYPES)}) AS valid FROM structured_commits",
         "dedup_keep_first": f"{W(c)},\n{O.BASIC}\nSELECT row_id, message FROM dedup",
         "py_strip": f"SELECT conv_id, turn, {O.strip('text')} AS stripped FROM conversations",
-        "subject_line": f"{W(c)}\nSELECT row_id, {O.subject('message')} AS subject FROM commits",
-        "strip_footers": f"{W(c)}\nSELECT row_id, {O.strip_footers('message')} AS stripped FROM commits",
+        "subject_line": f"{W('messages')}\nSELECT row_id, {O.subject('message')} AS subject FROM messages",
+        "strip_footers": f"{W('messages')}\nSELECT row_id, {O.strip_footers('message')} AS stripped FROM messages",
         "truncate_diff": f"{W(c)}\nSELECT row_id, {O.truncate('diff')} AS diff FROM commits",
         "user_message": f"{W(c)}\nSELECT row_id, {O.user_message('diff')} AS user_message FROM commits",
         "extract_diff": f"{W(c)}\nSELECT row_id, {O.extract(O.user_message('diff'))} AS round_trip, {O.extract('diff')} AS from_raw FROM commits",
-        "norm_match": f"{W(c)}\nSELECT row_id, {O.norm('message')} AS normalized FROM commits",
+        "norm_match": f"{W('messages')}\nSELECT row_id, {O.norm('message')} AS normalized FROM messages",
         "format_commit": f"{W('structured_commits')}\nSELECT row_id, {O.format_commit('type', 'scope', 'description')} AS formatted FROM structured_commits",
         "diff_preview": f"{W(c)}\nSELECT row_id, {O.preview('diff')} AS diff_preview FROM commits",
         "chat_jsonl": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, CAST(to_json({{'messages': {chat_q}}}) AS VARCHAR) AS value FROM prepared",
@@ -441,7 +562,7 @@ ranked AS (SELECT row_id, row_number() OVER (ORDER BY {O.seeded('row_id')}, row_
 SELECT row_id, CASE WHEN rk < CAST(floor(n * 0.8) AS BIGINT) THEN 'train'
   WHEN rk < CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) THEN 'valid' ELSE 'test' END AS split
 FROM ranked""",
-        "sample_n": f"{W(c)},\n{O.CLEAN},\n{sample.format(src='clean')}\nSELECT row_id, CAST(sample_pos AS INTEGER) AS sample_pos FROM sampled",
+        "sample_n": f"{W(c)},\n{O.CLEAN},\n{sample.format(src='clean')}\nSELECT row_id, sample_pos FROM sampled",
         "split_values": f"{W(c)}\nSELECT DISTINCT split FROM commits",
         "filter_funnel": f"""{W(c)},
 flags AS (
@@ -466,9 +587,9 @@ mapped AS (SELECT coalesce({O.CURATED}, 'dropped') AS split FROM clean)
 SELECT n.split, CAST(count(m.split) AS BIGINT) AS rows FROM names n LEFT JOIN mapped m ON m.split = n.split GROUP BY n.split""",
         "corpus_size": f"{W(c)},\n{O.PREPARED}\nSELECT count(*) AS rows, count(*) < 200 AS small_corpus FROM prepared WHERE split = 'train'",
         "pair_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT run_id, row_id, gold, prediction FROM scored",
-        "missing_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT row_id FROM gold WHERE row_id NOT IN (SELECT row_id FROM predictions WHERE run_id = 'tuned')",
+        "missing_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT r.run_id, g.row_id FROM gold g, (SELECT DISTINCT run_id FROM predictions) r WHERE (r.run_id, g.row_id) NOT IN (SELECT (run_id, row_id) FROM predictions)",
         "score_predictions": f"{W('predictions')},\n{O.GOLD}\nSELECT run_id, row_id, conventional, exact_match FROM scored",
-        "eval_summary": f"{W('predictions')},\n{O.GOLD}\nSELECT {O.SUMMARY_COLS} FROM scored WHERE run_id = 'tuned'",
+        "eval_summary": f"{W('predictions')},\n{O.GOLD}\nSELECT {O.SUMMARY_COLS} FROM scored",
         "compare_runs": f"{W('predictions')},\n{O.GOLD}\nSELECT run_id, {O.SUMMARY_COLS} FROM scored GROUP BY run_id",
         "eval_examples": f"""{W('predictions')},\n{O.GOLD},
 tests AS (SELECT * FROM prepared WHERE split = 'test'),
@@ -483,11 +604,11 @@ numbered AS (
     count(*) OVER (PARTITION BY run_id, bucket) AS total
   FROM both_
 )
-SELECT run_id, bucket, CAST(pos AS INTEGER) AS pos, total, CAST(sample_pos AS INTEGER) AS sample_pos, gold, prediction,
+SELECT run_id, bucket, CAST(pos AS INTEGER) AS pos, total, sample_pos, gold, prediction,
   {O.preview('diff')} AS diff_preview
 FROM numbered WHERE pos <= 5""",
         "eval_subset": f"""{W(c)},\n{O.PREPARED}
-SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS subset_pos
+SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS subset_pos
 FROM prepared WHERE split = 'valid' QUALIFY subset_pos < 50""",
         "evaluate": f"""{W('predictions')},\n{O.GOLD},
 tests AS (SELECT * FROM prepared WHERE split = 'test'),
@@ -532,6 +653,23 @@ scored AS (
   FROM gen
 )
 SELECT run_id, {O.SUMMARY_COLS} FROM scored GROUP BY run_id""",
+        "read_chat_jsonl": f"{W(c)},\n{O.PREPARED}\nSELECT row_number() OVER (ORDER BY row_id) - 1 AS place, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM prepared",
+        "jsonl_round_trip": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM prepared",
+        "read_diffs": "SELECT item_id, text || chr(10) AS diff FROM benchmark",
+        "require_rows": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, message FROM clean",
+        "peek": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, message FROM clean ORDER BY row_id LIMIT 1",
+        "sql_functions": f"""SELECT doc_id, {O.subject('text')} AS subject, coalesce({O.conventional('text')}, false) AS conventional, {O.noise('text')} AS noise,
+  {O.truncate('text')} AS truncated, {O.norm('text')} AS norm FROM documents""",
+        "stream_prompts": f"SELECT item_id, CAST(to_json({O.inference('(text || chr(10))')}) AS VARCHAR) AS messages FROM benchmark WHERE {O.nonblank('text')}",
+        "evaluate_missing": f"""{W('predictions')},\n{O.GOLD},
+tests AS (SELECT * FROM prepared WHERE split = 'test'),
+{sample.format(src='tests')},
+runs AS (
+  SELECT run_id, row_id FROM predictions
+  UNION ALL
+  SELECT 'late', p.row_id FROM predictions p JOIN commits c USING (row_id) WHERE p.run_id = 'base' AND c.split = 'train'
+)
+SELECT r.run_id, s.row_id FROM sampled s, (SELECT DISTINCT run_id FROM runs) r WHERE (r.run_id, s.row_id) NOT IN (SELECT (run_id, row_id) FROM runs)""",
         "stream_curate": f"""{W(c)},
 basic AS (
   SELECT * FROM commits
@@ -540,13 +678,31 @@ basic AS (
 cl AS (SELECT row_id, diff, {O.clean('message')} AS message FROM basic)
 SELECT row_id, message, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM cl WHERE message IS NOT NULL""",
     }
-    return out
+    return out | {"evaluate_from_jsonl": out["evaluate"], "build_sequences_user_tokenizer": out["build_sequences"]}
 
 
 # --- contract -----------------------------------------------------------------
 
+def _with_checkpoint_dir(spark: SparkSession) -> SparkSession:
+    """A local session (tests, smoke checks) without a checkpoint folder gets one; a cluster must name its own."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="diffcorpus-checkpoints-"))
+    return spark
+
+
+def _contract(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(_with_checkpoint_dir(spark), sf_dir)
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the whole preparation pipeline (E1) on sf0.001."""
+    _with_checkpoint_dir(spark)
     return _prepared(spark, FLAGSHIP_SF)
 
 
@@ -554,7 +710,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = dict(QUERIES)
     if llm_queries:
         out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
-    return out
+    return {name: _contract(query) for name, query in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,7 @@
 """Command line: the original scripts' data steps as Spark jobs.
 
     python -m diffcorpus.cli combine   --inputs a.parquet b.parquet --out raw/
-    python -m diffcorpus.cli prepare   --input raw/ --out processed/ [--with-ids]
+    python -m diffcorpus.cli prepare   --input raw/ --out processed/ [--without-ids]
     python -m diffcorpus.cli evaluate  --data processed/ --predictions preds/ --out report/
     python -m diffcorpus.cli evaluate  --data processed/ --generator my_model:load --out report/
     python -m diffcorpus.cli sequences --data processed/ --out sequences/
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULT
 
+REPORT_VALUES = 50  # split values that ``combine`` prints
+
 
 def _session() -> SparkSession:
     builder = SparkSession.builder.appName("diffcorpus")
@@ -45,7 +47,11 @@ def cmd_combine(args, spark):
     dfs = [_read_table(spark, p) for p in args.inputs]
     combined = union_splits(dfs, args.names)
     write_commits(combined, args.out, mode=args.mode)
-    print(json.dumps({"split_values": [r[0] for r in combined.select("split").distinct().collect()]} if "split" in combined.columns else {}))
+    if "split" in combined.columns:  # a report: the first values
+        values = combined.select("split").distinct().orderBy("split").limit(REPORT_VALUES).collect()
+        print(json.dumps({"split_values": [r[0] for r in values]}))
+    else:
+        print(json.dumps({}))
 
 
 def cmd_prepare(args, spark):
@@ -60,7 +66,7 @@ def cmd_prepare(args, spark):
     if args.funnel:
         print(json.dumps(curate.filter_funnel(raw, cfg).first().asDict()))
     out = prepare(raw, cfg)
-    write_splits(out, args.out, mode=args.mode, id_col="row_id" if args.with_ids else None)
+    write_splits(out, args.out, mode=args.mode, id_col=None if args.without_ids else "row_id")
     print(json.dumps({r["split"]: r["rows"] for r in split_counts(out).collect()}))
 
 
@@ -155,7 +161,8 @@ def main(argv=None) -> None:
     p.add_argument("--diff-col", default="diff")
     p.add_argument("--message-col", default="message")
     p.add_argument("--split-col", default="split")
-    p.add_argument("--with-ids", action="store_true")
+    p.add_argument("--with-ids", action="store_true", help="the default")
+    p.add_argument("--without-ids", action="store_true", help="lines of messages only")
     p.add_argument("--funnel", action="store_true")
     e = sub.add_parser("evaluate")
     e.add_argument("--data", required=True)

@@ -139,7 +139,7 @@ def extract_diff(c: Column | str, strict: bool = False) -> Column:
     found = F.regexp_extract(c, DIFF_BLOCK_RE, 1)
     missing = F.lit(None).cast("string")
     if strict:
-        missing = F.raise_error(F.lit("Could not find ```diff block in user message")).cast("string")
+        missing = F.raise_error(F.lit("the user message holds no fenced diff")).cast("string")
     return F.when(c.isNull(), F.lit(None).cast("string")).when(c.rlike(DIFF_BLOCK_RE), found).otherwise(missing)
 
 

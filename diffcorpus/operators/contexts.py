@@ -29,21 +29,17 @@ def conversation_contexts(
     t = py_strip(F.col(text))
     low = F.lower(t)
     is_user = F.col(role) == "user"
-    # one partitioning and order for every window: a single shuffle by conversation
     upto = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    staged = (
+    # rows of one conversation and epoch lie together after the first shuffle: no second one
+    epoch = Window.partitionBy(conv, "_epoch").orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = (
         df.where(F.col(role).isin("user", "assistant"))
         .select(conv, turn, role, t.alias("_t"), (is_user & (low == "r")).alias("_reset"), (is_user & (low == "q")).alias("_quit"))
         .withColumn("_quit_seen", F.max(F.col("_quit").cast("int")).over(upto))
         .withColumn("_epoch", F.sum(F.col("_reset").cast("int")).over(upto))
-        .withColumn("_keep", (F.col("_quit_seen") == 0) & ~F.col("_reset") & ~(is_user & is_blank("_t")))
+        .where((F.col("_quit_seen") == 0) & ~F.col("_reset") & ~F.coalesce(is_user & is_blank("_t"), F.lit(False)))
     )
-    entry = F.when(F.col("_keep"), F.struct(F.col("_epoch").alias("e"), F.col(role).alias("role"), F.col("_t").alias("content")))
-    with_hist = staged.withColumn("_hist", F.collect_list(entry).over(upto))
-    current = F.transform(
-        F.filter("_hist", lambda h: h["e"] == F.col("_epoch")),
-        lambda h: F.struct(h["role"].alias("role"), h["content"].alias("content")),
-    )
-    return with_hist.where(F.col("_keep") & is_user).select(
-        conv, turn, F.concat(F.array(message("system", F.lit(system_prompt))), current).alias("messages")
+    entry = F.struct(F.col(role).alias("role"), F.col("_t").alias("content"))
+    return kept.withColumn("_hist", F.collect_list(entry).over(epoch)).where(is_user).select(
+        conv, turn, F.concat(F.array(message("system", F.lit(system_prompt))), F.col("_hist")).alias("messages")
     )

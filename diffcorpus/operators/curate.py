@@ -42,7 +42,7 @@ def clean_filter(df: DataFrame, col: str = "message", max_lines: int = 3) -> Dat
 def require_rows(df: DataFrame, what: str = "rows") -> DataFrame:
     """F8: fail with a clear error when nothing survives (one small action)."""
     if df.isEmpty():
-        raise ValueError(f"No {what} left after filtering. Relax the length thresholds or inspect the cleaning rules.")
+        raise ValueError(f"the filters leave no {what}: check the length bounds and the cleaning rules against the input")
     return df
 
 
@@ -59,65 +59,21 @@ def content_hash(c: Column | str) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def first_copies(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """``order_col`` of the first row (smallest ``order_col``) of each distinct ``key``.
-
-    Only (hash, id) pairs are shuffled and the ``min`` is combined map-side,
-    so one very frequent key never lands in a single task.
-    """
-    return (
-        df.select(content_hash(key).alias("_key_hash"), F.col(order_col))
-        .groupBy("_key_hash")
-        .agg(F.min(order_col).alias(order_col))
-        .select(order_col)
-    )
-
-
-LOSERS_BROADCAST_MAX = 5_000_000  # duplicate ids broadcast to the scan: ~40 MB
-
-
-def dedup_keep_first(
-    df: DataFrame,
-    key: str = "diff",
-    order_col: str = "row_id",
-    strategy: str = "auto",
-    broadcast_max: int = LOSERS_BROADCAST_MAX,
-) -> DataFrame:
+def dedup_keep_first(df: DataFrame, key: str = "diff", order_col: str = "row_id") -> DataFrame:
     """Exact dedup on ``key`` keeping the first row in ``order_col`` order.
 
-    ``order_col`` must be unique.  Only (hash, id) pairs are shuffled; the
-    per-hash ``min``/``count`` is combined map-side, so a key holding a third
-    of all rows never lands in one task.
-
-    * ``"shuffle"``: lazy; the wide rows are semi-joined with the first ids
-      on the unique id (one uniform shuffle of the wide rows).
-    * ``"auto"``: the (hash, id) pairs are written once; the exact number of
-      later copies is ``sum(count - 1)``.  When it is at most
-      ``broadcast_max``, their ids are found against the (as few) duplicate
-      groups and dropped from the scan with a broadcast anti-join, so the
-      wide rows never move; otherwise the shuffle path is used.
+    ``order_col`` must be unique.  The (hash, id) pairs are written once, and
+    so are the ids of later copies: those that are no group's smallest id.
+    Both joins are on the unique id, so a key holding a third of all rows
+    never lands in one task; the planner sees the written bytes of the later
+    copies and alone decides whether the wide rows must move.
     """
-    if strategy == "shuffle":
-        return df.join(first_copies(df, key, order_col), order_col, "left_semi")
-    if strategy != "auto":
-        raise ValueError(f"unknown strategy {strategy!r}")
     from ..session import materialize
 
     slim = materialize(df.select(content_hash(key).alias("_key_hash"), F.col(order_col)), "dedup-keys")
-    groups = slim.groupBy("_key_hash").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    losers = groups.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
-    if losers == 0:
-        return df
-    if losers <= broadcast_max:
-        # at most `losers` groups; null keys count as one value, as in the shuffle path
-        dups = groups.where(F.col("_n") > 1).select(F.col("_key_hash").alias("_dup_hash"), "_first")
-        loser_ids = (
-            slim.join(F.broadcast(dups), F.col("_key_hash").eqNullSafe(F.col("_dup_hash")))
-            .where(F.col(order_col) != F.col("_first"))
-            .select(order_col)
-        )  # exactly `losers` ids
-        return df.join(F.broadcast(loser_ids), order_col, "left_anti")
-    return df.join(groups.select(F.col("_first").alias(order_col)), order_col, "left_semi")
+    first = slim.groupBy("_key_hash").agg(F.min(order_col).alias(order_col)).select(order_col)
+    later = materialize(slim.select(order_col).join(first, order_col, "left_anti"), "later-copies")
+    return df.join(later, order_col, "left_anti")
 
 
 def filter_funnel(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import sysconfig
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -42,22 +43,27 @@ def generate(
 ) -> DataFrame:
     """Run a user generator on prompt messages; outputs are stripped.
 
-    ``make_fn`` is called once per task (load the model there); the returned
-    function gets a list of message lists (dicts with ``role``/``content``)
-    and returns one text per prompt.  Rows stream through in Arrow batches of
-    ``batch_rows``.  The result is lazy like any DataFrame: write it (see
-    ``session.materialize``) before using it twice, or the model runs twice.
+    ``make_fn`` (load the model there) is called once per Python worker and
+    not for empty partitions; the returned function gets a list of message
+    lists (dicts with ``role``/``content``) and returns one text per prompt.
+    Rows stream through in Arrow batches of ``batch_rows``.  The result is
+    lazy like any DataFrame: write it (see ``session.materialize``) before
+    using it twice, or the model runs twice.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
     ship_by_value(make_fn)
+    key = f"{getattr(make_fn, '__module__', '')}.{getattr(make_fn, '__qualname__', '')}-{uuid.uuid4().hex}"
 
     def run(batches: Iterator) -> Iterator:
-        fn = make_fn()
+        loaded = sys.__dict__.setdefault("_diffcorpus_generators", {})  # lives as long as the worker process
         for pdf in batches:
+            if len(pdf) and key not in loaded:
+                loaded.clear()  # one model at a time
+                loaded[key] = make_fn()
             for start in range(0, len(pdf), batch_rows):
                 chunk = pdf.iloc[start : start + batch_rows].copy()
                 prompts = [[{"role": m["role"], "content": m["content"]} for m in msgs] for msgs in chunk[messages_col]]
-                outs = fn(prompts)
+                outs = loaded[key](prompts)
                 if len(outs) != len(prompts):
                     raise ValueError("generator returned a different number of outputs")
                 chunk[out_col] = [None if o is None else str(o).strip() for o in outs]

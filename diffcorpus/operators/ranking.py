@@ -5,8 +5,8 @@ gives every bucket its rank offset.  Two kinds of buckets:
 
 * seeded order ``md5('<seed>:<id>')``: the first hex digits of the key, so
   ``16**digits`` uniform buckets whatever the data;
-* order by a unique numeric column: ranges between approximate quantiles
-  (one sketch pass), looked up with a balanced tree of comparisons.
+* order by a unique column of any type: ranges between the quantiles of a
+  bounded sample, looked up with a balanced tree of comparisons.
 
 Uses:
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 4
 RANGE_BUCKETS = 1024
+BOUND_SAMPLE = 50_000  # ids that reach the driver for range bounds, about
 
 
 def seeded_key(order_col: Column | str, seed: int) -> Column:
@@ -39,26 +40,37 @@ def hex_bucket(key: str, digits: int = BUCKET_DIGITS) -> Column:
     return F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, rel_err: float = 1e-4) -> Column:
-    """Ordered range bucket of a numeric column from approximate quantiles.
+def range_bucket(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, sample: int = BOUND_SAMPLE) -> Column:
+    """Ordered range bucket of a column of any orderable type.
 
-    One sketch pass; ``buckets - 1`` bounds reach the driver.  Bucket ``i``
-    holds values in ``[bound[i-1], bound[i])``; the lookup is a balanced tree
-    of comparisons (``log2(buckets)`` per row).
+    The bounds are quantiles of about ``sample`` values, chosen by a hash of
+    the value; they only set how even the buckets are, never the result.  The
+    lookup is a balanced tree of comparisons (``log2(buckets)`` per row).
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted({b for b in df.approxQuantile(col, probs, rel_err) if b is not None})
-    c = F.col(col).cast("double")
+    total = df.count()
+    spread = F.pmod(F.xxhash64(F.col(col).cast("string")), F.lit(1 << 32))
+    values = sorted(r[0] for r in df.where(F.col(col).isNotNull() & (spread < int(min(1.0, sample / max(total, 1)) * (1 << 32)))).select(col).distinct().collect())
+    bounds = sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
+    c = F.col(col)
 
     def build(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(c >= F.lit(float(bounds[mid - 1])), build(mid, hi)).otherwise(build(lo, mid - 1))
+        return F.when(c >= F.lit(bounds[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
 
     return build(0, len(bounds))
 
 
+def checked_id(col: str) -> Column:
+    """The id itself; a null id fails the job instead of losing its row in a join."""
+    return F.when(F.col(col).isNull(), F.raise_error(F.lit(f"{col} is null: rows need an id here"))).otherwise(F.col(col)).alias(col)
+
+
+def with_checked_id(df: DataFrame, col: str) -> DataFrame:
+    return df.select(*[checked_id(c) if c == col else F.col(c) for c in df.columns])
+
+
 def bucket_offsets(df: DataFrame, bucket: Column) -> tuple[list[int], list[int], int]:
     """(buckets, rows before each bucket, total) from one aggregated pass."""
     counts = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())

@@ -49,8 +49,10 @@ def eval_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 def compare_runs(scored: DataFrame, run_col: str = "run_id", wide: bool = False, runs: list[str] | None = None) -> DataFrame:
     """The A5 summary per run; ``wide`` gives one row with ``<run>_<metric>`` columns.
 
-    Pass ``runs`` to fix the pivot columns (otherwise a small distinct job finds them).
+    A wide table needs its columns named: pass ``runs``.
     """
+    if wide and runs is None:
+        raise ValueError("wide=True needs runs: the run ids that become columns")
     if not wide:
         return eval_summary(scored, [run_col])
     return scored.groupBy().pivot(run_col, runs).agg(*summary_columns())
@@ -80,24 +82,32 @@ def eval_examples(
     )
 
 
-def eval_subset(df: DataFrame, n: int, order_col: str = "row_id", topk_limit: int = 200_000) -> DataFrame:
-    """The first ``n`` rows in ``order_col`` order (unique), with 0-based ``subset_pos``.
+def eval_subset(df: DataFrame, n: int, order_col: str = "row_id") -> DataFrame:
+    """The first ``n`` rows in ``order_col`` order (unique), with 0-based ``subset_pos`` (BIGINT).
 
-    Small ``n``: a top-k over the ids and a broadcast join back.  Large
-    ``n``: an exact cut in ``order_col`` order (range buckets) and a map-side
-    filter, then an exact rank among the picked rows.
+    An exact cut in ``order_col`` order (range buckets) and a map-side
+    filter, then an exact rank among the picked rows.  Ids may be of any
+    orderable type; a null id fails.
     """
-    if n <= topk_limit:
-        ids = df.select(order_col).orderBy(order_col).limit(n)
-        # at most n ids: an unpartitioned window is bounded here
-        ids = ids.withColumn("subset_pos", F.row_number().over(Window.orderBy(order_col)) - 1)
-        return df.join(F.broadcast(ids), order_col)
+    df = ranking.with_checked_id(df, order_col)
     bucket = ranking.range_bucket(df, order_col)
     (cut,) = ranking.cut_points(df, [order_col], [n], bucket)
     picked = df.where(ranking.before_cut([order_col], cut))
     return ranking.global_rank(picked, [order_col], bucket, "subset_pos")
 
 
+def missing_by_run(gold_ids: DataFrame, pred: DataFrame, key: str = "row_id", run_col: str = "run_id") -> DataFrame:
+    """``(run, key)``: gold rows that a run of ``pred`` has no prediction for, for every run that ``pred`` names.
+
+    The runs come from all of ``pred``, so one without any prediction for
+    these rows is missing all of them.  Lazy: the run ids are a scalar
+    subquery (few: one value per run), and only ids are joined.
+    """
+    runs = pred.agg(F.sort_array(F.collect_set(run_col)).alias("runs")).scalar()
+    have = gold_ids.join(pred.select(key, run_col), key, "left").groupBy(key).agg(F.collect_set(run_col).alias("_have"))
+    return have.select(F.explode(F.array_except(runs, "_have")).alias(run_col), key)
+
+
 def peek(df: DataFrame, order_col: str = "row_id") -> DataFrame:
     """The first row."""
     return df.orderBy(order_col).limit(1)

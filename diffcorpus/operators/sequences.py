@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,13 +109,10 @@ def pad_arrays(df: DataFrame, width: Column) -> DataFrame:
 def pad_batches(df: DataFrame, batch_size: int, pad_id: int, rank_col: str = "rank") -> DataFrame:
     """Q5: ``batch_id = rank div batch_size``; right-pad the three arrays to the batch maximum.
 
-    ids pad with ``pad_id``, the mask with 0, labels with -100.  The batch
-    maximum is a window per batch (at most ``batch_size`` rows each).
-    ``plans.sequences.build_sequences`` uses a variant that needs no
-    second shuffle.
+    ids pad with ``pad_id``, the mask with 0, labels with -100.  The widths
+    come from slim rows (a partial maximum per batch) and join back by batch.
     """
-    batched = df.withColumn("batch_id", F.floor(F.col(rank_col) / batch_size).cast("long")).withColumn(
-        "pos", (F.col(rank_col) % batch_size).cast("int")
-    )
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
-    return pad_arrays(batched.withColumn("_pad_id", F.lit(pad_id)), width)
+    batch = F.floor(F.col(rank_col) / batch_size).cast("long").alias("batch_id")
+    widths = df.groupBy(batch).agg(F.max(F.size("input_ids")).alias("_width"))
+    batched = df.select("*", batch, (F.col(rank_col) % batch_size).cast("int").alias("pos")).join(widths, "batch_id")
+    return pad_arrays(batched.withColumn("_pad_id", F.lit(pad_id)), F.col("_width")).drop("_width")

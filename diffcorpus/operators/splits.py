@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CURATED_SPLITS, DEFAULT, SPLIT_NAMES, Config
 from . import ranking
 
-TOPK_IDS_MAX = 200_000  # ids kept by a top-k and broadcast back: ~3 MB
-
 
 def n_split_values(split_col: str = "split") -> Column:
     """Aggregate: distinct split values, null counted as one value."""
@@ -80,24 +78,16 @@ def split(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> Da
     return split_random(df, cfg, order_col, cfg.split_col)
 
 
-def sample_n(
-    df: DataFrame, n: int, seed: int = 42, order_col: str = "row_id", topk_limit: int = TOPK_IDS_MAX
-) -> DataFrame:
-    """The first ``min(n, N)`` rows in seeded order, with their 0-based ``sample_pos``.
+def sample_n(df: DataFrame, n: int, seed: int = 42, order_col: str = "row_id") -> DataFrame:
+    """The first ``min(n, N)`` rows in seeded order, with their 0-based ``sample_pos`` (BIGINT).
 
-    Small ``n``: a top-k over (key, id) only, then a broadcast join back (at
-    most ``topk_limit`` ids).  Large ``n``: a cut point and a map-side
-    filter, then an exact rank among the picked rows.  No task ever holds
-    ``n`` wide rows.
+    A cut point and a map-side filter, then an exact rank among the picked
+    rows: one plan for every ``n``, and no task holds more than a bucket.
+    Ids may be of any type; a null id fails.
     """
     key = "_sample_key"
     cols = [key, order_col]
-    keyed = df.withColumn(key, ranking.seeded_key(order_col, seed))
-    if n <= topk_limit:
-        ids = keyed.select(*cols).orderBy(*cols).limit(n)
-        # at most n slim rows: an unpartitioned window is bounded here
-        ids = ids.withColumn("sample_pos", F.row_number().over(Window.orderBy(*cols)) - 1).select(order_col, "sample_pos")
-        return keyed.join(F.broadcast(ids), order_col).drop(key)
+    keyed = ranking.with_checked_id(df, order_col).withColumn(key, ranking.seeded_key(order_col, seed))
     (cut,) = ranking.cut_points(keyed, cols, [n], ranking.hex_bucket(key))
     picked = keyed.where(ranking.before_cut(cols, cut))
     return ranking.global_rank(picked, cols, ranking.hex_bucket(key), "sample_pos").drop(key)

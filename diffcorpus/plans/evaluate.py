@@ -13,9 +13,6 @@ from ..operators import scoring, splits
 from ..session import materialize
 
 
-BROADCAST_IDS_MAX = 1_000_000  # 8 MB of ids
-
-
 @dataclass
 class Evaluation:
     scored: DataFrame
@@ -24,8 +21,8 @@ class Evaluation:
     missing: DataFrame
 
 
-def gold_rows(chat: DataFrame, order_col: str = "row_id", strict: bool = False, keep: tuple = ()) -> DataFrame:
-    """C3 over a chat table: ``(row_id, *keep, diff, gold)``."""
+def gold_rows(chat: DataFrame, order_col: str = "row_id", strict: bool = True, keep: tuple = ()) -> DataFrame:
+    """C3 over a chat table: ``(row_id, *keep, diff, gold)``; a record without a user or assistant text fails if ``strict``."""
     return chat.select(F.col(order_col), *keep, parse_chat("messages", strict).alias("_p")).select(
         order_col, *keep, "_p.diff", "_p.gold"
     )
@@ -37,54 +34,33 @@ def evaluate(
     cfg: Config = DEFAULT,
     order_col: str = "row_id",
     run_col: str = "run_id",
+    strict: bool = True,
 ) -> Evaluation:
     """Seeded sample of ``cfg.eval_n`` held-out records, paired with each run's predictions.
 
     ``predictions`` is ``(run_id, row_id, prediction)`` -- a table, or the
-    output of ``operators.generation.generate``.
+    output of ``operators.generation.generate``.  The sample is written once;
+    everything else is lazy, so only what is asked for runs.
     """
     sample = splits.sample_n(chat, cfg.eval_n, cfg.eval_seed, order_col)
-    small = cfg.eval_n <= BROADCAST_IDS_MAX
-    gold = gold_rows(sample, order_col, keep=("sample_pos",))
-    if small:
-        # at most eval_n rows: written once, then read for the ids, the pairing and the examples
-        gold = materialize(gold, "eval-sample")
-        predictions = predictions.join(F.broadcast(gold.select(order_col)), order_col, "left_semi")
+    gold = materialize(gold_rows(sample, order_col, strict, keep=("sample_pos",)), "eval-sample")
     scored = scoring.score(scoring.pair(gold, predictions, order_col))
-    if small:
-        # at most eval_n rows per run: written once, read by the summary and the examples
-        scored = materialize(scored, "scored")
-    by = [run_col] if run_col in predictions.columns else []
+    runs = run_col in predictions.columns
+    by = [run_col] if runs else []
+    if runs:
+        missing = scoring.missing_by_run(gold.select(order_col), predictions, order_col, run_col)
+    else:
+        missing = scoring.missing_predictions(gold.select(order_col), predictions, order_col).select(
+            F.lit(None).cast("string").alias(run_col), order_col
+        )
     return Evaluation(
         scored=scored,
         summary=scoring.eval_summary(scored, by),
         examples=scoring.eval_examples(scored, cfg.examples_k, "sample_pos", by, cfg.preview_len),
-        missing=_missing_per_run(gold.select(order_col), predictions, order_col, run_col),
+        missing=missing,
     )
 
 
-def _missing_per_run(gold_ids: DataFrame, predictions: DataFrame, order_col: str, run_col: str) -> DataFrame:
-    """``(run_id, row_id)`` of sampled gold rows a run has no prediction for.
-
-    One anti-join per run id (runs are few: base / tuned / checkpoints).
-    """
-    if run_col not in predictions.columns:
-        return scoring.missing_predictions(gold_ids, predictions, order_col).withColumn(run_col, F.lit(None).cast("string"))
-    runs = sorted(r[0] for r in predictions.select(run_col).distinct().collect())
-    parts = [
-        scoring.missing_predictions(gold_ids, predictions.where(F.col(run_col) == run), order_col).withColumn(
-            run_col, F.lit(run)
-        )
-        for run in runs
-    ]
-    if not parts:
-        return gold_ids.withColumn(run_col, F.lit(None).cast("string"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(run_col, order_col)
-
-
 def evaluate_generated(
     chat: DataFrame,
     make_fn,

@@ -17,27 +17,29 @@ def prepare(
 ) -> DataFrame:
     """Chat examples ``(row_id, split, messages)`` for train / valid / test.
 
-    The cleaned table is written once below the checkpoint folder (when
-    ``written``) so the split decision and a random split read it instead of
-    re-running the scan and the dedup shuffle.  With ``require_rows`` an
-    empty cleaned table raises, as the original preparation does.
+    The decisions need no diff: a slim table of id, split and cleaned message
+    (at most ``max_message_len`` characters) is written once below the
+    checkpoint folder (when ``written``) and answers whether anything is left
+    and how to split.  The diffs stay in the source scan and join on the id.
+    With ``require_rows`` an empty result raises, as the original preparation
+    does.
     """
+    has_split = cfg.split_col in df.columns
+    slim_cols = [order_col, cfg.message_col, *([cfg.split_col] if has_split else [])]
     clean = curate.curate(df, cfg, order_col)
-    if written:
-        clean = materialize(clean.select(order_col, cfg.diff_col, cfg.message_col, *(
-            [cfg.split_col] if cfg.split_col in df.columns else [])), "clean")
+    slim = materialize(clean.select(*slim_cols), "clean") if written else clean.select(*slim_cols)
     # one small aggregate answers both F8 (anything left?) and P1 (curated or random)
-    has_split = cfg.split_col in clean.columns
-    stats = clean.agg(
+    stats = slim.agg(
         F.count(F.lit(1)).alias("rows"),
         *([splits.n_split_values(cfg.split_col).alias("n_values")] if has_split else []),
     ).first()
     if require_rows and stats["rows"] == 0:
-        raise ValueError("No rows left after filtering. Relax the length thresholds or inspect the cleaning rules.")
+        curate.require_rows(slim)
     if has_split and stats["n_values"] > 1:
-        out = splits.split_curated(clean, cfg.split_col)
+        slim = splits.split_curated(slim, cfg.split_col)
     else:
-        out = splits.split_random(clean, cfg, order_col, cfg.split_col)
+        slim = splits.split_random(slim, cfg, order_col, cfg.split_col)
+    out = df.select(order_col, cfg.diff_col).join(slim, order_col)
     return out.select(
         F.col(order_col),
         F.col(cfg.split_col).alias("split"),

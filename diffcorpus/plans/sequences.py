@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.chat import CHATML, ChatTemplate, prompt_messages, render_chat
 from ..operators import ranking, scoring, sequences
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -19,8 +20,9 @@ class CodepointTokenizer:
     pad_id: int | None = 0
     eos_id: int | None = 3
 
-    def ids(self, text: Column) -> Column:
-        return sequences.tokenize_codepoints(text)
+    def ids(self, text: Column, limit: int | None = None) -> Column:
+        """Of the first ``limit`` tokens at least; one token a code point, so the text is cut before it is split."""
+        return sequences.tokenize_codepoints(F.left(text, F.lit(limit)) if limit else text)
 
     def count(self, text: Column) -> Column:
         return F.length(text)
@@ -36,7 +38,7 @@ class UdfTokenizer:
         self.encode, self.pad_id, self.eos_id = encode, pad_id, eos_id
         self._udf = sequences.tokenizer_udf(encode)
 
-    def ids(self, text: Column) -> Column:
+    def ids(self, text: Column, limit: int | None = None) -> Column:
         return self._udf(text)
 
     def count(self, text: Column) -> Column:
@@ -49,13 +51,20 @@ def tokenized(
     """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``."""
     full = render_chat("messages", template, add_generation_prompt=False)
     prompt = render_chat(prompt_messages("messages"), template, add_generation_prompt=True)
-    seq = sequences.mask_labels(tokenizer.ids(full), tokenizer.count(prompt), cfg.max_seq_length)
+    seq = sequences.mask_labels(tokenizer.ids(full, cfg.max_seq_length), tokenizer.count(prompt), cfg.max_seq_length)
     return chat.withColumn("_seq", seq).select(
         *[c for c in chat.columns if c != "messages"], "_seq.input_ids", "_seq.attention_mask", "_seq.labels"
     )
 
 
-RANK_BROADCAST_MAX = 2_000_000  # (id, batch, pos, width) rows broadcast to the scan: ~60 MB
+def place(slim: DataFrame, cfg: Config, order_col: str = "row_id", digits: int = ranking.BUCKET_DIGITS) -> DataFrame:
+    """``(id, batch_id, pos, width)`` in seeded order of slim rows ``(id, _len)``; width: the longest of the batch."""
+    size = cfg.batch_size
+    ranks = sequences.seeded_rank(slim, cfg.seed, order_col, "rank", digits=digits).select(
+        order_col, "_len", F.floor(F.col("rank") / size).cast("long").alias("batch_id"), (F.col("rank") % size).cast("int").alias("pos")
+    )
+    widths = ranks.groupBy("batch_id").agg(F.max("_len").alias("_width"))
+    return ranks.join(widths, "batch_id").select(order_col, "batch_id", "pos", "_width")
 
 
 def seeded_batches(
@@ -65,74 +74,18 @@ def seeded_batches(
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
     digits: int = ranking.BUCKET_DIGITS,
-    broadcast_max: int = RANK_BROADCAST_MAX,
 ) -> DataFrame:
-    """Training batches in seeded order, padded; the wide rows move at most once.
-
-    The sequence length ``least(count(full text), max_seq_length)`` is known
-    before tokenizing.  Up to ``broadcast_max`` rows (the count comes with
-    the bucket offsets), rank, batch and width are computed on slim
-    ``(key, id, length)`` rows and the ``(id, batch, pos, width)`` table is
-    broadcast back: the wide rows do not move.  Beyond it the rows are
-    shuffled once (by rank bucket) and tokenized after it; the batch maximum
-    is taken inside each bucket, and batches that cross a bucket boundary
-    (the first or last ``batch_size - 1`` rows of their buckets, found by a
-    per-bucket top-k with a partial limit before its shuffle) are fixed up
-    from a table of at most two rows per bucket.
+    """Training batches in seeded order, padded.
+
+    Every text is tokenized once, into a written table.  Rank, batch and
+    width come from its slim ``(id, length)`` rows, are written too, and join
+    back on the id without a hint: the planner has both tables' bytes.  A
+    null id fails.
     """
-    size = cfg.batch_size
-    key = "_rank_key"
-    full = render_chat("messages", template, add_generation_prompt=False)
-    keyed = chat.withColumn(key, ranking.seeded_key(order_col, cfg.seed)).withColumn(
-        "_len", F.least(tokenizer.count(full), F.lit(cfg.max_seq_length))
-    )
-    bucket = ranking.hex_bucket(key, digits)
-    buckets, before, total = ranking.bucket_offsets(keyed, bucket)
-    rows = [b - a for a, b in zip(before, before[1:] + [total])]
-    # one row per non-empty bucket: bounded by 16**digits
-    offsets = F.broadcast(
-        chat.sparkSession.createDataFrame(list(zip(buckets, before, rows)), "_b INT, _offset BIGINT, _rows BIGINT")
-    )
-    asc = Window.partitionBy("_b").orderBy(key, order_col)
-    off, nrows = F.col("_offset"), F.col("_rows")
-    batch = F.floor(F.col("rank") / size).cast("long")
+    toks = materialize(tokenized(ranking.with_checked_id(chat, order_col), cfg, template, tokenizer), "tokenized")
+    placed = materialize(place(toks.select(order_col, F.size("input_ids").alias("_len")), cfg, order_col, digits), "places")
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
-    slim = keyed.select(bucket.alias("_b"), key, order_col, "_len").join(offsets, "_b")
-    if total <= broadcast_max:
-        ranks = (
-            slim.withColumn("rank", off + F.row_number().over(asc) - 1)
-            .withColumn("batch_id", batch)
-            .withColumn("pos", (F.col("rank") % size).cast("int"))
-        )
-        widths = ranks.groupBy("batch_id").agg(F.max("_len").alias("_width"))
-        table = ranks.join(widths, "batch_id").select(order_col, "batch_id", "pos", "_width")  # `total` rows
-        placed = keyed.drop(key).join(F.broadcast(table), order_col)
-        toks = tokenized(placed, cfg, template, tokenizer)
-        return sequences.pad_arrays(toks.withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width", "_len")
-    crossing = ((F.col("batch_id") == F.floor(off / size)) & (off % size != 0)) | (
-        (F.col("batch_id") == F.floor((off + nrows - 1) / size)) & ((off + nrows) % size != 0)
-    )
-    if size > 1:
-        desc = Window.partitionBy("_b").orderBy(F.col(key).desc(), F.col(order_col).desc())
-        head = slim.withColumn("_rn", F.row_number().over(asc)).where(F.col("_rn") <= size - 1)
-        tail = slim.withColumn("_rn", F.row_number().over(desc)).where(F.col("_rn") <= size - 1)
-        edges = head.withColumn("rank", off + F.col("_rn") - 1).unionByName(
-            tail.withColumn("rank", off + nrows - F.col("_rn"))
-        )
-        fix = edges.withColumn("batch_id", batch).where(crossing).groupBy("batch_id").agg(F.max("_len").alias("_edge_max"))
-    else:
-        fix = slim.sparkSession.createDataFrame([], "batch_id BIGINT, _edge_max INT")
-    ranked = (
-        keyed.withColumn("_b", bucket)
-        .join(offsets, "_b")
-        .withColumn("rank", off + F.row_number().over(asc) - 1)
-        .withColumn("batch_id", batch)
-        .withColumn("pos", (F.col("rank") % size).cast("int"))
-    )
-    local = F.max("_len").over(Window.partitionBy("_b", "batch_id"))
-    ranked = ranked.join(F.broadcast(fix), "batch_id", "left").withColumn("_width", F.coalesce("_edge_max", local))
-    toks = tokenized(ranked.drop(key, "_b", "_offset", "_rows", "_edge_max"), cfg, template, tokenizer)
-    return sequences.pad_arrays(toks.withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width", "_len", "rank")
+    return sequences.pad_arrays(toks.join(placed, order_col).withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width")
 
 
 def build_sequences(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +29,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "diffc
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting gets a fresh folder under the
-    system temp directory (tests); on a cluster the setting is required.
+    There is no default: a machine-local folder would not be shared.  Tests and
+    the bench set their own.
     """
     try:
         sc = spark.sparkContext
@@ -43,10 +42,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not conf and sc is not None:
         conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-        if not str(master).startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for written stages")
-        conf = tempfile.mkdtemp(prefix="diffcorpus-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder for written stages")
     if sc is not None:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf

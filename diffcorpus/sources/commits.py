@@ -8,31 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..operators import ranking
 
 ID_SHIFT = 40  # row index bits inside the row id: file ordinal << 40 | row index
-BROADCAST_FILES_MAX = 500_000  # ~60 MB of paths; above it the ordinal table is shuffle-joined
-
-
-def _scan_path(uri: str) -> str:
-    """The listing's file URI in the form ``_metadata.file_path`` reports (``file:/x``, not ``file:///x``)."""
-    return "file:/" + uri[len("file:///"):] if uri.startswith("file:///") else uri
+MAX_FILES = 1 << (63 - ID_SHIFT)
 
 
 def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id") -> DataFrame:
     """Add a unique BIGINT id in input order: (sorted file ordinal, row index in file).
 
-    File ordinals come from the file listing the driver already holds for
-    the scan (no job); the table has one row per file and is broadcast up
-    to ``BROADCAST_FILES_MAX`` files, shuffle-joined beyond.  A row whose
-    file is missing from the listing fails the job instead of being dropped.
+    The file table, one row per file that has rows, is made by the scan
+    itself (file metadata only, no column is read) and ranked in range
+    buckets; no file list goes through the driver.  An id that would not fit
+    fails the job.
     """
-    files = sorted({_scan_path(f) for f in df.inputFiles()})
-    ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord BIGINT, _file_path STRING")
-    if len(files) <= BROADCAST_FILES_MAX:
-        ordinals = F.broadcast(ordinals)
+    files = df.select(F.col("_metadata.file_path").alias("_file_path")).distinct()
+    ordinals = ranking.global_rank(files, ["_file_path"], ranking.range_bucket(files, "_file_path"), "_file_ord")
     meta = df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
+    too_many = (F.col("_file_ord") >= MAX_FILES) | (F.col("_row_index") >= (1 << ID_SHIFT))
     row_id = F.when(
-        F.col("_file_ord").isNull(), F.raise_error(F.concat(F.lit("file not in listing: "), F.col("_file_path")))
+        F.coalesce(too_many, F.lit(True)), F.raise_error(F.concat(F.lit("no room for an input-order id: "), F.col("_file_path")))
     ).otherwise(F.shiftleft(F.col("_file_ord"), ID_SHIFT) + F.col("_row_index"))
     return (
         meta.join(ordinals, "_file_path", "left")
@@ -44,7 +39,7 @@ def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id")
 def check_columns(df: DataFrame, required: list[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Column(s) {missing} not found. Available columns: {df.columns}")
+        raise ValueError(f"the commit table has no {', '.join(missing)}; it has {', '.join(df.columns)}")
     return df
 
 
@@ -79,15 +74,17 @@ def write_commits(df: DataFrame, path: str, mode: str = "error") -> None:
 def read_diffs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One diff per file (whole file, UTF-8); blank files are refused.
 
-    Returns ``(path, diff)``.  With ``strict`` a blank file raises; otherwise
-    blank files are dropped.
+    Returns ``(path, diff)``.  With ``strict`` a blank file raises, a file
+    without a byte too (the text source does not list those; their paths come
+    from the file listing); otherwise both are left out.
     """
     df = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("diff")
     )
     blank = is_blank("diff")
-    if strict:
-        return df.withColumn(
-            "diff", F.when(blank, F.raise_error(F.concat(F.lit("Diff file is empty: "), F.col("path")))).otherwise(F.col("diff"))
-        )
-    return df.where(~blank)
+    if not strict:
+        return df.where(~blank)
+    refuse = F.raise_error(F.concat(F.lit("no diff in "), F.col("path")))
+    none = spark.read.format("binaryFile").load(path).where(F.col("length") == 0).select("path", F.lit("").alias("diff"))
+    # in a filter, so that no choice of columns leaves the check out
+    return df.unionByName(none).where(F.when(is_blank("diff"), refuse.cast("boolean")).otherwise(F.lit(True)))

@@ -16,7 +16,7 @@ COMMITS_COLUMNS = {
     "row_id": "doc_id",
     "diff": (
         "CASE WHEN doc_id % 40 = 3 THEN 'ctx ' || lang || chr(10) || '```js' || chr(10) || source "
-        "|| chr(10) || '```' || chr(10) || 'tail' ELSE text END"
+        "|| chr(10) || '```' || chr(10) || text ELSE text END"
     ),
     "message": """CASE CAST(doc_id % 13 AS INT)
       WHEN 0 THEN 'feat(' || source || '): add ' || lang
@@ -51,6 +51,20 @@ UNION ALL
 SELECT 'base', row_id, CASE WHEN row_id % 3 = 0 THEN 'Update' ELSE 'docs: base' END
 FROM commits WHERE message IS NOT NULL"""
 
+#: Messages made of whole document texts, with URLs, sign-offs and issue lines mixed in.
+TEXT_MESSAGE = """CASE CAST(doc_id % 7 AS INT)
+      WHEN 0 THEN text
+      WHEN 1 THEN 'fix: ' || text || chr(10) || 'Signed-off-by: A <a@x>' || chr(10) || 'last line'
+      WHEN 2 THEN text || chr(10) || 'see https://example.com/' || source
+      WHEN 3 THEN '  ' || replace(text, '. ', chr(10)) || chr(10) || 'Closes #' || CAST(doc_id AS VARCHAR(20)) || chr(10)
+      WHEN 4 THEN 'docs(' || source || '): ' || text || chr(10) || chr(10) || 'signed-off-by: B'
+      WHEN 5 THEN 'Fixes #' || CAST(doc_id AS VARCHAR(20)) || chr(10) || text
+      ELSE chr(10) || chr(9) || 'perf: ' || replace(text, ' th', chr(13) || 'www.th') || '   ' END"""
+
+MESSAGES_SQL = f"""SELECT 2 * row_id AS row_id, message FROM commits
+UNION ALL
+SELECT 2 * doc_id + 1, {TEXT_MESSAGE} FROM documents"""
+
 STRUCTURED_COLUMNS = {
     "row_id": "p_partkey",
     "type": (
@@ -73,9 +87,9 @@ STRUCTURED_SQL = _select_sql(STRUCTURED_COLUMNS, "part")
 
 def cte(*names: str) -> str:
     """``WITH`` prefix defining the named views for the DuckDB oracle."""
-    bodies = {"commits": COMMITS_SQL, "predictions": PREDICTIONS_SQL, "structured_commits": STRUCTURED_SQL}
+    bodies = {"commits": COMMITS_SQL, "predictions": PREDICTIONS_SQL, "structured_commits": STRUCTURED_SQL, "messages": MESSAGES_SQL}
     needed = list(names)
-    if "predictions" in needed and "commits" not in needed:
+    if {"predictions", "messages"} & set(needed) and "commits" not in needed:
         needed.insert(0, "commits")
     return "WITH " + ",\n".join(f"{n} AS (\n{bodies[n]}\n)" for n in needed) + "\n"
 
@@ -90,6 +104,12 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr(*(f"{expr} AS {name}" for name, expr in COMMITS_COLUMNS.items()))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages(row_id, message)``: the commit messages, and whole document texts as messages."""
+    texts = table(spark, sf_dir, "documents").selectExpr("2 * doc_id + 1 AS row_id", f"{TEXT_MESSAGE} AS message")
+    return commits(spark, sf_dir).selectExpr("2 * row_id AS row_id", "message").unionByName(texts)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``predictions(run_id, row_id, prediction)``: a tuned and a base run over ``commits``.
 

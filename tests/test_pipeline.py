@@ -24,12 +24,12 @@ def test_entry_flagship(spark):
 def test_funnel_sf001(spark):
     row = curate.filter_funnel(dt.commits(spark, SF001)).first()
     assert (row.rows_loaded, row.after_not_null, row.after_diff_len, row.after_msg_len, row.after_dedup, row.after_clean) == (
-        200, 185, 182, 152, 143, 86
+        200, 185, 182, 152, 145, 86
     )
 
 
 def test_prepare_curated_counts(spark):
-    for sf, want in ((SF001, {"train": 54, "valid": 17, "test": 7}), (SF01, {"train": 254, "valid": 86, "test": 43})):
+    for sf, want in ((SF001, {"train": 54, "valid": 17, "test": 7}), (SF01, {"train": 263, "valid": 86, "test": 43})):
         assert _counts(P.prepare(dt.commits(spark, sf))) == want
 
 
@@ -37,13 +37,13 @@ def test_random_split_counts_and_clean_survivors(spark):
     clean = curate.curate(dt.commits(spark, SF01))
     assert {r[0] for r in clean.select(F.col("row_id") % 13).distinct().collect()} == {0, 1, 5, 10, 11, 12}
     out = splits.split_random(clean.drop("split"))
-    assert _counts(out) == {"train": 342, "valid": 42, "test": 44}
+    assert _counts(out) == {"train": 349, "valid": 43, "test": 45}
 
 
 def test_fence_and_long_diffs(spark):
     clean = curate.curate(dt.commits(spark, SF01))
-    assert clean.where(F.length("diff") > 12_000).count() == 8
-    assert clean.where(F.col("diff").contains("```")).count() == 3
+    assert clean.where(F.length("diff") > 12_000).count() == 9
+    assert clean.where(F.col("diff").contains("```")).count() == 12
 
 
 def test_eval_golden(spark):
@@ -75,7 +75,7 @@ def test_evaluate_plan(spark):
 def test_split_report_golden(spark):
     for sf, want in (
         (SF001, {"train": 54, "valid": 17, "test": 7, "dropped": 8}),
-        (SF01, {"train": 254, "valid": 86, "test": 43, "dropped": 45}),
+        (SF01, {"train": 263, "valid": 86, "test": 43, "dropped": 45}),
     ):
         got = {r.split: r.rows for r in splits.split_report(curate.curate(dt.commits(spark, sf))).collect()}
         assert got == want
@@ -86,10 +86,10 @@ def test_golden_sf01_largest(spark):
     c = dt.commits(spark, sf)
     row = curate.filter_funnel(c).first()
     assert (row.rows_loaded, row.after_not_null, row.after_diff_len, row.after_msg_len, row.after_dedup, row.after_clean) == (
-        10_000, 9_231, 9_200, 7_670, 7_088, 4_258
+        10_000, 9_231, 9_200, 7_670, 7_276, 4_372
     )
     clean = curate.curate(c)
     got = {r.split: r.rows for r in splits.split_report(clean).collect()}
-    assert got == {"train": 2_521, "valid": 863, "test": 435, "dropped": 439}
+    assert got == {"train": 2_635, "valid": 863, "test": 435, "dropped": 439}
     rnd = {r[0]: r[1] for r in splits.split_random(clean.drop("split")).groupBy("split").count().collect()}
-    assert rnd == {"train": 3_406, "valid": 425, "test": 427}
+    assert rnd == {"train": 3_497, "valid": 437, "test": 438}

@@ -20,29 +20,29 @@ def test_curate_is_native_and_pruned(spark):
 
 
 def test_dedup_aggregates_hashes_not_text(spark):
-    df = curate.dedup_keep_first(curate.basic_filters(dt.commits(spark, SF01)), strategy="shuffle")
+    from diffcorpus.operators.curate import content_hash
+
+    df = dt.commits(spark, SF01).groupBy(content_hash("diff")).agg({"row_id": "min"})
     p = plan(df)
     assert "sha2" in p and "HashAggregate" in p and "SortAggregate" not in p
 
 
-def test_dedup_auto_keeps_wide_rows_in_place(spark):
+def test_dedup_keeps_wide_rows_in_place_where_few_copies_go(spark):
     base = curate.basic_filters(dt.commits(spark, SF01))
     auto = curate.dedup_keep_first(base)
     p = plan(auto)
     assert "LeftAnti" in p and "BroadcastExchange" in p
     wide_side = p.split("BroadcastExchange")[0]
     assert "Exchange hashpartitioning" not in wide_side
-    fallback = curate.dedup_keep_first(base, broadcast_max=0)
-    assert {r.row_id for r in auto.collect()} == {r.row_id for r in fallback.collect()}
-    assert len({r.row_id for r in auto.collect()}) == 709
+    assert len({r.row_id for r in auto.collect()}) == 724
 
 
-def test_top_k_operators(spark):
+def test_samples_need_no_top_k(spark):
+    """A cut and a rank inside buckets: nothing of ``n`` rows per partition meets in one task."""
     clean = curate.curate(dt.commits(spark, SF01))
-    assert "TakeOrderedAndProject" in plan(clean.orderBy("row_id").limit(5)) or "TakeOrdered" in plan(
-        scoring.eval_subset(clean, 5)
-    )
-    assert "TakeOrdered" in plan(splits.sample_n(clean, 10))
+    for n in (10, 10**6):
+        for df in (splits.sample_n(clean, n), scoring.eval_subset(clean, n)):
+            assert "TakeOrdered" not in plan(df) and "GlobalLimit" not in plan(df)
 
 
 def test_no_unpartitioned_window_on_whole_table(spark):
@@ -51,7 +51,8 @@ def test_no_unpartitioned_window_on_whole_table(spark):
         S.sequences.seeded_rank(clean, 42),
         S.seeded_batches(P.prepare(dt.commits(spark, SF01))),
         splits.split_random(clean.drop("split")),
-        scoring.eval_subset(clean, 10, topk_limit=5),
+        scoring.eval_subset(clean, 10),
+        splits.sample_n(clean, 10),
     ):
         assert "SinglePartition" not in plan(df)
 
@@ -67,7 +68,9 @@ def test_random_split_moves_no_rows(spark):
 def test_prepare_writes_clean_stage_once(spark):
     out = P.prepare(dt.commits(spark, SF01))
     p = plan(out)
-    assert "documents" not in p  # reads the written stage, not the source again
+    assert "/documents.parquet" in p and p.count("ReadSchema: struct<doc_id:bigint,text:string") == 1  # texts are read once, where they are
+    written = p.split("diffcorpus-stages")[-1]
+    assert "message" in written and "diff:string" not in written  # the decisions are slim
     assert out.where(F.col("split") == "test").count() == 43
 
 

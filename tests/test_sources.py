@@ -19,7 +19,7 @@ def test_read_commits_checks_columns_and_orders(spark, tmp_dir):
     SC.write_commits(c.coalesce(1).orderBy(F.length("diff")), path)
     df = SC.read_commits(spark, path)
     assert df.count() == 200 and df.select("row_id").distinct().count() == 200
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="has no"):
         SC.read_commits(spark, path, diff_col="patch")
 
 
@@ -64,7 +64,7 @@ def test_read_chat_jsonl_failfast_and_recursive(spark, tmp_dir):
     os.makedirs(other)
     with open(os.path.join(other, "test.jsonl"), "w", encoding="utf-8") as f:
         f.write('{"messages": []}\n')
-    with pytest.raises(ValueError, match="more than one"):
+    with pytest.raises(ValueError, match="more than one folder"):
         J.read_chat_jsonl(spark, os.path.join(tmp_dir, "deep"), recursive=True, name="test.jsonl")
     bad = os.path.join(tmp_dir, "bad.jsonl")
     with open(bad, "w") as f:
@@ -73,7 +73,7 @@ def test_read_chat_jsonl_failfast_and_recursive(spark, tmp_dir):
         J.read_chat_jsonl(spark, bad).collect()
     empty = os.path.join(tmp_dir, "empty.jsonl")
     open(empty, "w").close()
-    with pytest.raises(ValueError, match="No examples"):
+    with pytest.raises(ValueError, match="no chat records"):
         J.read_chat_jsonl(spark, empty, require_rows=True)
 
 
