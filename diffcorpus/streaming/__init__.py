@@ -1 +1 @@
-"""Structured Streaming: prompts from arriving diffs (W1), curation (W2), chat contexts with state."""
+"""Structured Streaming: prompts from arriving diffs (W1) and curation."""

@@ -93,3 +93,29 @@ def test_golden_sf01_largest(spark):
     assert got == {"train": 2_635, "valid": 863, "test": 435, "dropped": 439}
     rnd = {r[0]: r[1] for r in splits.split_random(clean.drop("split")).groupBy("split").count().collect()}
     assert rnd == {"train": 3_497, "valid": 437, "test": 438}
+
+
+def test_one_conversation_with_a_third_of_all_turns(spark):
+    """Histories end at a reset, so a long conversation costs what its parts cost; one exchange in all."""
+    from diffcorpus.operators.contexts import conversation_contexts
+
+    rows = []
+    for i in range(1500):
+        what = "r" if i % 20 == 19 else f"ask {i}"
+        rows += [(1, 2 * i, "user", what), (1, 2 * i + 1, "assistant", None if i % 7 == 0 else f"say {i}")]
+    rows += [(c, t, "user", f"hello {c} {t}") for c in range(2, 3002) for t in range(2)]
+    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    out = conversation_contexts(df, system_prompt="SYS")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange hashpartitioning") == 1
+    got = {(r.conv_id, r.turn): [(m.role, m.content) for m in r.messages[1:]] for r in out.collect()}
+    want, history = {}, []
+    for c, t, role, text in rows[:3000]:
+        if role == "user" and text == "r":
+            history = []
+            continue
+        history = [*history, (role, text)]
+        if role == "user":
+            want[c, t] = history
+    want |= {(c, t): [("user", f"hello {c} {k}") for k in range(t + 1)] for c in range(2, 3002) for t in range(2)}
+    assert got == want

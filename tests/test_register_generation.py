@@ -107,3 +107,21 @@ def test_evaluate_generated_calls_model_once_per_prompt(spark, tmp_dir):
     ev.examples.collect()
     ev.missing.collect()
     assert len(glob.glob(os.path.join(marks, "*"))) == 43
+
+
+def test_a_model_is_loaded_once_per_worker_and_not_for_empty_partitions(spark, tmp_dir):
+    import os
+
+    from diffcorpus.operators import generation
+
+    def make():
+        open(os.path.join(tmp_dir, f"load-{os.getpid()}-{os.urandom(4).hex()}"), "w").close()
+        return lambda prompts: [p[-1]["content"] for p in prompts]
+
+    df = spark.range(60).repartition(40).selectExpr("id", "array(struct('user' AS role, string(id) AS content)) AS messages")
+    got = generation.generate(df, make).select("id", "prediction").collect()
+    assert sorted((r.id, r.prediction) for r in got) == [(i, str(i)) for i in range(60)]
+    loads = [f for f in os.listdir(tmp_dir) if f.startswith("load-")]
+    assert 0 < len(loads) == len({f.split("-")[1] for f in loads})
+    generation.generate(df.where("id < 0"), make).collect()
+    assert len([f for f in os.listdir(tmp_dir) if f.startswith("load-")]) == len(loads)

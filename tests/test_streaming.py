@@ -59,27 +59,3 @@ def test_stream_generate_equals_batch(spark, tmp_dir):
     got = sorted((r.path, r.prediction) for r in streamed.collect())
     assert got == sorted((r.path, r.prediction) for r in batch.collect())
     assert len(got) == 2 and all(p.startswith("fix: ") for _, p in got)
-
-
-def test_stream_contexts_equals_batch(spark, tmp_dir):
-    from diffcorpus.operators.contexts import conversation_contexts
-    from diffcorpus.streaming.contexts import stream_contexts
-
-    conv = spark.read.parquet(os.path.join(SF001, "conversations.parquet"))
-    extra = spark.createDataFrame(
-        [(9001, 0, "user", "hello"), (9001, 1, "assistant", "hi"), (9001, 2, "user", " r "), (9001, 3, "user", "again"),
-         (9001, 4, "user", "Q"), (9001, 5, "user", "ignored"), (9001, 6, "user", "  ")],
-        "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
-    )
-    allturns = conv.unionByName(extra)
-    src = os.path.join(tmp_dir, "turns")
-    # turns arrive in three waves (by turn number), one file per wave
-    for lo, hi in ((0, 2), (2, 4), (4, 10_000)):
-        allturns.where((F.col("turn") >= lo) & (F.col("turn") < hi)).coalesce(1).write.mode("append").parquet(src)
-    sdf = spark.readStream.schema(allturns.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    streamed = _run_to_table(stream_contexts(sdf, "SYS"), spark, tmp_dir, "w3")
-    batch = conversation_contexts(allturns, system_prompt="SYS")
-    cols = ["conv_id", "turn", F.to_json("messages").alias("m")]
-    got = sorted(map(tuple, streamed.select(*cols).collect()))
-    assert got == sorted(map(tuple, batch.select(*cols).collect()))
-    assert [r[1] for r in got if r[0] == 9001] == [0, 3]
