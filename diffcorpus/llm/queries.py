@@ -111,5 +111,23 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 #: DuckDB SQL by query, where SQL can express it.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+cuts AS (
+  SELECT DISTINCT item, w[k + 1:k + 10] AS win FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 9))) AS k FROM items WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT len(win) AS n FROM cuts),
+places AS (
+  SELECT r, i, n, w[i + 1:i + n] AS win FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)
+),
+found AS (SELECT p.r, p.i, p.n, c.item FROM places p JOIN cuts c ON p.win = c.win),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+}
