@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -26,10 +27,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Remove the files of a stage made by ``stage``; only when no later frame reads it."""
+    """Remove the files of a stage made by ``stage``; only when no later frame reads it.
+
+    The shuffles behind it go too: Spark's cleaner removes their files once the
+    JVM has collected the plans, which is asked for here as the driver's heap
+    may not fill for hours.
+    """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
