@@ -68,18 +68,23 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     model = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -20.0)
     if not positive or not unlabelled or not 0 < prior < 1:
         return model
-    df_p, df_u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int64), minlength=BUCKETS) for x in (positive, unlabelled))
+    def spread(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.zeros(0, np.int32), *lists]), return_counts=True)
+
+    (seen_p, n_p), (seen_u, n_u) = spread(positive), spread(unlabelled)
+    seen = np.union1d(seen_p, seen_u)
+    df_p, df_u = np.zeros(len(seen)), np.zeros(len(seen))
+    df_p[np.searchsorted(seen, seen_p)], df_u[np.searchsorted(seen, seen_u)] = n_p, n_u
     share = (df_p + df_u) / (len(positive) + len(unlabelled))
     apart = df_p / len(positive) - df_u / len(unlabelled)
     chi2 = apart**2 / np.maximum(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)), 1e-12)
-    known = np.flatnonzero((chi2 >= min_chi2) & (df_p + df_u > 0))
+    known = seen[chi2 >= min_chi2]
     if not len(known):
         return model
-    local = np.full(BUCKETS, -1, dtype=np.int64)
-    local[known] = np.arange(len(known))
 
     def rows(lists: list[np.ndarray]) -> list[np.ndarray]:
-        return [x[x >= 0] for x in (local[k] for k in lists)]
+        places = (np.minimum(np.searchsorted(known, k), len(known) - 1) for k in lists)
+        return [at[known[at] == k] for at, k in zip(places, lists)]
 
     pos, unl = rows(positive), rows(unlabelled)
     at_p, at_u = (np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (pos, unl))
