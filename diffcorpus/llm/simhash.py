@@ -123,10 +123,15 @@ def simhash_components(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id.
+    """The rows of ``docs`` that stay: of each component one, the first by id (null ids last) and row key.
 
-    Rows with a null id stay (nothing names them), and of repeated ids all stay.
+    Rows get a key of their own, written with a copy of ``docs`` so that it
+    holds for every later read; so neither repeated nor null ids take a row
+    with them or keep one.
     """
-    found = simhash_components(docs, id_col, text_col, shingle, max_bits)
-    losers = found.where("doc <> component").select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(losers, id_col, "left_anti")
+    key = "_simhash_row"
+    keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    named = keyed.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("doc"), F.col(text_col).alias("text"))
+    found = simhash_components(named, "doc", "text", shingle, max_bits)
+    losers = found.where("doc.row <> component.row").select(F.col("doc.row").alias(key))
+    return keyed.join(losers, key, "left_anti").select(*docs.columns)
