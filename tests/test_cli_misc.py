@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from helpers import SF001, SF01
 from diffcorpus import cli
 from diffcorpus.operators import curate, scoring, sequences
 from diffcorpus.sources import driver_tables as dt

@@ -75,7 +75,7 @@ def test_conversation_reset_quit_blank_and_system(spark):
 
 
 def test_kelvin_sign_does_not_break_rules(spark):
-    from conftest import apply
+    from helpers import apply
     from diffcorpus.functions import text as T
 
     assert apply(spark, T.clean_message, ["feat: 5 K units"]) == ["feat: 5 K units"]

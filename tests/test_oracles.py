@@ -3,7 +3,7 @@
 import os
 import sys
 
-from conftest import ROOT, SF001
+from helpers import ROOT, SF001
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 

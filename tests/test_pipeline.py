@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from helpers import SF001, SF01
 from diffcorpus.operators import curate, scoring, splits
 from diffcorpus.plans import evaluate as E
 from diffcorpus.plans import prepare as P

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF01, one_col
+from helpers import SF01, one_col
 from diffcorpus.functions import text as T
 from diffcorpus.operators import curate, ranking, scoring, sequences, splits
 from diffcorpus.plans import prepare as P

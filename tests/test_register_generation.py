@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from helpers import SF01
 from diffcorpus.functions import chat as C
 from diffcorpus.functions import text as T
 from diffcorpus.functions.register import register
@@ -65,7 +65,7 @@ def test_python_workers_do_not_need_repo_on_path(tmp_dir):
     import subprocess
     import sys
 
-    from conftest import ROOT
+    from helpers import ROOT
 
     code = f"""
 import sys

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from diffcorpus.plans import prepare as P
 from diffcorpus.sources import chat_jsonl as J
 from diffcorpus.sources import commits as SC

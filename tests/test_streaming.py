@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from diffcorpus.sources import commits as SC
 from diffcorpus.sources import driver_tables as dt
 from diffcorpus.streaming.curate import stream_curate

@@ -4,7 +4,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from conftest import apply, one_col
+from helpers import apply, one_col
 from diffcorpus.functions import text as T
 
 
