@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert_ann, langid, licenses, pieces, pitman_yor, quality, quality_rules, secret_scan, simhash, toxicity
+from . import decontaminate, hilbert_ann, langid, licenses, pieces, pitman_yor, quality, quality_rules, secret_scan, simhash, toxicity, whitening
 from .stages import bucket_of, read
 
 #: A public SentencePiece model; any with byte fallback will do.
@@ -98,6 +98,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector and component."""
+    vectors = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, k=32)
+    whitened = whitening.transform(vectors, model)
+    k = len(model.values)
+    error = whitening.identity_error(whitened, k)
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.values])
+    return whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        (F.get(shares, F.col("at")) if k else F.lit(None).cast("double")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strata are the languages."""
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), stratum=F.col("lang"))
@@ -115,6 +134,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "op12_quality_rules": op12_quality_rules,
 }
 
