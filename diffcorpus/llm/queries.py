@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert_ann, langid, licenses, pieces, pitman_yor, quality, quality_rules, secret_scan, simhash, toxicity, whitening
+from . import decontaminate, hilbert_ann, langid, licenses, pieces, pitman_yor, quality, quality_rules, secret_scan, simhash, spelling, toxicity, whitening
 from .stages import bucket_of, read
 
 #: A public SentencePiece model; any with byte fallback will do.
@@ -123,6 +123,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents"), dropped=199)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -136,12 +140,83 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
     "op12_quality_rules": op12_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_SPACED = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _quality_rules_sql() -> str:
+    """Numbers of every text by window functions; the exact test by log-gamma sums, which DuckDB has as a function."""
+    q = quality_rules
+    top = q.TOP_LEVEL
+
+    def level(part: str, whole: str, scale: int = 100) -> str:
+        return f"CAST(least(CASE WHEN {whole} > 0 THEN ({part}) * {scale} // {whole} ELSE 0 END, {top}) AS INTEGER)"
+
+    levels = ", ".join(
+        [
+            level("n_symbols", "word_chars"), level("n_repeat_words", "n_words"), level("n_dup_lines", "n_lines"),
+            level("word_chars", "n_words", 4), level("n_words", "word_chars"), level("n_capitals", "word_chars"), level("n_exclamations", "n_words"),
+        ]
+    )
+    failed = "(n_words < 50 OR n_repeat_words * 100 > n_words * 50)"
+    p = q.MAX_LOSS
+    pmf = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, chr(1)) AS s, coalesce(text, '') AS t, {_SPACED} AS w FROM documents),
+windows AS (SELECT r, i, w[i:i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS place FROM twice) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+numbers AS (
+  SELECT r, doc_id, s, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations
+  FROM docs JOIN lines USING (r) LEFT JOIN covered USING (r)
+),
+measured AS (SELECT *, {failed} AS base_failed, [{levels}] AS levels FROM numbers),
+marks AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+known AS (
+  SELECT m.doc_id, m.s, bool_or(good) AS good, [{", ".join(f"max(levels[{r + 1}])" for r in range(len(q.RULES)))}] AS levels,
+    xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(m.doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) + 1 AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, x: CASE WHEN x > 0 THEN xor(c, x - 1) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 2 = 0 AS tuning
+  FROM measured m JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY m.doc_id, m.s
+),
+sizes AS (SELECT s, count_if(good) AS goods, count_if(NOT good) AS bads FROM known WHERE tuning GROUP BY s),
+counts AS (
+  SELECT s, rule, level, count_if(good) AS g, count_if(NOT good) AS b
+  FROM (SELECT s, good, unnest(levels) AS level, unnest(range({len(q.RULES)})) AS rule FROM known WHERE tuning) GROUP BY ALL
+),
+shares AS (
+  SELECT s, rule, level, sum(g) OVER above / goods AS lost, sum(b) OVER above / bads AS caught
+  FROM counts JOIN sizes USING (s) WHERE goods > 0 AND bads > 0 WINDOW above AS (PARTITION BY s, rule ORDER BY level DESC)
+),
+steps AS (SELECT unnest([{", ".join(map(str, q.LADDER))}]) AS share, unnest(range({len(q.LADDER)})) AS step),
+cuts AS (
+  SELECT s, step, rule, min(level) AS cut FROM shares, steps
+  WHERE level > 0 AND caught >= {q.LEAST} AND caught >= {q.LIFT} * lost AND lost <= share GROUP BY ALL
+),
+tested AS (
+  SELECT s, step, count(*) AS n, CAST(count_if(lost) AS BIGINT) AS k FROM (
+    SELECT k.s, c.step, k.doc_id, bool_or(k.levels[c.rule + 1] >= c.cut) AS lost FROM known k JOIN cuts c ON c.s = k.s WHERE good AND NOT tuning GROUP BY ALL
+  ) GROUP BY ALL
+),
+valued AS (
+  SELECT s, step, CASE WHEN k < n * {p} THEN list_sum(list_transform(range(k + 1), lambda i: {pmf})) ELSE 1 END <= {q.RISK} / (SELECT count(DISTINCT s) FROM known) AS passes
+  FROM tested
+),
+stands AS (SELECT s, max(step) AS step FROM (SELECT *, bool_and(passes) OVER (PARTITION BY s ORDER BY step) AS ok FROM valued) WHERE ok GROUP BY s),
+rejects AS (SELECT m.r, bool_or(m.levels[c.rule + 1] >= c.cut) AS hit FROM measured m JOIN stands USING (s) JOIN cuts c USING (s, step) GROUP BY m.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(hit, false) AS kept
+FROM measured LEFT JOIN rejects USING (r)"""
+
+
 #: DuckDB SQL by query, where SQL can express it.
 SQL: dict[str, str] = {
+    "op12_quality_rules": _quality_rules_sql(),
     "op5_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 cuts AS (
