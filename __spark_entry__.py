@@ -101,8 +101,8 @@ def q_read_commits(spark, sf):
     """Ids in input order, shown as places."""
     path = _written(_commits(spark, sf).withColumnRenamed("row_id", "key"), "commits", "key")
     df = SC.read_commits(spark, path)
-    placed = ranking.global_rank(df, ["row_id"], ranking.range_bucket(df, "row_id"), "place")
-    return placed.select(F.col("key").alias("row_id"), "place", "diff", "message", "split")
+    places = ranking.range_rank(df.select("row_id"), ["row_id"], "place")
+    return df.join(places, "row_id").select(F.col("key").alias("row_id"), "place", "diff", "message", "split")
 
 
 def q_write_commits(spark, sf):

@@ -1,20 +1,17 @@
-"""Exact global ranks and cut points without a single-partition window.
-
-Rows are split into ordered buckets; a per-bucket count (a bounded table)
-gives every bucket its rank offset.  Two kinds of buckets:
-
-* seeded order ``md5('<seed>:<id>')``: the first hex digits of the key, so
-  ``16**digits`` uniform buckets whatever the data;
-* order by a unique column of any type: ranges between the quantiles of a
-  bounded sample, looked up with a balanced tree of comparisons.
-
-Uses:
-
-* ``cut_points``: the sort key at given ranks, found inside one bucket each,
-  so a split, sample or "first n" becomes a map-side comparison and the wide
-  rows never move;
-* ``global_rank``: an exact rank column (bucket offset + row number inside
-  the bucket), shuffling rows by bucket only.
+"""Exact ranks, prefix sums, first rows and cut points without a single-partition window.
+
+Two ways, by the order that is asked for:
+
+* seeded order ``md5('<seed>:<id>')``: the first hex digits of the key are
+  ``16**digits`` uniform buckets whatever the data.  A per-bucket count (a
+  bounded table) gives every bucket its rank offset: ``cut_points`` finds the
+  sort key at given ranks inside one bucket each, so a split becomes a
+  map-side comparison, and ``global_rank`` numbers rows inside their buckets;
+* any other order: slim rows are range-partitioned, sorted and written with
+  their place in their partition (``placed``).  The partitions' counts or sums
+  (one row a partition) then give exact ranks and prefix sums.  For the first
+  ``n`` of many rows a mergeable quantile sketch bounds the candidates
+  beforehand, so that only about ``n`` rows are sorted.
 """
 
 from __future__ import annotations
@@ -23,10 +20,13 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import materialize
 
 BUCKET_DIGITS = 4
-RANGE_BUCKETS = 1024
-BOUND_SAMPLE = 50_000  # ids that reach the driver for range bounds, about
+SKETCH = 10_000  # a quantile sketch errs by at most 1 / SKETCH of the rows
+_PLACE_BITS = 33  # of a monotonically increasing id: the row's place in its partition
 
 
 def seeded_key(order_col: Column | str, seed: int) -> Column:
@@ -40,26 +40,68 @@ def hex_bucket(key: str, digits: int = BUCKET_DIGITS) -> Column:
     return F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, sample: int = BOUND_SAMPLE) -> Column:
-    """Ordered range bucket of a column of any orderable type.
+def order_number(col: str, dtype: T.DataType) -> Column:
+    """A DOUBLE that does not fall where the column rises; it may tie where the column does not.
 
-    The bounds are quantiles of about ``sample`` values, chosen by a hash of
-    the value; they only set how even the buckets are, never the result.  The
-    lookup is a balanced tree of comparisons (``log2(buckets)`` per row).
+    Texts count by their first six bytes; types that have no number here all tie.
     """
-    total = df.count()
-    spread = F.pmod(F.xxhash64(F.col(col).cast("string")), F.lit(1 << 32))
-    values = sorted(r[0] for r in df.where(F.col(col).isNotNull() & (spread < int(min(1.0, sample / max(total, 1)) * (1 << 32)))).select(col).distinct().collect())
-    bounds = sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
     c = F.col(col)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(dtype, (T.DateType, T.TimestampType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.lit(0.0)
+
+
+def placed(df: DataFrame, sort_cols: list[str], name: str = "placed") -> DataFrame:
+    """``df`` written in ``sort_cols`` order, with ``_part`` and ``_place``: ordered partition and 0-based place in it."""
+    ordered = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols).withColumn("_at", F.monotonically_increasing_id())
+    out = materialize(ordered, name)
+    return out.withColumn("_part", F.shiftright("_at", _PLACE_BITS).cast("int")).withColumn("_place", F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)).drop("_at")
+
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(c >= F.lit(bounds[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
+def _with_offsets(parts: DataFrame, size: Column) -> DataFrame:
+    """``parts`` with ``_offset``: the total ``size`` of the partitions before; one row a partition reaches the driver."""
+    sizes = sorted((r[0], r[1]) for r in parts.groupBy("_part").agg(size).collect())
+    before = accumulate([0] + [n for _, n in sizes])
+    offsets = parts.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_part INT, _offset BIGINT")
+    return parts.join(F.broadcast(offsets), "_part")
 
-    return build(0, len(bounds))
+
+def range_rank(df: DataFrame, sort_cols: list[str], out: str = "rank") -> DataFrame:
+    """Exact 0-based rank in ``sort_cols`` order, which should be unique; for slim rows, as all columns are sorted and written."""
+    return _with_offsets(placed(df, sort_cols), F.count(F.lit(1))).withColumn(out, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+
+
+def prefix_sum(df: DataFrame, sort_cols: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows before, in ``sort_cols`` order (unique); for slim rows."""
+    before = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = _with_offsets(placed(df, sort_cols), F.sum(value))
+    return parts.withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(before), F.lit(0))).drop("_part", "_place", "_offset")
+
+
+def first_rows(df: DataFrame, n: int, order_col: str, out: str, key: Column | None = None) -> DataFrame:
+    """The first ``n`` rows by ``key`` (default: the id itself), then by ``order_col``, with their 0-based rank ``out``.
+
+    The ids are written once; a sketch of them gives a bound that at least
+    ``n`` do not exceed, and about ``n`` ids are sorted and joined back.  One
+    plan for every ``n``.  Ids are unique and may be of any orderable type; a
+    null id fails.
+    """
+    cols = [order_col] if key is None else ["_key", order_col]
+    keyed = df.select(checked_id(order_col)) if key is None else df.select(checked_id(order_col), key.alias("_key"))
+    ids = materialize(keyed, "ids")
+    total = ids.count()
+    if n < total:
+        number = order_number(cols[0], ids.schema[cols[0]].dataType)
+        # the share that is asked for exceeds n by twice the error, so the bound's true rank does not fall below n
+        bound = ids.agg(F.percentile_approx(number, min(1.0, n / total + 2 / SKETCH), SKETCH)).first()[0]
+        few = ids.where(number <= F.lit(bound))
+        ids = few if few.count() >= n else ids
+    ranked = range_rank(ids, cols, out).where(F.col(out) < n)
+    return df.join(ranked.select(order_col, out), order_col).select(*df.columns, out)
 
 
 def checked_id(col: str) -> Column:

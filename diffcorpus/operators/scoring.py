@@ -85,15 +85,9 @@ def eval_examples(
 def eval_subset(df: DataFrame, n: int, order_col: str = "row_id") -> DataFrame:
     """The first ``n`` rows in ``order_col`` order (unique), with 0-based ``subset_pos`` (BIGINT).
 
-    An exact cut in ``order_col`` order (range buckets) and a map-side
-    filter, then an exact rank among the picked rows.  Ids may be of any
-    orderable type; a null id fails.
+    Ids may be of any orderable type; a null id fails.
     """
-    df = ranking.with_checked_id(df, order_col)
-    bucket = ranking.range_bucket(df, order_col)
-    (cut,) = ranking.cut_points(df, [order_col], [n], bucket)
-    picked = df.where(ranking.before_cut([order_col], cut))
-    return ranking.global_rank(picked, [order_col], bucket, "subset_pos")
+    return ranking.first_rows(df, n, order_col, "subset_pos")
 
 
 def missing_by_run(gold_ids: DataFrame, pred: DataFrame, key: str = "row_id", run_col: str = "run_id") -> DataFrame:

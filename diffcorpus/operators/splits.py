@@ -81,16 +81,9 @@ def split(df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id") -> Da
 def sample_n(df: DataFrame, n: int, seed: int = 42, order_col: str = "row_id") -> DataFrame:
     """The first ``min(n, N)`` rows in seeded order, with their 0-based ``sample_pos`` (BIGINT).
 
-    A cut point and a map-side filter, then an exact rank among the picked
-    rows: one plan for every ``n``, and no task holds more than a bucket.
     Ids may be of any type; a null id fails.
     """
-    key = "_sample_key"
-    cols = [key, order_col]
-    keyed = ranking.with_checked_id(df, order_col).withColumn(key, ranking.seeded_key(order_col, seed))
-    (cut,) = ranking.cut_points(keyed, cols, [n], ranking.hex_bucket(key))
-    picked = keyed.where(ranking.before_cut(cols, cut))
-    return ranking.global_rank(picked, cols, ranking.hex_bucket(key), "sample_pos").drop(key)
+    return ranking.first_rows(df, n, order_col, "sample_pos", ranking.seeded_key(order_col, seed))
 
 
 def split_values(df: DataFrame, split_col: str = "split") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chat import CHAT_SCHEMA
+from ..operators import ranking
 
 
 def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -25,14 +26,13 @@ def with_line_order_id(lines: DataFrame, out: str = "row_id") -> DataFrame:
 
     Lines of one file block stay together in a task, in order, so a line's
     place is its running number less the block's first one, plus the lines of
-    all blocks before: a table of one row per block, ranked by one window.
+    all blocks before: a prefix sum over a table of one row per block.
     """
     at = lines.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_no")
     )
     blocks = at.groupBy("_file", "_block").agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_lines"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    starts = ranking.prefix_sum(blocks, ["_file", "_block"], "_lines", "_start").drop("_lines")
     named = at.join(starts, ["_file", "_block"]).withColumn(out, F.col("_start") + F.col("_no") - F.col("_first"))
     return named.drop("_file", "_block", "_no", "_first", "_start")
 

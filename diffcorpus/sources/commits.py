@@ -18,12 +18,12 @@ def with_file_order_id(df: DataFrame, spark: SparkSession, out: str = "row_id")
     """Add a unique BIGINT id in input order: (sorted file ordinal, row index in file).
 
     The file table, one row per file that has rows, is made by the scan
-    itself (file metadata only, no column is read) and ranked in range
-    buckets; no file list goes through the driver.  An id that would not fit
-    fails the job.
+    itself (file metadata only, no column is read), sorted over range
+    partitions and written; no file list goes through the driver.  An id that
+    would not fit fails the job.
     """
     files = df.select(F.col("_metadata.file_path").alias("_file_path")).distinct()
-    ordinals = ranking.global_rank(files, ["_file_path"], ranking.range_bucket(files, "_file_path"), "_file_ord")
+    ordinals = ranking.range_rank(files, ["_file_path"], "_file_ord")
     meta = df.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index"))
     too_many = (F.col("_file_ord") >= MAX_FILES) | (F.col("_row_index") >= (1 << ID_SHIFT))
     row_id = F.when(

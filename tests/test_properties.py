@@ -65,14 +65,36 @@ def test_global_rank_matches_single_sort(spark):
     assert cuts == [order[0], order[1500], order[2999], None]
 
 
-def test_range_bucket_rank_and_cut(spark):
-    ids = [i * i % 100_003 for i in range(1, 4000)]
-    df = spark.createDataFrame([(x,) for x in sorted(set(ids))], "row_id BIGINT").repartition(5)
-    b = ranking.range_bucket(df, "row_id", buckets=64)
-    got = {r.row_id: r.rank for r in ranking.global_rank(df, ["row_id"], b).collect()}
-    order = sorted(set(ids))
-    assert got == {v: i for i, v in enumerate(order)}
-    assert ranking.cut_points(df, ["row_id"], [0, 17, len(order)], b) == [(order[0],), (order[17],), None]
+def test_range_rank_and_prefix_sum(spark):
+    ids = sorted({i * i % 100_003 for i in range(1, 4000)})
+    df = spark.createDataFrame([(x, x % 7, f"n{x:06d}") for x in ids], "row_id BIGINT, v BIGINT, name STRING").repartition(5)
+    got = {r.row_id: r.rank for r in ranking.range_rank(df, ["row_id"]).collect()}
+    assert got == {v: i for i, v in enumerate(ids)}
+    sums, total = {}, 0
+    for x in ids:
+        sums[x], total = total, total + x % 7
+    for col in ("row_id", "name"):
+        assert {r.row_id: r.before for r in ranking.prefix_sum(df, [col], "v", "before").collect()} == sums
+    none = df.limit(0)
+    assert ranking.range_rank(none, ["row_id"]).count() == ranking.prefix_sum(none, ["row_id"], "v", "s").count() == 0
+
+
+def test_first_rows_of_any_orderable_type(spark):
+    """Ids whose order number ties or is negative: texts with a long common start, dates, decimals, structs."""
+    df = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") * 7919 % 3000 - 1500).alias("k"))
+    df = df.select(
+        "k",
+        F.format_string("a long common start %05d", F.col("k") + 1500).alias("text"),
+        F.date_add(F.lit("1970-01-01").cast("date"), F.col("k").cast("int")).alias("day"),
+        F.timestamp_micros(F.col("k") * 1_000_003).alias("at"),
+        (F.col("k") / 7).cast("decimal(20,6)").alias("dec"),
+        F.struct(F.col("k").alias("x")).alias("s"),
+        (F.col("k") + (1 << 60)).alias("large"),
+    )
+    for col in ("k", "text", "day", "at", "dec", "s", "large"):
+        for n in (40, 3000) if col != "k" else (0, 1, 40, 2999, 5000):
+            got = {r.k: r.subset_pos for r in scoring.eval_subset(df, n, col).select("k", "subset_pos").collect()}
+            assert got == {k: k + 1500 for k in range(-1500, -1500 + min(n, 3000))}, (col, n)
 
 
 def test_sample_and_subset_are_the_same_at_every_size(spark):

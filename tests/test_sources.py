@@ -103,3 +103,21 @@ def test_union_splits_labels_parts(spark):
     b = spark.createDataFrame([("d2", "m2"), ("d3", "m3")], "diff STRING, message STRING")
     out = SC.union_splits([a, b], names=["train", "test"])
     assert sorted((r.diff, r.split) for r in out.collect()) == [("d1", "train"), ("d2", "test"), ("d3", "test")]
+
+
+def test_input_order_over_many_small_files(spark, tmp_dir):
+    """10,000 files in 100 folders: places come from a prefix sum over partitions, not from one task."""
+    want = []
+    for i in range(10_000):
+        d = os.path.join(tmp_dir, "chat", f"part{i % 100:03d}")
+        os.makedirs(d, exist_ok=True)
+        name = os.path.join(d, f"f{i // 100:03d}.jsonl")
+        lines = [f'{{"messages":[{{"role":"user","content":"{i}.{k}"}}]}}' for k in range(i % 3)]
+        with open(name, "w") as f:
+            f.write("\n".join(lines))
+        want += [(name, k, f"{i}.{k}") for k in range(i % 3)]
+    df = J.read_chat_jsonl(spark, os.path.join(tmp_dir, "chat"), recursive=True, allow_many_dirs=True, id_col="row_id")
+    got = df.selectExpr("row_id", "messages[0].content AS c").collect()
+    assert sorted((r.row_id, r.c) for r in got) == list(enumerate(c for _, _, c in sorted(want)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
