@@ -24,6 +24,7 @@ from diffcorpus.config import DEFAULT  # noqa: E402
 from diffcorpus.functions import chat as C  # noqa: E402
 from diffcorpus.functions import text as T  # noqa: E402
 from diffcorpus.functions.register import register  # noqa: E402
+from diffcorpus.operators.bpe import BpeTokenizer  # noqa: E402
 from diffcorpus.operators import contexts, curate, generation, ranking, scoring, sequences, splits  # noqa: E402
 from diffcorpus.plans import evaluate as E  # noqa: E402
 from diffcorpus.plans import prepare as P  # noqa: E402
@@ -45,6 +46,8 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = llm_queries = None
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
+#: A public byte-level vocabulary; any in the same form will do.
+BPE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _commits(spark, sf):
@@ -288,6 +291,18 @@ def _codepoints(texts):
     return [[ord(ch) for ch in t] for t in texts]
 
 
+def q_tokenize_bpe(spark, sf):
+    """Q2: sub-word ids of every diff by a public byte-level vocabulary; null for a null diff."""
+    out = sequences.tokenize(_commits(spark, sf), "diff", BpeTokenizer(BPE_VOCABULARY).encode, "ids")
+    return out.select("row_id", F.size("ids").cast("long").alias("n_tokens"), _json("ids"))
+
+
+def q_build_sequences_bpe(spark, sf):
+    """E3 with sub-word ids."""
+    out = S.build_sequences(_prepared(spark, sf), tokenizer=BpeTokenizer(BPE_VOCABULARY))
+    return out.select("dataset", "row_id", "batch_id", "pos", _json("input_ids"), _json("attention_mask"), _json("labels"))
+
+
 def q_build_sequences_user_tokenizer(spark, sf):
     out = S.build_sequences(_prepared(spark, sf), tokenizer=S.UdfTokenizer(_codepoints, 0, 3))
     return out.select(
