@@ -260,12 +260,39 @@ def q_peek(spark, sf):
 
 
 def q_sql_functions(spark, sf):
-    """U2 on whole document texts."""
+    """The text functions on whole document texts."""
     register(spark)
     dt.table(spark, sf, "documents").createOrReplaceTempView("sql_functions_documents")
     return spark.sql(
         """SELECT doc_id, py_subject_line(text) AS subject, py_is_conventional(text) AS conventional, py_has_noise(text) AS noise,
-             py_truncate_diff(text) AS truncated, py_norm_match(text) AS norm FROM sql_functions_documents"""
+             py_truncate_diff(text) AS truncated, py_norm_match(text) AS norm, py_strip(text) AS stripped, py_is_blank(text) AS blank,
+             py_strip_footers(text) AS footers, py_clean_message(text) AS clean, py_user_message(text) AS user_message,
+             py_extract_diff(py_user_message(text)) AS extracted, py_diff_preview(text) AS preview,
+             py_format_commit(lang, source, text) AS formatted, py_valid_commit_type(lang) AS valid FROM sql_functions_documents"""
+    )
+
+
+def q_sql_chat_functions(spark, sf):
+    """The functions over arrays of structs, on the prepared commits."""
+    register(spark)
+    _prepared(spark, sf).select("row_id", C.parse_chat("messages").alias("p")).select("row_id", "p.*").createOrReplaceTempView("sql_functions_prepared")
+    return spark.sql(
+        f"""WITH made AS (SELECT row_id, py_chat_example(diff, gold) AS messages, py_inference_messages(diff) AS prompt FROM sql_functions_prepared),
+        texts AS (SELECT *, py_render_chat(messages, false) AS full_text, py_render_chat(py_prompt_messages(messages), true) AS prompt_text, py_parse_chat(messages) AS parsed FROM made),
+        masked AS (SELECT *, py_mask_labels(py_tokenize_codepoints(full_text), size(py_tokenize_codepoints(prompt_text)), {DEFAULT.max_seq_length}) AS seq FROM texts)
+        SELECT row_id, to_json(messages) AS messages, to_json(prompt) AS prompt, parsed.diff, parsed.gold, full_text, prompt_text,
+          to_json(seq.input_ids) AS input_ids, to_json(py_attention_mask(seq.input_ids)) AS attention_mask, to_json(seq.labels) AS labels FROM masked"""
+    )
+
+
+def q_sql_contexts(spark, sf):
+    """C5 as a table function over each conversation's turns."""
+    register(spark)
+    dt.table(spark, sf, "conversations").createOrReplaceTempView("sql_functions_turns")
+    return spark.sql(
+        """SELECT c.conv_id, CAST(x.turn AS BIGINT) AS turn, to_json(x.messages) AS messages
+        FROM (SELECT conv_id, collect_list(named_struct('turn', CAST(turn AS INT), 'role', role, 'text', text)) AS turns FROM sql_functions_turns GROUP BY conv_id) c,
+        LATERAL py_contexts(c.turns) x"""
     )
 
 
@@ -674,7 +701,17 @@ SELECT run_id, {O.SUMMARY_COLS} FROM scored GROUP BY run_id""",
         "require_rows": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, message FROM clean",
         "peek": f"{W(c)},\n{O.CLEAN}\nSELECT row_id, message FROM clean ORDER BY row_id LIMIT 1",
         "sql_functions": f"""SELECT doc_id, {O.subject('text')} AS subject, coalesce({O.conventional('text')}, false) AS conventional, {O.noise('text')} AS noise,
-  {O.truncate('text')} AS truncated, {O.norm('text')} AS norm FROM documents""",
+  {O.truncate('text')} AS truncated, {O.norm('text')} AS norm, {O.strip('text')} AS stripped, NOT {O.nonblank('text')} AS blank,
+  {O.strip_footers('text')} AS footers, {O.clean('text')} AS clean, {O.user_message('text')} AS user_message,
+  {O.extract(O.user_message('text'))} AS extracted, {O.preview('text')} AS preview,
+  {O.format_commit('lang', 'source', 'text')} AS formatted, lang IN ({', '.join(O.q(t) for t in O.COMMIT_TYPES)}) AS valid FROM documents""",
+        "sql_chat_functions": f"""{W(c)},\n{O.PREPARED},
+again AS (SELECT row_id, {O.extract(O.user_message('diff'))} AS diff, {O.strip('message')} AS message FROM prepared),
+{mask.format(cols='row_id, diff, message', ids=codepoints.format(x=full_text), plen=f'length({prompt_text})', src='again')}
+SELECT row_id, CAST(to_json({chat_q}) AS VARCHAR) AS messages, CAST(to_json({O.inference('diff')}) AS VARCHAR) AS prompt,
+  {O.extract(O.user_message('diff'))} AS diff, {O.strip('message')} AS gold, {full_text} AS full_text, {prompt_text} AS prompt_text,
+  CAST(to_json(input_ids) AS VARCHAR) AS input_ids, CAST(to_json(attention_mask) AS VARCHAR) AS attention_mask, CAST(to_json(labels) AS VARCHAR) AS labels FROM masked""",
+        "sql_contexts": f"WITH {conv_ctx}",
         "stream_prompts": f"SELECT item_id, CAST(to_json({O.inference('(text || chr(10))')}) AS VARCHAR) AS messages FROM benchmark WHERE {O.nonblank('text')}",
         "evaluate_missing": f"""{W('predictions')},\n{O.GOLD},
 tests AS (SELECT * FROM prepared WHERE split = 'test'),

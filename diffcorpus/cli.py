@@ -87,7 +87,7 @@ def cmd_evaluate(args, spark):
 
     test = require_rows(read_split(spark, args.data, "test", id_col="row_id"), "examples in the test split")
     if args.generator:
-        ev = evaluate_generated(test, _load(args.generator), cfg, run_id=args.run_id)
+        ev = evaluate_generated(test, _load(args.generator), cfg, run_id=args.run_id, answers_path=args.answers)
     else:
         if not args.predictions:
             raise SystemExit("give --predictions or --generator")
@@ -169,6 +169,7 @@ def main(argv=None) -> None:
     e.add_argument("--predictions", help="table (run_id?, row_id, prediction)")
     e.add_argument("--generator", help="module:factory returning fn(list of message lists) -> texts")
     e.add_argument("--run-id", default="run")
+    e.add_argument("--answers", help="work table of the generator's answers; a run that was stopped goes on with it")
     e.add_argument("--out", required=True)
     e.add_argument("--n", type=int, default=DEFAULT.eval_n)
     e.add_argument("--seed", type=int, default=DEFAULT.eval_seed)

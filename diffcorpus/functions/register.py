@@ -8,8 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..config import COMMIT_TYPES, TRUNCATION_MARKER
+from ..config import COMMIT_TYPES, IGNORE_LABEL, SYSTEM_PROMPT, TRUNCATION_MARKER
 from . import text as T
+from .chat import CHATML, ChatTemplate
+
+_MESSAGES = "ARRAY<STRUCT<role STRING, content STRING>>"
+_TURNS = "ARRAY<STRUCT<turn INT, role STRING, text STRING>>"
+_IDS = "ARRAY<INT>"
 
 
 def _lit(s: str) -> str:
@@ -41,6 +46,60 @@ def _unicode_lit(chars: str) -> str:
     return "'" + "".join(f"\\u{ord(ch):04x}" for ch in chars) + "'"
 
 
+def _message(role: str, content: str) -> str:
+    return f"named_struct('role', '{role}', 'content', {content})"
+
+
+def chat_bodies(system_prompt: str = SYSTEM_PROMPT, template: ChatTemplate = CHATML) -> dict[str, str]:
+    """C1-C5, Q1, Q3, Q4 over arrays of structs.
+
+    ``py_conversation_contexts`` takes the turns of one conversation;
+    ``py_contexts`` is the same as a table function, for ``LATERAL``.  For
+    conversations without a bound use ``operators.contexts``.
+    """
+    system, t = _str(system_prompt), template
+    ask, answer = _message("user", "py_user_message(diff)"), _message("assistant", "py_strip(msg)")
+    wrapped = f"concat({_str(t.prefix)}, m.role, {_str(t.role_sep)}, m.content, {_str(t.suffix)})"
+    # a function cannot be called on a lambda's variable: its body stands here
+    strip = f"btrim(t.text, {_unicode_lit(T.PY_WHITESPACE)})"
+    said = f"named_struct('role', t.role, 'content', {strip})"
+    user, word = "t.role = 'user'", f"lower({strip})"
+    none = f"CAST(array() AS {_MESSAGES})"
+    found = f"ARRAY<STRUCT<turn INT, messages {_MESSAGES}>>"
+    step = (
+        "CASE WHEN s.over OR t.role IS NULL OR t.role NOT IN ('user', 'assistant') THEN s "
+        f"WHEN {user} AND {word} = 'q' THEN named_struct('past', s.past, 'over', true, 'found', s.found) "
+        f"WHEN {user} AND {word} = 'r' THEN named_struct('past', {none}, 'over', false, 'found', s.found) "
+        f"WHEN {user} AND NOT (t.text RLIKE {_lit(T.NON_WS_CLASS)}) THEN s "
+        "ELSE named_struct('past', concat(s.past, array({said})), 'over', false, 'found', "
+        f"CASE WHEN {user} THEN concat(s.found, array(named_struct('turn', t.turn, 'messages', concat(array({_message('system', system)}), s.past, array({{said}}))))) ELSE s.found END) END"
+    ).replace("{said}", said)
+    start = f"named_struct('past', {none}, 'over', false, 'found', CAST(array() AS {found}))"
+    contexts = f"aggregate(array_sort(turns), {start}, (s, t) -> {step}, s -> s.found)"
+    cut = "slice(ids, 1, max_len)"
+    masked = f"least(prompt_len, size({cut}))"
+    return {
+        f"py_chat_example(diff STRING, msg STRING) RETURNS {_MESSAGES}": f"array({_message('system', system)}, {ask}, {answer})",
+        f"py_inference_messages(diff STRING) RETURNS {_MESSAGES}": f"array({_message('system', system)}, {ask})",
+        f"py_first_content(messages {_MESSAGES}, wanted STRING) RETURNS STRING": "get(filter(messages, m -> m.role = wanted), 0).content",
+        f"py_parse_chat(messages {_MESSAGES}) RETURNS STRUCT<diff STRING, gold STRING>": (
+            "named_struct('diff', py_extract_diff(py_first_content(messages, 'user')), 'gold', py_first_content(messages, 'assistant'))"
+        ),
+        f"py_prompt_messages(messages {_MESSAGES}) RETURNS {_MESSAGES}": "filter(messages, m -> m.role != 'assistant')",
+        f"py_render_chat(messages {_MESSAGES}, generation BOOLEAN) RETURNS STRING": (
+            f"concat(array_join(transform(messages, m -> {wrapped}), ''), CASE WHEN generation THEN {_str(t.generation_prompt)} ELSE '' END)"
+        ),
+        f"py_tokenize_codepoints(s STRING) RETURNS {_IDS}": f"CASE WHEN s = '' THEN CAST(array() AS {_IDS}) ELSE transform(split(s, '', -1), x -> ascii(x)) END",
+        f"py_attention_mask(ids {_IDS}) RETURNS {_IDS}": "array_repeat(1, size(ids))",
+        f"py_mask_labels(ids {_IDS}, prompt_len INT, max_len INT) RETURNS STRUCT<input_ids {_IDS}, attention_mask {_IDS}, labels {_IDS}>": (
+            f"named_struct('input_ids', {cut}, 'attention_mask', array_repeat(1, size({cut})), 'labels', "
+            f"concat(array_repeat({IGNORE_LABEL}, {masked}), slice({cut}, {masked} + 1, greatest(size({cut}) - {masked}, 0))))"
+        ),
+        f"py_conversation_contexts(turns {_TURNS}) RETURNS {found}": contexts,
+        f"py_contexts(turns {_TURNS}) RETURNS TABLE(turn INT, messages {_MESSAGES})": f"SELECT c.turn, c.messages FROM (SELECT explode({contexts}) AS c)",
+    }
+
+
 def function_bodies(max_diff_chars: int = 12_000, preview_len: int = 200, max_lines: int = 3) -> dict[str, str]:
     ws = _unicode_lit(T.PY_WHITESPACE)
     strip = f"btrim(s, {ws})"
@@ -96,7 +155,8 @@ def function_bodies(max_diff_chars: int = 12_000, preview_len: int = 200, max_li
 def register(spark: SparkSession, **params) -> list[str]:
     """Create the temporary SQL functions in ``spark``; returns their names."""
     names = []
-    for sig, body in function_bodies(**params).items():
+    chat = {k: params.pop(k) for k in ("system_prompt", "template") if k in params}
+    for sig, body in (function_bodies(**params) | chat_bodies(**chat)).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sig} RETURN {body}")
         names.append(sig.split("(")[0])
     return names

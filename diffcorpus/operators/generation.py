@@ -8,9 +8,14 @@ import sysconfig
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_root
+from . import ranking
+
 Generator = Callable[[list[list[dict]]], list[str]]
 
 
@@ -70,3 +75,45 @@ def generate(
                 yield chunk
 
     return df.mapInPandas(run, schema)
+
+
+def answers(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What a work table holds so far; nothing when there is none yet."""
+    try:
+        spark.read.format("parquet").load(path).limit(0).schema  # noqa: B018 - fails when the path is missing or empty
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def generate_to(
+    df: DataFrame,
+    make_fn: Callable[[], Generator],
+    path: str,
+    key: str = "row_id",
+    messages_col: str = "messages",
+    out_col: str = "prediction",
+    batch_rows: int = 16,
+    rounds: int = 16,
+) -> DataFrame:
+    """``generate`` into a work table at ``path`` that a later call goes on with; returns ``(key, out_col)`` of ``df``'s rows.
+
+    Keys that the table has are left out, whoever answered them.  The others
+    are dealt by a hash of the key to ``rounds`` rounds, and each round is
+    appended to the table in a job of its own: a run that is stopped loses the
+    answers of one round at most, and a lost executor those of its running
+    tasks, as the model runs in the writing stage.  Keys are unique; a null
+    key fails.  Equal calls at the same time would answer twice.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([df.schema[key], T.StructField(out_col, T.StringType())])
+    asked = ranking.with_checked_id(df.select(key, messages_col), key)
+    todo = asked.join(answers(spark, path, schema).select(key), key, "left_anti")
+    todo = todo.withColumn("_round", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(rounds)).cast("int"))
+    work = f"{checkpoint_root(spark)}/diffcorpus-stages/work-{uuid.uuid4().hex}"
+    todo.write.partitionBy("_round").parquet(work)
+    waiting = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("_round", T.IntegerType())])).parquet(work)
+    for number in range(rounds):
+        part = waiting.where(F.col("_round") == number).drop("_round")
+        generate(part, make_fn, messages_col, out_col, batch_rows).select(key, out_col).write.mode("append").parquet(path)
+    return answers(spark, path, schema).join(df.select(key), key, "left_semi")

@@ -68,24 +68,24 @@ def evaluate_generated(
     order_col: str = "row_id",
     run_id: str = "run",
     batch_rows: int = 16,
+    answers_path: str | None = None,
 ) -> Evaluation:
     """E2 with U1 in the loop: generate for the seeded sample, then score.
 
     As in the original evaluation, the prompt is rebuilt from the diff
     extracted from the held-out user message (so it can differ from the
     training prompt by the block's trailing newline).  Only the sample
-    (``eval_n`` rows) reaches the generator.
+    (``eval_n`` rows) reaches the generator.  With ``answers_path`` the answers
+    go to a work table there, and a later call asks for the missing ones only.
     """
-    from ..operators.generation import generate
+    from ..operators.generation import generate, generate_to
 
     sample = splits.sample_n(chat, cfg.eval_n, cfg.eval_seed, order_col)
     prompts = gold_rows(sample, order_col).select(
         order_col, inference_messages("diff", cfg.system_prompt, cfg.max_diff_chars).alias("messages")
     )
-    preds = (
-        generate(prompts, make_fn, batch_rows=batch_rows)
-        .select(order_col, "prediction")
-        .withColumn("run_id", F.lit(run_id))
-    )
-    # the model runs once: its (at most eval_n) answers are written, then scored
-    return evaluate(chat, materialize(preds, "generated"), cfg, order_col)
+    if answers_path:
+        preds = generate_to(prompts, make_fn, answers_path, order_col, batch_rows=batch_rows)
+    else:  # the model runs once: its (at most eval_n) answers are written, then scored
+        preds = materialize(generate(prompts, make_fn, batch_rows=batch_rows).select(order_col, "prediction"), "generated")
+    return evaluate(chat, preds.withColumn("run_id", F.lit(run_id)), cfg, order_col)

@@ -125,3 +125,75 @@ def test_a_model_is_loaded_once_per_worker_and_not_for_empty_partitions(spark, t
     assert 0 < len(loads) == len({f.split("-")[1] for f in loads})
     generation.generate(df.where("id < 0"), make).collect()
     assert len([f for f in os.listdir(tmp_dir) if f.startswith("load-")]) == len(loads)
+
+
+def test_a_stopped_generation_goes_on(spark, tmp_dir):
+    """The model fails half-way; the next run asks for the missing answers only, and repeats one round at most."""
+    import os
+    from collections import Counter
+
+    import pytest
+
+    from diffcorpus.operators.generation import generate_to
+
+    calls, stop = os.path.join(tmp_dir, "calls"), os.path.join(tmp_dir, "stop")
+    os.makedirs(calls)
+    open(stop, "w").close()
+
+    def make():
+        def fn(prompts):
+            out = []
+            for p in prompts:
+                i = int(p[-1]["content"])
+                if os.path.exists(stop) and len(os.listdir(calls)) >= 120:
+                    raise RuntimeError("the model stops")
+                open(os.path.join(calls, f"{i}-{os.urandom(4).hex()}"), "w").close()
+                out.append(f" answer {i} ")
+            return out
+
+        return fn
+
+    df = spark.range(240).repartition(3).selectExpr("id AS row_id", "array(struct('user' AS role, string(id) AS content)) AS messages")
+    path = os.path.join(tmp_dir, "answers")
+    with pytest.raises(Exception, match="the model stops"):
+        generate_to(df, make, path, rounds=8)
+    kept = {r.row_id for r in spark.read.parquet(path).collect()}
+    assert 60 < len(kept) <= 120
+    os.remove(stop)
+    got = generate_to(df, make, path, rounds=8)
+    assert sorted((r.row_id, r.prediction) for r in got.collect()) == [(i, f"answer {i}") for i in range(240)]
+    asked = Counter(int(f.split("-")[0]) for f in os.listdir(calls))
+    assert set(asked) == set(range(240)) and all(asked[i] == 1 for i in kept)
+    assert sum(asked.values()) - 240 <= 240 // 8 + 20
+    # nothing is left to ask; more rows ask for themselves only
+    more = spark.range(250).selectExpr("id AS row_id", "array(struct('user' AS role, string(id) AS content)) AS messages")
+    assert generate_to(more, make, path, rounds=2).count() == 250
+    assert sum(1 for _ in os.listdir(calls)) == sum(asked.values()) + 10
+    with pytest.raises(Exception, match="is null"):
+        generate_to(df.selectExpr("CAST(NULL AS BIGINT) AS row_id", "messages"), make, path)
+
+
+def test_sql_array_functions_match_columns(spark):
+    from diffcorpus.functions.chat import CHATML
+    from diffcorpus.operators import sequences
+
+    register(spark)
+    c = dt.commits(spark, SF01).select("row_id", "diff", "message")
+    c.createOrReplaceTempView("commits_arrays")
+    sql = spark.sql(
+        """SELECT row_id, py_chat_example(diff, message) a, py_inference_messages(diff) b, py_parse_chat(py_chat_example(diff, message)) c,
+                  py_prompt_messages(py_chat_example(diff, message)) d, py_render_chat(py_inference_messages(diff), true) e,
+                  py_mask_labels(py_tokenize_codepoints(message), 5, 40) f, py_attention_mask(py_tokenize_codepoints(message)) g
+           FROM commits_arrays WHERE diff IS NOT NULL AND message IS NOT NULL"""
+    )
+    chat = C.chat_example("diff", "message")
+    ids = sequences.tokenize_codepoints("message")
+    col = c.where("diff IS NOT NULL AND message IS NOT NULL").select(
+        "row_id", chat.alias("a"), C.inference_messages("diff").alias("b"), C.parse_chat(chat).alias("c"), C.prompt_messages(chat).alias("d"),
+        C.render_chat(C.inference_messages("diff"), CHATML, True).alias("e"), sequences.mask_labels(ids, 5, 40).alias("f"), sequences.attention_mask(ids).alias("g"),
+    )
+    assert [f.dataType.simpleString() for f in sql.schema] == [f.dataType.simpleString() for f in col.schema]
+    as_text = ["row_id", *[F.to_json(x).alias(x) if x != "e" else F.col("e") for x in "abcdefg"]]
+    assert sql.select(*as_text).exceptAll(col.select(*as_text)).count() == 0 == col.select(*as_text).exceptAll(sql.select(*as_text)).count()
+    odd = spark.sql("SELECT py_parse_chat(array()) a, py_render_chat(array(), false) b, py_mask_labels(CAST(array() AS ARRAY<INT>), 3, 4).labels c, py_conversation_contexts(array()) d").first()
+    assert odd.a.diff is None and odd.a.gold is None and odd.b == "" and odd.c == [] and odd.d == []
