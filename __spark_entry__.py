@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_sql as O  # noqa: E402
@@ -296,6 +296,15 @@ def q_sql_contexts(spark, sf):
     )
 
 
+def q_write_counts(spark, sf):
+    """A1 beyond the funnel: what the jobs that write the splits and the training sequences counted on the way."""
+    path, seen = _fresh(spark, "counted"), Observation("sequences")
+    counts = P.prepare_to_jsonl(_commits(spark, sf), path)
+    S.seeded_batches(J.read_split(spark, path, "train", id_col="row_id"), counts=seen)
+    counts |= seen.get
+    return spark.createDataFrame([tuple(counts.values())], [f"{name}_rows" if name in ("train", "valid", "test") else name for name in counts])
+
+
 def _streamed(spark, sdf, name):
     """All that has arrived, through a real stream into files, read back."""
     out = _fresh(spark, name)
@@ -711,6 +720,13 @@ again AS (SELECT row_id, {O.extract(O.user_message('diff'))} AS diff, {O.strip('
 SELECT row_id, CAST(to_json({chat_q}) AS VARCHAR) AS messages, CAST(to_json({O.inference('diff')}) AS VARCHAR) AS prompt,
   {O.extract(O.user_message('diff'))} AS diff, {O.strip('message')} AS gold, {full_text} AS full_text, {prompt_text} AS prompt_text,
   CAST(to_json(input_ids) AS VARCHAR) AS input_ids, CAST(to_json(attention_mask) AS VARCHAR) AS attention_mask, CAST(to_json(labels) AS VARCHAR) AS labels FROM masked""",
+        "write_counts": f"""{W(c)},\n{O.PREPARED},
+long AS (SELECT row_id, length({full_text}) AS n, length({prompt_text}) AS p FROM prepared WHERE split = 'train')
+SELECT count(*) AS rows, CAST(count_if(length(diff) > 12000) AS BIGINT) AS truncated_diffs, CAST(count_if(split = 'train') AS BIGINT) AS train_rows,
+  CAST(count_if(split = 'valid') AS BIGINT) AS valid_rows, CAST(count_if(split = 'test') AS BIGINT) AS test_rows,
+  (SELECT count(*) FROM long) AS sequences, (SELECT CAST(count_if(n > 2048) AS BIGINT) FROM long) AS cut_sequences,
+  (SELECT CAST(count_if(p >= least(n, 2048)) AS BIGINT) FROM long) AS all_masked
+FROM prepared""",
         "sql_contexts": f"WITH {conv_ctx}",
         "stream_prompts": f"SELECT item_id, CAST(to_json({O.inference('(text || chr(10))')}) AS VARCHAR) AS messages FROM benchmark WHERE {O.nonblank('text')}",
         "evaluate_missing": f"""{W('predictions')},\n{O.GOLD},

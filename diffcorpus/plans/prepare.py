@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config
+from ..config import DEFAULT, SPLIT_NAMES, Config
 from ..functions.chat import chat_example
 from ..operators import curate, splits
 from ..session import materialize
@@ -13,7 +13,12 @@ from ..sources.chat_jsonl import write_splits
 
 
 def prepare(
-    df: DataFrame, cfg: Config = DEFAULT, order_col: str = "row_id", written: bool = True, require_rows: bool = True
+    df: DataFrame,
+    cfg: Config = DEFAULT,
+    order_col: str = "row_id",
+    written: bool = True,
+    require_rows: bool = True,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Chat examples ``(row_id, split, messages)`` for train / valid / test.
 
@@ -22,7 +27,8 @@ def prepare(
     checkpoint folder (when ``written``) and answers whether anything is left
     and how to split.  The diffs stay in the source scan and join on the id.
     With ``require_rows`` an empty result raises, as the original preparation
-    does.
+    does.  ``counts`` is filled by the job that writes the result, without a
+    pass of its own: ``rows``, ``truncated_diffs`` and rows by split.
     """
     has_split = cfg.split_col in df.columns
     slim_cols = [order_col, cfg.message_col, *([cfg.split_col] if has_split else [])]
@@ -40,6 +46,9 @@ def prepare(
     else:
         slim = splits.split_random(slim, cfg, order_col, cfg.split_col)
     out = df.select(order_col, cfg.diff_col).join(slim, order_col)
+    if counts is not None:
+        by_split = [F.count_if(F.col(cfg.split_col) == name).alias(name) for name in SPLIT_NAMES]
+        out = out.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(F.length(cfg.diff_col) > cfg.max_diff_chars).alias("truncated_diffs"), *by_split)
     return out.select(
         F.col(order_col),
         F.col(cfg.split_col).alias("split"),
@@ -47,6 +56,8 @@ def prepare(
     )
 
 
-def prepare_to_jsonl(df: DataFrame, out_dir: str, cfg: Config = DEFAULT, order_col: str = "row_id") -> None:
-    """E1 with the S6 sink: ``out_dir/split=train`` ... as JSONL, one job."""
-    write_splits(prepare(df, cfg, order_col), out_dir)
+def prepare_to_jsonl(df: DataFrame, out_dir: str, cfg: Config = DEFAULT, order_col: str = "row_id") -> dict[str, int]:
+    """E1 with the S6 sink: ``out_dir/split=train`` ... as JSONL, one job; returns what that job counted."""
+    counts = Observation("prepared")
+    write_splits(prepare(df, cfg, order_col, counts=counts), out_dir)
+    return dict(counts.get)

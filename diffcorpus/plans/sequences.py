@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -13,15 +13,25 @@ from ..session import materialize
 
 
 def tokenized(
-    chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate = CHATML, tokenizer=CodepointTokenizer()
+    chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate = CHATML, tokenizer=CodepointTokenizer(), counts: Observation | None = None
 ) -> DataFrame:
-    """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``."""
+    """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``.
+
+    ``counts`` is filled by the first job over the result: ``sequences``,
+    ``cut_sequences`` (longer than the limit) and ``all_masked`` (no label left).
+    """
     full = render_chat("messages", template, add_generation_prompt=False)
     prompt = render_chat(prompt_messages("messages"), template, add_generation_prompt=True)
-    seq = sequences.mask_labels(tokenizer.ids(full, cfg.max_seq_length), tokenizer.count(prompt), cfg.max_seq_length)
-    return chat.withColumn("_seq", seq).select(
-        *[c for c in chat.columns if c != "messages"], "_seq.input_ids", "_seq.attention_mask", "_seq.labels"
-    )
+    kept = [c for c in chat.columns if c != "messages"]
+    # one token more than the limit tells whether a sequence is cut
+    toks = chat.select(*kept, tokenizer.ids(full, cfg.max_seq_length + 1).alias("_ids"), tokenizer.count(prompt).alias("_prompt"))
+    if counts is not None:
+        size = F.least(F.size("_ids"), F.lit(cfg.max_seq_length))
+        toks = toks.observe(
+            counts, F.count(F.lit(1)).alias("sequences"), F.count_if(F.size("_ids") > cfg.max_seq_length).alias("cut_sequences"), F.count_if(F.col("_prompt") >= size).alias("all_masked")
+        )
+    seq = sequences.mask_labels("_ids", "_prompt", cfg.max_seq_length)
+    return toks.select(*kept, seq.alias("_seq")).select(*kept, "_seq.input_ids", "_seq.attention_mask", "_seq.labels")
 
 
 def place(slim: DataFrame, cfg: Config, order_col: str = "row_id", digits: int = ranking.BUCKET_DIGITS) -> DataFrame:
@@ -41,15 +51,16 @@ def seeded_batches(
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
     digits: int = ranking.BUCKET_DIGITS,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Training batches in seeded order, padded.
 
     Every text is tokenized once, into a written table.  Rank, batch and
     width come from its slim ``(id, length)`` rows, are written too, and join
     back on the id without a hint: the planner has both tables' bytes.  A
-    null id fails.
+    null id fails.  ``counts``: see ``tokenized``.
     """
-    toks = materialize(tokenized(ranking.with_checked_id(chat, order_col), cfg, template, tokenizer), "tokenized")
+    toks = materialize(tokenized(ranking.with_checked_id(chat, order_col), cfg, template, tokenizer, counts), "tokenized")
     placed = materialize(place(toks.select(order_col, F.size("input_ids").alias("_len")), cfg, order_col, digits), "places")
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
     return sequences.pad_arrays(toks.join(placed, order_col).withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width")
@@ -61,18 +72,20 @@ def build_sequences(
     template: ChatTemplate = CHATML,
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
+    counts: Observation | None = None,
 ) -> DataFrame:
     """Padded batches for training (seeded order) and the eval subset (input order).
 
     ``chat`` holds ``(row_id, split, messages)``; the eval subset is the first
     ``val_batches * batch_size`` validation rows.  Output: ``dataset, row_id,
-    batch_id, pos, input_ids, attention_mask, labels``.
+    batch_id, pos, input_ids, attention_mask, labels``.  ``counts`` are those
+    of the training sequences, see ``tokenized``.
     """
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
     train = chat.where(F.col("split") == "train")
     valid = chat.where(F.col("split") == "valid")
     cols = ["dataset", order_col, "batch_id", "pos", "input_ids", "attention_mask", "labels"]
-    train_out = seeded_batches(train, cfg, template, tokenizer, order_col).withColumn("dataset", F.lit("train"))
+    train_out = seeded_batches(train, cfg, template, tokenizer, order_col, counts=counts).withColumn("dataset", F.lit("train"))
     subset = scoring.eval_subset(valid, cfg.val_batches * cfg.batch_size, order_col).withColumnRenamed("subset_pos", "rank")
     eval_out = sequences.pad_batches(tokenized(subset, cfg, template, tokenizer), cfg.batch_size, pad, "rank")
     return train_out.select(*cols).unionByName(eval_out.withColumn("dataset", F.lit("eval")).select(*cols))
