@@ -188,6 +188,9 @@ def certify(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qual
         .select("stratum", "step", F.array(*[F.try_element_at("cuts", F.lit(r)) for r in range(len(RULES))]).alias("cutoffs"))
     )
 
+    # at most one row a step and certified stratum: written, so that the planner knows how small it is and no stratum meets in one task
+    proposed = stage(proposed, "proposed")
+
     # holdout: exact test of each step; a step stands when it and all before it pass
     lost = rejected(F.col("levels"), F.col("cutoffs"))
     n_strata = known.agg(F.count_distinct("stratum")).scalar()
