@@ -13,6 +13,11 @@ from pyspark.sql import types as T_
 
 from . import textnum as T
 
+#: Positions of a long word that are hashed at a time.
+POSITIONS = 1 << 18
+#: What a step of ``viterbi`` for all words of a size costs, in bytes of a word taken by its positions; and a word's own start.
+STEP_COST, WORD_COST = 300, 1000
+
 #: The mark that SentencePiece writes for a space, in UTF-8.
 MARK = b"\xe2\x96\x81"
 
@@ -37,7 +42,8 @@ def load(path: str) -> Vocabulary:
 
     Piece scores are the model's own for a unigram model.  A BPE model has no
     scores but ranks; its piece of rank r gets -log(r + 2), so fewer and more
-    frequent pieces win.  A byte costs more than any piece.
+    frequent pieces win.  A byte costs more than any piece.  A model with a
+    piece across a space is refused.
     """
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -59,6 +65,8 @@ def load(path: str) -> Vocabulary:
             surface.append(b"")
         else:
             surface.append(raw.replace(MARK, b" "))
+            if MARK in piece.piece.lstrip(MARK.decode()).encode():
+                raise ValueError(f"piece {i} holds a space after another character: texts could not be cut at spaces")
             names.append(raw)
             ids.append(i)
             scores.append(-np.log(2.0 - piece.score) if bpe else piece.score)
@@ -130,6 +138,48 @@ def viterbi(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, size: int,
     return np.concatenate(out_id[::-1])[order], np.bincount(word, minlength=n)
 
 
+def viterbi_by_positions(data: np.ndarray, eight: np.ndarray, start: int, size: int, vocab: Vocabulary, plain: np.ndarray | None = None) -> np.ndarray:
+    """The ids that ``viterbi`` gives, for one word of any size: all its positions advance together in the search for pieces.
+
+    For each piece length all substrings of the word are hashed and probed;
+    what remains is one maximum over the pieces found, end by end.
+    """
+    barred = None if plain is None else np.concatenate(([0], np.cumsum(plain[start : start + size])))
+    ends, backs, places = [], [], []
+    for back in vocab.lengths:
+        for low in range(0, size - back + 1, POSITIONS):
+            at = np.arange(low, min(low + POSITIONS, size - back + 1), dtype=np.int64)
+            word, place = _lookup(vocab, T.hash_spans(data, start + at, start + at + back, eight))
+            at = at[word]
+            if barred is not None:
+                open_ = barred[at + back] == barred[at]
+                at, place = at[open_], place[open_]
+            ends.append(at + back)
+            backs.append(np.full(len(at), back, dtype=np.int32))
+            places.append(place)
+    end, back, place = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (ends, backs, places))
+    order = np.argsort(end, kind="stable")  # longest pieces first at each end, as they were found
+    back, first = back[order], np.searchsorted(end[order], np.arange(size + 2)).tolist()
+    scores, ids = vocab.scores[place[order]].tolist(), vocab.ids[place[order]].tolist()
+    back, letters = back.tolist(), data[start : start + size].tolist()
+    best, step, via = [0.0] * (size + 1), [1] * (size + 1), [0] * (size + 1)
+    for e in range(1, size + 1):
+        top, width, chosen = -np.inf, 1, 0
+        for k in range(first[e], first[e + 1]):
+            total = best[e - back[k]] + scores[k]
+            if total > top:
+                top, width, chosen = total, back[k], ids[k]
+        total = best[e - 1] + vocab.byte_score
+        if total > top:
+            top, width, chosen = total, 1, int(vocab.byte_ids[letters[e - 1]])
+        best[e], step[e], via[e] = top, width, chosen
+    out, e = [], size
+    while e:
+        out.append(via[e])
+        e -= step[e]
+    return np.array(out[::-1], dtype=np.int32)
+
+
 def _escape(texts: list[str | None], prefix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Texts as model bytes, a mark for each space; offsets; and which bytes are marks that the text itself held."""
     raw = [("" if t is None else t).encode() for t in texts]
@@ -163,8 +213,6 @@ def _word_edges(data: np.ndarray, offs: np.ndarray, plain: np.ndarray | None) ->
         mark[:n] &= ~plain
     new = mark[:n].copy()
     new[3:] &= ~mark[: n - 3] if n > 3 else False
-    if plain is not None:  # a literal mark is a word of its own kind: never inside a piece
-        new[1:] |= False
     new[offs[:-1][np.diff(offs) > 0]] = True
     return np.flatnonzero(new)
 
@@ -188,8 +236,13 @@ def encode_texts(texts: list[str | None], vocab: Vocabulary) -> tuple[np.ndarray
     ids, per = [], np.zeros(len(first), dtype=np.int64)
     cut = np.flatnonzero(np.diff(size[order], prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(order))):
-        group = order[a:b]
-        got, count = viterbi(data, eight, starts[first[group]], int(size[group[0]]), vocab, plain)
+        group, width = order[a:b], int(size[order[a]])
+        if len(group) * (width + WORD_COST) < STEP_COST * width:  # few long words: the same ids, without a step for every byte
+            alone = [viterbi_by_positions(data, eight, int(w), width, vocab, plain) for w in starts[first[group]]]
+            ids += alone
+            per[group] = [len(x) for x in alone]
+            continue
+        got, count = viterbi(data, eight, starts[first[group]], width, vocab, plain)
         ids.append(got)
         per[group] = count
     flat = np.concatenate(ids)  # words by size

@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 import numpy as np
 import pytest
@@ -81,3 +83,35 @@ def test_odd_rows_and_query(spark, odd, empty):
     assert pieces.decode(none, PIECES).first().decoded is not None
     got = QUERIES["op6_sentencepiece"](spark, SF)
     assert got.where("NOT round_trip OR n_ids = 0").count() == 0 and got.count() == 200
+
+
+def test_long_words_by_positions_give_the_same_ids(vocab):
+    """Texts without spaces: words of every size by both searches, literal marks too; a megabyte takes seconds."""
+    rng = random.Random(9)
+    texts = ["日本語のテキスト" * 30, "a" * 700, "x▁" * 90, " " * 300 + "y", "".join(rng.choices("abcdefgh/+=", k=900)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(250)), None, ""]
+    texts += ["".join(rng.choices("abcdeé▁ \n日", k=rng.randint(1, 300))) for _ in range(60)]
+    both = []
+    for cost in (0, 1 << 60):
+        pieces.STEP_COST, usual = cost, pieces.STEP_COST
+        try:
+            both.append(pieces.encode_texts(texts, vocab))
+        finally:
+            pieces.STEP_COST = usual
+    assert (both[0][0] == both[1][0]).all() and (both[0][1] == both[1][1]).all()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "日本語文字列検索"):
+        text = "".join(rng.choices(alphabet, k=1_000_000 // len(alphabet[0].encode())))
+        start = time.time()
+        ids, per = pieces.encode_texts([text], vocab)
+        assert time.time() - start < 60 and per[0] == len(ids) and pieces.decode_ids(ids, vocab) == text
+
+
+def test_a_model_with_a_piece_across_a_space_is_refused(tmp_path):
+    model = proto.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces[5000].piece = "of▁the"
+    path = str(tmp_path / "across.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    with pytest.raises(ValueError, match="space after another"):
+        pieces.load(path)
