@@ -9,10 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stages import sampled, stage
-
-#: A whole run of key characters, 16 or more, with a digit in it.  The run's start is found by what stands before it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+from .stages import sampled, stage, unused
+
+#: Words that a credential follows, as they end ("api_key", "accessToken").
+NAMED = "access|apikey|api|auth|bearer|credentials|credential|key|passphrase|passwd|password|private|pwd|secret|token"
+#: What stands between such a word and its value.
+ASSIGNED = rf"(?i:{NAMED})[\"'`]?(?:\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}|\s{{1,3}}(?i:is)\s{{1,3}})"
+#: A value in quotes that such a word introduces: all of it, spaces too.
+QUOTED = rf"(?<=[\"'`])(?<=(?:[=:>]\s{{0,3}}|[iI][sS]\s{{1,3}})[\"'`])(?<={ASSIGNED}[\"'`])[^\"'`\n]++(?=[\"'`])"
+#: A value without quotes: up to a blank or a mark between values, less closing marks.
+VALUE = r"[^\s\"'`,;&]*[^\s\"'`,;&.)\]}>]"
+#: One that such a word introduces.
+BARE = rf"(?<=[=:>\s])(?<=[=:>]\s{{0,3}}|[iI][sS]\s{{1,3}})(?<={ASSIGNED})(?![=:>]){VALUE}"
+#: One that follows such a word after blanks only: no plain word, so it holds a digit or a mark.
+FOLLOWING = rf"(?<=\s)(?![=:>])(?=[A-Za-z.:()<>-]*+[0-9@#$%^*!_+/~])(?<=(?i:{NAMED})\s{{1,3}}){VALUE}"
+#: A whole run of key characters, 16 or more, with a digit in it, wherever it stands.
+RUN = r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+#: No candidate begins inside a run of key characters.
+CANDIDATE = f"(?<![A-Za-z0-9+/_-])(?:{QUOTED}|{BARE}|{FOLLOWING}|{RUN})"
+#: What stands where a credential is to be filled in.
+PLACEHOLDER = r"(?i)^([<{$%\[].*|[*x._-]+|null|none|true|false|undefined|changeme|todo|your[-_ ].*)$"
 BEFORE, AFTER = 64, 32
 #: Labelled findings learnt from, about.
 MAX_LABELLED = 20_000
@@ -34,8 +50,9 @@ FEATURES = [
 
 
 def _key(id_col: str, text_col: str, path_col: str) -> Column:
-    """Rows alike in id, text and path share a key, and so their findings."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(path_col).cast("string"))
+    """Rows alike in id, text and path share a key, and so their findings: 128 bits, so that no others do."""
+    parts = F.col(id_col).cast("string"), F.col(text_col), F.col(path_col).cast("string")
+    return F.concat(F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("again"), *parts)))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -112,7 +129,7 @@ def with_features(found: DataFrame, min_word: int = MIN_WORD) -> DataFrame:
             "longest_run": F.array_max(F.transform(F.regexp_extract_all("found", F.lit("[0-9]+|[a-z]+|[A-Z]+|[+/_-]+"), F.lit(0)), F.length)) / n,
             "hex": F.col("found").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
             "covered": F.coalesce(F.col("letters"), F.lit(0)) / n,
-            "assigned": F.col("before").rlike(r"[=:]\s*[\"'`]?$").cast("double"),
+            "assigned": F.col("before").rlike(r"([=:>]|\s[iI][sS]\s)\s*[\"'`]?$").cast("double"),
             "quoted": F.col("before").rlike(r"[\"'`]$").cast("double"),
             "credential": any_of(CREDENTIAL, 3),
             "harmless": any_of(HARMLESS, 3),
@@ -127,10 +144,14 @@ def weak_label(featured: DataFrame) -> DataFrame:
     """Labelled findings where no one has labelled any: ``featured`` with ``label`` 1, 0 or null for the rest.
 
     1: an issuer's published format, or a value assigned to a credential word.
-    0: digits alone, a UUID, or a value that a harmless word introduces.
+    0: a UUID, a placeholder, digits alone that no credential word introduces,
+    or a value that a harmless word introduces.  A bare lower-case word stays
+    open: it may be prose.
     """
-    sure = F.col("found").rlike(ISSUED) | ((F.col("assigned") == 1) & (F.col("credential") == 1) & (F.col("harmless") == 0))
-    harmless = (F.col("digits") == 1) | F.col("found").rlike(UUID) | ((F.col("harmless") == 1) & (F.col("credential") == 0))
+    named = (F.col("assigned") == 1) & (F.col("credential") == 1) & (F.col("harmless") == 0)
+    prose = (F.col("quoted") == 0) & F.col("found").rlike("^[a-z]+$")
+    sure = F.col("found").rlike(ISSUED) | (named & ~prose)
+    harmless = ((F.col("digits") == 1) & ~named) | F.col("found").rlike(UUID) | F.col("found").rlike(PLACEHOLDER) | ((F.col("harmless") == 1) & (F.col("credential") == 0))
     return featured.withColumn("label", F.when(harmless, 0).when(sure, 1))
 
 
@@ -142,7 +163,7 @@ def train(featured: DataFrame, label_col: str = "label", max_labelled: int = MAX
         return float(next(iter(sizes), 0))
     picked = sampled(rows.withColumn("_pick", F.concat_ws(":", "key", "i")), "_pick", max_labelled, sum(sizes.values()))
     # in one order, so that bagging does not depend on how rows were dealt
-    sample = stage(picked.select(*FEATURES, F.col(label_col).cast("double").alias("label")).coalesce(1).sortWithinPartitions(*FEATURES, "label"), "secret-sample")
+    sample = stage(picked.select(*FEATURES, F.col(label_col).cast("double").alias("label")).repartition(1).sortWithinPartitions(*FEATURES, "label"), "secret-sample")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False)
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label").coalesce(1))
 
@@ -170,20 +191,24 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", mark: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every secret of ``text_col`` replaced by ``mark``; only texts with a secret go through the join."""
+    """``docs`` with every secret of ``text_col`` replaced by ``mark``; only texts with a candidate go through the join.
+
+    Null and empty texts stay as they are, repeated rows repeated; all columns
+    pass through, whatever their names; an empty table stays empty.
+    """
     flags = (
         find_secrets(docs, id_col, text_col, path_col)
         .where("is_secret")
         .groupBy("key")
         .agg(F.collect_set("i").alias("secret_at"))
     )
-    key, names = "_secret_key", docs.columns
+    key, secret_at, names = unused(docs, "_secret_key"), unused(docs, "_secret_at"), docs.columns
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
     found, gaps = F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), F.split(text_col, CANDIDATE, -1)
     rebuilt = F.concat(
         F.get(gaps, F.lit(0)),
-        F.array_join(F.transform(found, lambda m, i: F.concat(F.when(F.array_contains("_secret_at", i), F.lit(mark)).otherwise(m), F.get(gaps, i + 1))), ""),
+        F.array_join(F.transform(found, lambda m, i: F.concat(F.when(F.array_contains(secret_at, i), F.lit(mark)).otherwise(m), F.get(gaps, i + 1))), ""),
     )
-    some = docs.where(has).withColumn(key, _key(id_col, text_col, path_col)).join(flags.select(F.col("key").alias(key), F.col("secret_at").alias("_secret_at")), key, "left")
-    cleaned = some.withColumn(text_col, F.when(F.col("_secret_at").isNull(), F.col(text_col)).otherwise(rebuilt)).select(*names)
+    some = docs.where(has).withColumn(key, _key(id_col, text_col, path_col)).join(flags.select(F.col("key").alias(key), F.col("secret_at").alias(secret_at)), key, "left")
+    cleaned = some.withColumn(text_col, F.when(F.col(secret_at).isNull(), F.col(text_col)).otherwise(rebuilt)).select(*names)
     return docs.where(~has).unionByName(cleaned)

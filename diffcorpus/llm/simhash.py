@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as T
 from .components import connected_components
-from .stages import stage
+from .stages import stage, unused
 
 SEED = 42
 
@@ -127,9 +127,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows get a key of their own, written with a copy of ``docs`` so that it
     holds for every later read; so neither repeated nor null ids take a row
-    with them or keep one.
+    with them or keep one.  Null texts count as empty, and empty texts are
+    alike.  All columns pass through, whatever their names; an empty table
+    stays empty.
     """
-    key = "_simhash_row"
+    key = unused(docs, "_simhash_row")
     keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
     named = keyed.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("doc"), F.col(text_col).alias("text"))
     found = simhash_components(named, "doc", "text", shingle, max_bits)

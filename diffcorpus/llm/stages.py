@@ -44,6 +44,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(col).cast("string")) % n

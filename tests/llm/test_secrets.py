@@ -1,16 +1,103 @@
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from diffcorpus.llm import secret_scan
+from diffcorpus.llm import secret_scan, simhash
 from diffcorpus.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 
 
+WORDS = "access apikey api auth bearer credentials credential key passphrase passwd password private pwd secret token".split()
+QUOTES, CLOSING, SPACES = "\"'`", ".)]}>", " \t\n\x0b\f\r"
+
+
+def introduced(before):
+    """How text ``before`` a value introduces it: "named" by an assignment, "after" a credential word, or not."""
+    def ends(t):
+        return any(t.lower().endswith(w) for w in WORDS)
+
+    bare = before.rstrip(SPACES)
+    blanks = len(before) - len(bare)
+    if blanks <= 3:
+        for sign in ("=>", ":=", "=", ":"):
+            if bare.endswith(sign):
+                left = bare[: -len(sign)]
+                word = left.rstrip(SPACES)
+                if len(left) - len(word) <= 3 and (ends(word) or (word[-1:] in QUOTES and len(word) == len(left) - (len(left) - len(word)) and ends(word[:-1]))):
+                    return "named"
+    if 1 <= blanks <= 3 and bare[-2:].lower() == "is":
+        left = bare[:-2]
+        word = left.rstrip(SPACES)
+        if 1 <= len(left) - len(word) <= 3 and (ends(word) or (word[-1:] in QUOTES and ends(word[:-1]))):
+            return "named"
+    return "after" if 1 <= blanks <= 3 and ends(bare) else ""
+
+
 def brute(text):
-    return [(m.start(), m.group()) for m in RUN.finditer(text or "") if len(m.group()) >= 16 and re.search("[0-9]", m.group())]
+    """Candidates by a scan from character to character: quoted and bare values of credential words, and long runs with a digit."""
+    text, out, i = text or "", [], 0
+    runs = {m.start(): m.group() for m in RUN.finditer(text) if len(m.group()) >= 16 and re.search("[0-9]", m.group())}
+    signs = {k for k, c in enumerate(text) if c in "=:>" + SPACES + QUOTES}
+    while i < len(text):
+        value = None
+        if i - 1 in signs or i in runs:
+            if i and text[i - 1] in QUOTES and introduced(text[max(0, i - 40) : i - 1]) == "named":
+                m = re.compile(r"[^\"'`\n]+").match(text, i)
+                if m and text[m.end() : m.end() + 1] and text[m.end()] in QUOTES:
+                    value = m.group()
+            kind = introduced(text[max(0, i - 40) : i]) if value is None and i and i - 1 in signs else ""
+            if kind and text[i] not in "=:>" + SPACES:
+                token = re.compile(r"[^ \t\n\x0b\f\r\"'`,;&]*").match(text, i).group().rstrip(CLOSING)
+                if kind == "named" or re.match(r"[A-Za-z.:()<>-]*[0-9@#$%^*!_+/~]", text[i:]):
+                    value = token or None
+            if value is None:
+                value = runs.get(i)
+        if value:
+            out.append((i, value))
+            i += len(value)
+        else:
+            i += 1
+    return out
+
+
+def test_secrets_by_their_neighbours(docs):
+    """Short, letter-only and punctuated secrets beside credential words are found; plain prose is left alone."""
+    secrets = ["hunter2", "kQzWvBnMpLsDfGhJ", "p@ss!w0rd#2024$secure", "correct horse battery staple", "a1", "eyJh.bcG2.x_y"]
+    texts = [
+        "login with password=hunter2 today", "set api_key='kQzWvBnMpLsDfGhJ' first", "PASSWORD: p@ss!w0rd#2024$secure, then go",
+        'the passphrase is "correct horse battery staple" for all', "db_pwd := `a1` there", "Bearer eyJh.bcG2.x_y was sent",
+    ]
+    prose = ["the key to success is hard work", "a secret that no one told", "tokens are words; access was easy", "private lessons on monday", "password: <your password>", "token: none"]
+    rows = [(k * 100 + i, t) for k in range(30) for i, t in enumerate(texts + prose)]
+    out = secret_scan.find_secrets(docs(rows)).collect()
+    assert {(r.doc % 100, r.found) for r in out if r.is_secret} == set(enumerate(secrets))
+    assert sum(r.is_secret for r in out) == 30 * len(secrets)
+    cleaned = {r.doc_id: r.text for r in secret_scan.redact(docs(rows)).collect()}
+    for i, t in rows:
+        want = t.replace(secrets[i % 100], "<SECRET>") if i % 100 < len(secrets) else t
+        assert cleaned[i] == want
+
+
+def test_candidates_against_an_independent_scan(docs):
+    rng = random.Random(11)
+    parts = ["password", "API_KEY", "my token", "secret", "monkey", "is", " is ", "=", ":", "=>", ":=", " ", "  ", "\n", "'", '"', "`", "hunter2", "abc", "a.b!c", "x", ",", ";", ")", ".", "0123456789abcdef01", "é", "日本", "-", "Q7"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(2, 14)))) for i in range(1500)]
+    got = {}
+    for r in secret_scan.candidates(docs(rows)).collect():
+        got.setdefault(r.doc, []).append((r.start, r.found))
+    for i, t in rows:
+        assert sorted(got.get(i, [])) == brute(t), t
+
+
+def test_columns_named_like_ours(docs):
+    df = docs([(1, "password=hunter2"), (2, "plain")]).withColumn("_secret_key", F.lit(5)).withColumn("_secret_at", F.lit("x")).withColumn("_simhash_row", F.col("doc_id") * 11)
+    out = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert out[1]._secret_key == out[2]._secret_key == 5 and out[1]._secret_at == "x" and out[1]._simhash_row == 11
+    kept = {r.doc_id: r._simhash_row for r in simhash.keep_first(df).collect()}
+    assert kept == {1: 11, 2: 22}
 
 
 def test_query_candidates_equal_brute_force(spark):
