@@ -16,6 +16,8 @@ from .components import connected_components
 from .stages import stage, unused
 
 SEED = 42
+#: A fingerprint is split where it holds more than one of this many parts of all rows, so fewer than this many are.
+PARTS = 1000
 
 
 def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
@@ -111,7 +113,7 @@ def simhash_components(
     ``docs`` are not read.  An empty table gives an empty result.
     """
     marked = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stage(marked.groupBy("fp").agg(F.min("doc").alias("least")), "classes")
+    classes = stage(marked.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("rows")), "classes")
     roots = connected_components(close_pairs(classes.select("fp"), max_bits, blocks))
     linked = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -119,7 +121,24 @@ def simhash_components(
     named = classes.join(linked.select("fp", "root").join(smallest, "root").select("fp", "component"), "fp", "left").select(
         "fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")
     )
-    return marked.join(named, "fp").select("doc", "fp", "component")
+    return _spread_join(marked, named, classes).select("doc", "fp", "component")
+
+
+def _spread_join(marked: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``marked`` joined with ``named`` on ``fp``; the rows of a crowded fingerprint go to many tasks.
+
+    A fingerprint with more than one of ``PARTS`` parts of all rows is cut into
+    pieces of about that size, and its row of ``named`` is repeated for each.
+    Fewer than ``PARTS`` fingerprints can be that crowded, so their table is
+    broadcast whatever the size of ``marked``.
+    """
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    pieces = F.ceil(F.col("rows") * PARTS / F.lit(max(total, 1))).cast("int")
+    crowded = classes.where(F.col("rows") * PARTS > total).select("fp", pieces.alias("pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"), F.lit(0))
+    dealt = marked.join(F.broadcast(crowded), "fp", "left").select("doc", "fp", piece.alias("piece"))
+    repeated = named.join(F.broadcast(crowded), "fp", "left").select("fp", "component", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+    return dealt.join(repeated, ["fp", "piece"])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:

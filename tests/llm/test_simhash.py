@@ -96,3 +96,18 @@ def test_a_large_group_of_copies_is_one_representative(spark, docs):
     out = simhash.simhash_components(df)
     assert out.groupBy("component").count().orderBy("component").collect() == [(0, 300), (900, 1)]
     assert simhash.keep_first(df).select(F.collect_set("doc_id")).first()[0] in ([0, 900], [900, 0])
+
+
+def test_crowded_fingerprints_are_dealt_to_many_tasks(spark, docs):
+    """A third of all rows are copies of one text: the join that names them cuts their rows into pieces and loses none."""
+    rows = [(i, "one text that very many documents share" if i % 3 == 0 else f"text number {i} of its own, {i * i} words {i + 7} apart") for i in range(3000)]
+    marked = simhash.fingerprints(docs(rows))
+    classes = marked.groupBy("fp").agg(F.min("doc").alias("least"), F.count("*").alias("rows"))
+    named = classes.select("fp", F.col("least").alias("component"))
+    joined = simhash._spread_join(marked, named, classes)
+    hot = classes.orderBy(F.desc("rows")).first()
+    assert hot.rows >= 1000
+    pieces = {r.piece: r["count"] for r in joined.where(F.col("fp") == hot.fp).groupBy("piece").count().collect()}
+    assert len(pieces) > 200 and max(pieces.values()) < 20 and sum(pieces.values()) == hot.rows
+    got = sorted((r.doc, r.fp, r.component) for r in joined.collect())
+    assert got == sorted((r.doc, r.fp, r.component) for r in marked.join(named, "fp").collect()) and len(got) == len(rows)
