@@ -34,7 +34,7 @@ from diffcorpus.sources import chat_jsonl as J  # noqa: E402
 from diffcorpus.sources import commits as SC  # noqa: E402
 from diffcorpus.sources import driver_tables as dt  # noqa: E402
 from diffcorpus.streaming.curate import stream_curate  # noqa: E402
-from diffcorpus.streaming.prompts import stream_prompts  # noqa: E402
+from diffcorpus.streaming.prompts import prompts_and_refused, stream_prompts  # noqa: E402
 
 # The training-data operators live in one subpackage that nothing else needs.
 try:
@@ -316,6 +316,20 @@ def q_stream_prompts(spark, sf):
     return _streamed(spark, stream_prompts(spark, _item_files(spark, sf)), "prompts").select(_item_id(), _json("messages"))
 
 
+def q_stream_refused(spark, sf):
+    """W1, both sinks: every fourth benchmark text arrives as a file of white space and is refused."""
+    texts = F.when(F.col("item_id") % 4 == 1, F.lit(" \t")).otherwise(F.col("text"))
+    path = _fresh(spark, "some-blank")
+    dt.table(spark, sf, "benchmark").select("item_id", texts.alias("text")).repartition("item_id").write.partitionBy("item_id").text(path)
+    out, refused = _fresh(spark, "prompts"), _fresh(spark, "refused")
+    writer = prompts_and_refused(spark, f"{path}/item_id=*", out, refused)
+    writer.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    good, bad = (spark.read.option("basePath", p).parquet(f"{p}/batch=*") for p in (out, refused))
+    return good.select(_item_id(), F.lit(None).cast("string").alias("reason"), _json("messages")).unionByName(
+        bad.select(_item_id(), "reason", F.lit(None).cast("string").alias("messages"))
+    )
+
+
 def q_evaluate_missing(spark, sf):
     """A run without a prediction for any sampled row is missing them all."""
     late = dt.predictions(spark, sf).join(_commits(spark, sf).where(F.col("split") == "train").select("row_id"), "row_id")
@@ -729,6 +743,9 @@ SELECT count(*) AS rows, CAST(count_if(length(diff) > 12000) AS BIGINT) AS trunc
 FROM prepared""",
         "sql_contexts": f"WITH {conv_ctx}",
         "stream_prompts": f"SELECT item_id, CAST(to_json({O.inference('(text || chr(10))')}) AS VARCHAR) AS messages FROM benchmark WHERE {O.nonblank('text')}",
+        "stream_refused": f"""SELECT item_id, CASE WHEN item_id % 4 = 1 OR NOT {O.nonblank('text')} THEN 'blank' END AS reason,
+  CASE WHEN item_id % 4 <> 1 AND {O.nonblank('text')} THEN CAST(to_json({O.inference('(text || chr(10))')}) AS VARCHAR) END AS messages
+FROM benchmark""",
         "evaluate_missing": f"""{W('predictions')},\n{O.GOLD},
 tests AS (SELECT * FROM prepared WHERE split = 'test'),
 {sample.format(src='tests')},

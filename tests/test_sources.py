@@ -90,6 +90,20 @@ def test_read_diffs_whole_file_and_blank(spark, tmp_dir):
         SC.read_diffs(spark, d, strict=True).collect()
 
 
+def test_read_diffs_refuses_a_file_without_a_byte(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "some empty")
+    os.makedirs(d)
+    for name, text in (("a b%20.diff", "+x\n"), ("none \u00e9.diff", "")):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    assert [r.path.rsplit("/", 1)[1] for r in SC.empty_files(spark, d).collect()] == ["none%20\u00e9.diff"]
+    assert SC.read_diffs(spark, d, strict=False).count() == 1
+    with pytest.raises(Exception, match="no diff in"):
+        SC.read_diffs(spark, d).collect()
+    os.remove(os.path.join(d, "none \u00e9.diff"))
+    assert SC.read_diffs(spark, d).count() == 1
+
+
 def test_file_order_id_with_encoded_path(spark, tmp_dir):
     p = os.path.join(tmp_dir, "with space=1", "t")
     spark.range(0, 20).repartition(3).write.parquet(p)
