@@ -24,6 +24,7 @@ from diffcorpus.config import DEFAULT  # noqa: E402
 from diffcorpus.functions import chat as C  # noqa: E402
 from diffcorpus.functions import text as T  # noqa: E402
 from diffcorpus.functions.register import register  # noqa: E402
+from diffcorpus.functions.templates import CHATML_WITH_DEFAULT, INST, ModelTemplate  # noqa: E402
 from diffcorpus.operators.bpe import BpeTokenizer  # noqa: E402
 from diffcorpus.operators import contexts, curate, generation, ranking, scoring, sequences, splits  # noqa: E402
 from diffcorpus.plans import evaluate as E  # noqa: E402
@@ -474,6 +475,20 @@ def q_render_chat(spark, sf):
     )
 
 
+def q_render_model_chat(spark, sf):
+    """Q1 by two models' own templates; every other record goes without its system message."""
+    p = _prepared(spark, sf).withColumn("messages", F.when(F.col("row_id") % 2 == 0, F.col("messages")).otherwise(F.slice("messages", 2, 2)))
+    marks = ModelTemplate(CHATML_WITH_DEFAULT, {"default_system": "You are a helpful assistant."})
+    brackets = ModelTemplate(INST, {"bos_token": "<s>", "eos_token": "</s>"})
+    return p.select(
+        "row_id",
+        C.render_chat("messages", marks).alias("marks_full"),
+        C.render_chat(C.prompt_messages("messages"), marks, add_generation_prompt=True).alias("marks_prompt"),
+        C.render_chat("messages", brackets).alias("brackets_full"),
+        C.render_chat(C.prompt_messages("messages"), brackets, add_generation_prompt=True).alias("brackets_prompt"),
+    )
+
+
 def q_tokenize_codepoints(spark, sf):
     c = _commits(spark, sf).where(F.col("diff").isNotNull())
     ids = sequences.tokenize_codepoints("diff")
@@ -681,6 +696,21 @@ tests AS (SELECT * FROM prepared WHERE split = 'test'),
 SELECT run_id, {O.SUMMARY_COLS} FROM scored WHERE row_id IN (SELECT row_id FROM sampled) GROUP BY run_id""",
         "prepare": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, split, CAST(to_json({chat_q}) AS VARCHAR) AS messages FROM prepared",
         "render_chat": f"{W(c)},\n{O.PREPARED}\nSELECT row_id, {full_text} AS full_text, {prompt_text} AS prompt_text FROM prepared",
+        "render_model_chat": f"""{W(c)},\n{O.PREPARED},
+said AS (
+  SELECT row_id, row_id % 2 = 0 AS led, {O.q(O.SYSTEM_PROMPT)} AS s, {O.user_message('diff')} AS u, {O.strip('message')} AS a FROM prepared
+),
+turns AS (
+  SELECT row_id, a,
+    '<|im_start|>system' || {O.NL} || CASE WHEN led THEN s ELSE 'You are a helpful assistant.' END || '<|im_end|>' || {O.NL}
+      || '<|im_start|>user' || {O.NL} || u || '<|im_end|>' || {O.NL} || '<|im_start|>assistant' || {O.NL} AS marks_prompt,
+    CASE WHEN led THEN '<<SYS>>' || {O.NL} || s || {O.NL} || '<</SYS>>' || {O.NL} || {O.NL} || u ELSE u END AS first_turn
+  FROM said
+)
+SELECT row_id, marks_prompt, marks_prompt || a || '<|im_end|>' || {O.NL} AS marks_full,
+  '<s>[INST] ' || {O.strip('first_turn')} || ' [/INST]' AS brackets_prompt,
+  '<s>[INST] ' || {O.strip('first_turn')} || ' [/INST] ' || {O.strip('a')} || ' </s>' AS brackets_full
+FROM turns""",
         "tokenize_codepoints": f"""{W(c)}
 SELECT row_id, CAST(len({codepoints.format(x='diff')}) AS BIGINT) AS n_tokens, CAST(to_json({codepoints.format(x='diff')}) AS VARCHAR) AS ids
 FROM commits WHERE diff IS NOT NULL""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SYSTEM_PROMPT
+from .templates import ModelTemplate
 from .text import _c, extract_diff, py_strip, user_message
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
@@ -68,19 +69,23 @@ class ChatTemplate:
     suffix: str = "<|im_end|>\n"
     generation_prompt: str = "<|im_start|>assistant\n"
 
+    def render(self, messages: Column | str, add_generation_prompt: bool = False) -> Column:
+        parts = F.transform(
+            _c(messages),
+            lambda m: F.concat(F.lit(self.prefix), m["role"], F.lit(self.role_sep), m["content"], F.lit(self.suffix)),
+        )
+        text = F.array_join(parts, "")
+        return F.concat(text, F.lit(self.generation_prompt)) if add_generation_prompt else text
+
 
 CHATML = ChatTemplate()
 
 
-def render_chat(messages: Column | str, template: ChatTemplate = CHATML, add_generation_prompt: bool = False) -> Column:
-    """Q1: messages rendered to one text, optionally followed by the generation prompt."""
-    parts = F.transform(
-        _c(messages),
-        lambda m: F.concat(
-            F.lit(template.prefix), m["role"], F.lit(template.role_sep), m["content"], F.lit(template.suffix)
-        ),
-    )
-    text = F.array_join(parts, "")
-    if add_generation_prompt:
-        text = F.concat(text, F.lit(template.generation_prompt))
-    return text
+def render_chat(
+    messages: Column | str, template: ChatTemplate | ModelTemplate = CHATML, add_generation_prompt: bool = False
+) -> Column:
+    """Q1: messages rendered to one text, optionally followed by the generation prompt.
+
+    ``template``: plain parts around each message, or a model's own template.
+    """
+    return template.render(messages, add_generation_prompt)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.chat import CHATML, ChatTemplate, prompt_messages, render_chat
+from ..functions.templates import ModelTemplate
 from ..operators import ranking, scoring, sequences
 from ..operators.tokenizers import CodepointTokenizer, UdfTokenizer  # noqa: F401 - callers name them from here
 from ..session import materialize
 
 
 def tokenized(
-    chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate = CHATML, tokenizer=CodepointTokenizer(), counts: Observation | None = None
+    chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate | ModelTemplate = CHATML, tokenizer=CodepointTokenizer(), counts: Observation | None = None
 ) -> DataFrame:
     """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``.
 
@@ -47,7 +48,7 @@ def place(slim: DataFrame, cfg: Config, order_col: str = "row_id", digits: int =
 def seeded_batches(
     chat: DataFrame,
     cfg: Config = DEFAULT,
-    template: ChatTemplate = CHATML,
+    template: ChatTemplate | ModelTemplate = CHATML,
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
     digits: int = ranking.BUCKET_DIGITS,
@@ -69,7 +70,7 @@ def seeded_batches(
 def build_sequences(
     chat: DataFrame,
     cfg: Config = DEFAULT,
-    template: ChatTemplate = CHATML,
+    template: ChatTemplate | ModelTemplate = CHATML,
     tokenizer=CodepointTokenizer(),
     order_col: str = "row_id",
     counts: Observation | None = None,
