@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
 from .fmindex import FMIndex
+from .stages import stage
 
-#: Words in one index, and words of test items in one broadcast block.
+#: Words in one index, words of test items in one block (about), and in one piece of a long item.
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 20
+PIECE_WORDS = 1 << 16
 
 
 @dataclass
@@ -58,26 +62,71 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _broadcast_phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[Broadcast]:
-    """The test items in blocks of about ``BLOCK_WORDS`` words, streamed through the driver one block at a time."""
+def _item_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """``(item, words)``: word hashes of the test items; a long item in pieces that overlap, so that no window is lost."""
+    size = max(PIECE_WORDS, 2 * window)
 
     def hashed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.batches(source, "text", 1 << 22):
             hashes, per_row = T.hash_words(batch.column("text"), T.ALNUM)
-            offs = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
-            yield pa.record_batch([batch.column("item"), pa.ListArray.from_arrays(offs, hashes.view(np.int64))], names=["item", "words"])
+            ends = np.cumsum(per_row)
+            cuts = [(row, a, min(a + size, n)) for row, n in enumerate(per_row.tolist()) for a in range(0, max(1, n - window + 1), size - window + 1) if n]
+            if cuts:
+                row, first, last = (np.array(x) for x in zip(*cuts))
+                begin = ends[row] - per_row[row]
+                words = pa.array(hashes[_ranges(begin + first, begin + last)].view(np.int64))
+                offs = np.concatenate(([0], np.cumsum(last - first))).astype(np.int32)
+                yield pa.record_batch([batch.column("item").take(pa.array(row)), pa.ListArray.from_arrays(offs, words)], names=["item", "words"])
 
     src = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    out, block, size = [], [], 0
-    for row in src.mapInArrow(hashed, "item string, words array<long>").where("size(words) > 0").toLocalIterator():
-        if block and size + len(row.words) > BLOCK_WORDS:
-            out.append(benchmark.sparkSession.sparkContext.broadcast(phrase_block(block, window)))
-            block, size = [], 0
-        block.append((row.item, np.array(row.words, dtype=np.int64).view(np.uint64)))
-        size += len(row.words)
-    if block:
-        out.append(benchmark.sparkSession.sparkContext.broadcast(phrase_block(block, window)))
-    return out
+    return src.mapInArrow(hashed, "item string, words array<long>")
+
+
+def _phrase_files(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[str]:
+    """The test phrases in blocks of about ``BLOCK_WORDS`` words, as files that every executor fetches once.
+
+    Tasks cut the items into blocks and write one row a block to the shared
+    folder; only the names of the files come to the driver.
+    """
+
+    def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = []
+        for batch in source:  # one partition is one block
+            words, offs = batch.column("words"), batch.column("words").offsets.to_numpy()
+            flat = words.values.to_numpy().view(np.uint64)
+            items += [(item, flat[a:b]) for item, a, b in zip(batch.column("item").to_pylist(), offs[:-1], offs[1:])]
+        if items:
+            p = phrase_block(items, window)
+            held = [p.vocabulary.view(np.int64), p.windows.astype(np.int32).ravel(), p.items, p.first, p.item_of]
+            yield pa.record_batch([pa.array([x]) for x in held], names=["vocabulary", "windows", "items", "first", "item_of"])
+
+    spark = benchmark.sparkSession
+    pieces = stage(_item_pieces(benchmark, item_col, text_col, window), "phrase-words")
+    n_words = pieces.agg(F.sum(F.size("words"))).first()[0]
+    if not n_words:
+        return []
+    schema = "vocabulary array<long>, windows array<int>, items array<string>, first array<long>, item_of array<long>"
+    files = stage(pieces.repartition(-(-n_words // BLOCK_WORDS)).mapInArrow(blocks, schema), "phrases").inputFiles()
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return [unquote(file.rsplit("/", 1)[1]) for file in files]
+
+
+_held: dict[str, Phrases | None] = {}  # of each Python worker: the block it searched last, and no other
+
+
+def _block(name: str, window: int) -> Phrases | None:
+    """A block from the executor's copy of its file; none if the file holds no phrase."""
+    if name not in _held:
+        _held.clear()
+        rows = pq.ParquetFile(SparkFiles.get(name)).read()
+        if rows.num_rows:
+            vocabulary, windows, first, item_of = (rows[c].chunk(0).values.to_numpy() for c in ("vocabulary", "windows", "first", "item_of"))
+            windows = windows.reshape(-1, window)
+            _held[name] = Phrases(vocabulary.view(np.uint64), windows, (windows > 0).sum(axis=1), rows["items"][0].as_py(), first, item_of)
+        else:
+            _held[name] = None
+    return _held[name]
 
 
 def search_rows(hashes: np.ndarray, per_row: np.ndarray, phrases: Phrases, shard_words: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +174,7 @@ def _spans(hit: np.ndarray, row_of: np.ndarray, starts: np.ndarray, ends: np.nda
     return row_of[at[new]], starts[at[new]], ends[at[last]]
 
 
-def _scan(batch: pa.RecordBatch, blocks: list[Broadcast]) -> dict[str, list | np.ndarray]:
+def _scan(batch: pa.RecordBatch, blocks: list[str], window: int) -> dict[str, list | np.ndarray]:
     data, offs = T.flat_bytes(batch.column("text"))
     data = T.lower(data)
     starts, ends, per_row = T.words(data, offs, T.ALNUM)
@@ -133,8 +182,10 @@ def _scan(batch: pa.RecordBatch, blocks: list[Broadcast]) -> dict[str, list | np
     row_of = np.repeat(np.arange(len(per_row)), per_row)
     hit = np.zeros(len(hashes), dtype=bool)
     items: list[set[str]] = [set() for _ in per_row]
-    for block in blocks:
-        phrases: Phrases = block.value
+    for name in blocks:
+        phrases = _block(name, window)
+        if phrases is None:
+            continue
         flags, pairs = search_rows(hashes, per_row, phrases)
         hit |= flags
         for row, item in pairs.tolist():
@@ -159,11 +210,11 @@ def contamination(
     ``docs`` may repeat, other columns are not read, and either table may be
     empty.
     """
-    blocks = _broadcast_phrases(benchmark, item_col, item_text_col, window)
+    blocks = _phrase_files(benchmark, item_col, item_text_col, window)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.batches(source, "text", 1 << 22):
-            got = _scan(batch, blocks)
+            got = _scan(batch, blocks, window)
             yield pa.record_batch(
                 [batch.column("doc"), pa.array(got["n_words"]), pa.array(got["n_hit"]), pa.array(got["items"], pa.list_(pa.string())), pa.array(got["spans"], pa.list_(pa.int64()))],
                 names=["doc", "n_words", "n_hit", "items", "spans"],
@@ -174,14 +225,18 @@ def contamination(
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """``docs`` with every merged benchmark span cut out of ``text_col``; texts without one stay as they are."""
-    blocks = _broadcast_phrases(benchmark, item_col, item_text_col, window)
+    """``docs`` with every merged benchmark span cut out of ``text_col``; texts without one stay as they are.
+
+    Null texts stay null, repeated rows each stay, other columns pass
+    unchanged whatever their names; either table may be empty.
+    """
+    blocks = _phrase_files(benchmark, item_col, item_text_col, window)
     names, place = docs.columns, docs.columns.index(text_col)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.batches(source, text_col, 1 << 22):
             col = batch.column(place)
-            spans = _scan(pa.record_batch([col], names=["text"]), blocks)["spans"]
+            spans = _scan(pa.record_batch([col], names=["text"]), blocks, window)["spans"]
             if any(spans):
                 texts = col.to_pylist()
                 for i, cut in enumerate(spans):

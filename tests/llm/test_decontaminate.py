@@ -64,6 +64,7 @@ def test_blocks_of_items_and_pieces_of_rows(spark, docs, monkeypatch):
     want = decontaminate.contamination(df, bench).orderBy("doc").collect()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert decontaminate.contamination(df, bench).orderBy("doc").collect() == want
+    assert len(decontaminate._phrase_files(bench, "item_id", "text", 10)) > 4
     hashes = np.array([hash(w) % (1 << 63) for w in text.split()], dtype=np.uint64)
     items = [("a", hashes[5:17]), ("b", hashes[45:52])]
     block = decontaminate.phrase_block(items, 10)
@@ -72,6 +73,18 @@ def test_blocks_of_items_and_pieces_of_rows(spark, docs, monkeypatch):
     assert (whole[0] == small[0]).all() and (whole[1] == small[1]).all() and whole[0].any()
 
 
+def test_long_items_come_in_pieces(spark, docs, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    df = docs([(1, " ".join(words[38:61])), (2, " ".join(words)), (3, " ".join(words[7:16])), (4, "w1 w2"), (5, " ".join(words[290:]))])
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2"), (3, ""), (4, " ".join(words[:10]))], "item_id long, text string")
+    want = sorted(brute([(r.doc_id, r.text) for r in df.collect()], [tuple(r) for r in bench.collect()]))
+    for size in (20, 33, 1 << 16):
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", size)
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3 * size)
+        got = sorted((r.doc, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench).collect())
+        assert got == want and got[0][2] == 23 and got[2][2] == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=5), min_size=1, max_size=8), st.sampled_from([1, 3, 8]))
 def test_index_finds_every_place(codes, phrases, step):
