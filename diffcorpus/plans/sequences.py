@@ -13,10 +13,10 @@ from ..operators.tokenizers import CodepointTokenizer, UdfTokenizer  # noqa: F40
 from ..session import materialize
 
 
-def tokenized(
+def token_ids(
     chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate | ModelTemplate = CHATML, tokenizer=CodepointTokenizer(), counts: Observation | None = None
 ) -> DataFrame:
-    """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``.
+    """Q1, Q2 per record: ``(…, input_ids, _prompt)``, cut to the limit, and how many of the ids are the prompt's.
 
     ``counts`` is filled by the first job over the result: ``sequences``,
     ``cut_sequences`` (longer than the limit) and ``all_masked`` (no label left).
@@ -26,15 +26,28 @@ def tokenized(
     kept = [c for c in chat.columns if c != "messages"]
     # one token more than the limit tells whether a sequence is cut
     toks = chat.select(*kept, tokenizer.ids(full, cfg.max_seq_length + 1).alias("_ids"), tokenizer.count(prompt).alias("_prompt"))
+    size = F.least(F.size("_ids"), F.lit(cfg.max_seq_length))
     if counts is not None:
-        size = F.least(F.size("_ids"), F.lit(cfg.max_seq_length))
         toks = toks.observe(
             counts, F.count(F.lit(1)).alias("sequences"), F.count_if(F.size("_ids") > cfg.max_seq_length).alias("cut_sequences"), F.count_if(F.col("_prompt") >= size).alias("all_masked")
         )
-    seq = sequences.mask_labels("_ids", "_prompt", cfg.max_seq_length)
+    return toks.select(*kept, F.slice("_ids", 1, cfg.max_seq_length).alias("input_ids"), F.least("_prompt", size).alias("_prompt"))
+
+
+def masked(toks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Q3, Q4: mask and labels beside the ids of ``token_ids``."""
+    kept = [c for c in toks.columns if c not in ("input_ids", "_prompt")]
+    seq = sequences.mask_labels("input_ids", "_prompt", cfg.max_seq_length)
     return toks.select(*kept, seq.alias("_seq")).select(*kept, "_seq.input_ids", "_seq.attention_mask", "_seq.labels")
 
 
+def tokenized(
+    chat: DataFrame, cfg: Config = DEFAULT, template: ChatTemplate | ModelTemplate = CHATML, tokenizer=CodepointTokenizer(), counts: Observation | None = None
+) -> DataFrame:
+    """Q1-Q4 per record: ``(…, input_ids, attention_mask, labels)``; ``counts`` as in ``token_ids``."""
+    return masked(token_ids(chat, cfg, template, tokenizer, counts), cfg)
+
+
 def place(slim: DataFrame, cfg: Config, order_col: str = "row_id", digits: int = ranking.BUCKET_DIGITS) -> DataFrame:
     """``(id, batch_id, pos, width)`` in seeded order of slim rows ``(id, _len)``; width: the longest of the batch."""
     size = cfg.batch_size
@@ -56,15 +69,17 @@ def seeded_batches(
 ) -> DataFrame:
     """Training batches in seeded order, padded.
 
-    Every text is tokenized once, into a written table.  Rank, batch and
-    width come from its slim ``(id, length)`` rows, are written too, and join
-    back on the id without a hint: the planner has both tables' bytes.  A
-    null id fails.  ``counts``: see ``tokenized``.
+    Every text is tokenized once, into a written table of ids and prompt
+    lengths.  Rank, batch and width come from its slim ``(id, length)`` rows,
+    are written too, and join back on the id without a hint: the planner has
+    both tables' bytes.  Mask and labels, two thirds of what a record holds,
+    are made after the join and are never written or shuffled.  A null id
+    fails.  ``counts``: see ``token_ids``.
     """
-    toks = materialize(tokenized(ranking.with_checked_id(chat, order_col), cfg, template, tokenizer, counts), "tokenized")
+    toks = materialize(token_ids(ranking.with_checked_id(chat, order_col), cfg, template, tokenizer, counts), "tokenized")
     placed = materialize(place(toks.select(order_col, F.size("input_ids").alias("_len")), cfg, order_col, digits), "places")
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
-    return sequences.pad_arrays(toks.join(placed, order_col).withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width")
+    return sequences.pad_arrays(masked(toks.join(placed, order_col), cfg).withColumn("_pad_id", F.lit(pad)), F.col("_width")).drop("_width")
 
 
 def build_sequences(
@@ -80,7 +95,7 @@ def build_sequences(
     ``chat`` holds ``(row_id, split, messages)``; the eval subset is the first
     ``val_batches * batch_size`` validation rows.  Output: ``dataset, row_id,
     batch_id, pos, input_ids, attention_mask, labels``.  ``counts`` are those
-    of the training sequences, see ``tokenized``.
+    of the training sequences, see ``token_ids``.
     """
     pad = sequences.effective_pad_id(tokenizer.pad_id, tokenizer.eos_id)
     train = chat.where(F.col("split") == "train")
