@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,8 @@ from ..functions.text import _c
 from . import ranking
 
 IDS = T.ArrayType(T.IntegerType())
+#: Characters of text that a user's tokenizer gets at a time (one text at least).
+ENCODE_CHARS = 1 << 20
 
 
 def tokenize_codepoints(c: Column | str) -> Column:
@@ -22,18 +26,34 @@ def tokenize_codepoints(c: Column | str) -> Column:
     return F.when(c == F.lit(""), F.array().cast(IDS)).otherwise(F.transform(F.split(c, "", -1), lambda x: F.ascii(x)))
 
 
-def tokenizer_udf(encode: Callable[[list[str]], list[list[int]]]):
+def tokenizer_udf(encode: Callable[[list[str]], list[list[int]]], limit: int | None = None, count: bool = False):
     """Q2 pluggable tokenizer: ``encode`` maps a batch of texts to id lists.
 
-    Runs as an Arrow-batched pandas UDF; ``encode`` is built once per worker.
+    Runs as an Arrow UDF; ``encode`` is built once per worker and gets about
+    ``ENCODE_CHARS`` characters at a time, as its id lists are many times the
+    size of the texts.  ``limit``: only the first ids of a text are returned;
+    ``count``: only how many there are.
     """
     from .generation import ship_by_value
 
     ship_by_value(encode)
-
-    @F.pandas_udf(IDS)
-    def _tok(s: pd.Series) -> pd.Series:
-        return pd.Series(encode(s.tolist()))
+    chars, kind = ENCODE_CHARS, pa.list_(pa.int32())
+
+    def some(texts: pa.Array) -> pa.Array:
+        ids = pa.array(list(encode(texts.to_pylist())), kind)
+        if count:
+            return pc.list_value_length(ids)
+        return pc.list_slice(ids, 0, limit) if limit else ids
+
+    @F.arrow_udf(T.IntegerType() if count else IDS)
+    def _tok(col: pa.Array) -> pa.Array:
+        before = np.concatenate(([0], np.cumsum(pc.fill_null(pc.utf8_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        out, i = [], 0
+        while i < len(col):
+            j = max(int(np.searchsorted(before, before[i] + chars, side="right")) - 1, i + 1)
+            out.append(some(col.slice(i, j - i)))
+            i = j
+        return pa.concat_arrays(out) if out else some(col)
 
     return _tok
 

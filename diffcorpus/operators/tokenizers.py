@@ -26,17 +26,17 @@ class CodepointTokenizer:
 
 
 class UdfTokenizer:
-    """Any tokenizer given as a batch ``encode(texts) -> id lists`` (Arrow pandas UDF).
+    """Any tokenizer given as a batch ``encode(texts) -> id lists`` (Arrow UDF).
 
     ``encode`` runs on the workers; build heavy state lazily inside it.
     """
 
     def __init__(self, encode, pad_id: int | None, eos_id: int | None):
         self.encode, self.pad_id, self.eos_id = encode, pad_id, eos_id
-        self._udf = sequences.tokenizer_udf(encode)
+        self._count = sequences.tokenizer_udf(encode, count=True)
 
     def ids(self, text: Column, limit: int | None = None) -> Column:
-        return self._udf(text)
+        return sequences.tokenizer_udf(self.encode, limit)(text)
 
     def count(self, text: Column) -> Column:
-        return F.size(self._udf(text))
+        return F.coalesce(self._count(text), F.size(F.lit(None).cast(sequences.IDS)))
