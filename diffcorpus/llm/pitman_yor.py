@@ -1,19 +1,21 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context (the hash of the previous word, in ``CONTEXTS`` buckets) is a
-restaurant, and all of them share one parent, whose base spreads evenly over
-the known words and one unknown.  Customers are the training tokens; at how
-many tables they sit is sampled by Gibbs sweeps that reseat all of them, and
-predictions, which need no more than these numbers, are averaged over the kept
-samples.
-
-Layout: texts are cut into chunks of about ``CHUNK`` tokens.  A chunk sends one
-row per distinct word, with its contexts and counts, to the word's row of the
-model.  There all restaurants' tables of the word and its tables in the parent
-are together, so a sweep needs no shuffle: a task seats the words it has and
-takes the totals per context, a vector of ``CONTEXTS`` numbers, from the sweep
-before.  The answers go back by chunk, where the tokens wait as indexes.  No
-row grows beyond ``CONTEXTS`` entries, however common a word is.
+Every context, which is the word before (the end of a text, for the first
+word), is a restaurant of its own, and all of them share one parent, whose
+base spreads evenly over the known words and one unknown.  Customers are the
+training tokens; at how many tables they sit is sampled by Gibbs sweeps that
+reseat all of them, and predictions, which need no more than these numbers,
+are averaged over the kept samples.
+
+Layout: texts are cut into chunks of about ``CHUNK`` tokens.  A chunk sends the
+64-bit keys of its distinct (word, context) pairs to ``BUCKETS`` parts, where
+they are counted over all chunks; one chunk of those that have a pair reports
+it.  A pair counted once has one table whatever the sweep, so it goes into sums
+by word and by context; pairs counted more often are rows of a table.  A sweep
+joins that table with its words' weight in the parent and its contexts' tables,
+both from the table of words.  Tables of pairs, and of words with their
+restaurants' totals, then go back by chunk, where the tokens wait as indexes.
+Nothing that grows with the words or the contexts is in one row or on the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +34,16 @@ from . import textnum as T
 from .seating import draw_tables
 from .stages import drop, stage
 
-CONTEXTS = 1 << 10
 CHUNK = 5 << 20
-#: Answers travel as fixed-point numbers of three bytes: log10 probabilities down to -32, in steps of 2e-6.
-_STEPS = 1 << 19
+#: Places of a vector of contexts (``_sweep``, ``_pack``); the model of ``score`` has a restaurant for every word.
+CONTEXTS = 1 << 10
 _SPAN = 2 * CONTEXTS  # above any context number, for (word, context) keys
-#: The end of a text, as a word of its own; context 0 is the beginning.
+#: The end of a text, as a word of its own.
 _END = np.uint64(0x5EED0E0F7E875A11)
 
-_STATE = "w long, ctxs array<short>, c array<long>, nt array<int>, root int, psum array<float>"
+#: Parts that the keys of pairs are dealt to; a part's pairs are counted in one task.
+BUCKETS = 1 << 10
+_SHIFT = np.uint64(54)
 
 
 @dataclass
@@ -55,6 +59,7 @@ class Totals:
     root_discount: float
     strength: float
     root_strength: float
+    all_tables: int | None = None  # where ``tables`` does not have every context
 
     def root_new(self) -> float:
         """Weight of a new table in the parent, for any one word."""
@@ -62,7 +67,7 @@ class Totals:
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Probability of words in the parent, by their customers and tables there."""
-        return (customers - self.root_discount * tables + self.root_new()) / (self.root_strength + self.tables.sum())
+        return (customers - self.root_discount * tables + self.root_new()) / (self.root_strength + (self.tables.sum() if self.all_tables is None else self.all_tables))
 
     def predict(self, ctx: np.ndarray, c: np.ndarray, nt: np.ndarray, parent: np.ndarray) -> np.ndarray:
         back = self.strength + self.discount * self.tables[ctx]
@@ -89,12 +94,6 @@ def _group_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _reorder(offs: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Places of the elements of lists (by offsets) when the lists are put in ``order``."""
-    sizes = np.diff(offs)[order]
-    return np.repeat(offs[:-1][order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def _pack(ctx: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Per word its contexts and counts as bytes: a flag, two bytes a context, one a count, or four if one needs them."""
     wide = np.maximum.reduceat(n, np.cumsum(sizes) - sizes) > 255
@@ -140,57 +139,134 @@ def _unsqueeze(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
 
 
-def _planes(numbers: np.ndarray, offs: np.ndarray) -> pa.Array:
-    """Lists of numbers of three bytes, each list as its low, middle and high bytes."""
-    raw = np.minimum(numbers, (1 << 24) - 1).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return pa.array([raw[a:b, :3].T.tobytes() for a, b in zip(offs[:-1], offs[1:])], pa.binary())
-
-
-def _unplanes(raw: pa.Buffer) -> np.ndarray:
-    low, mid, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int64)
-    return low | mid << 8 | high << 16
-
-
-def _chunk(docs: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarray], learn: list[np.ndarray], number: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's rows: one per distinct word, and one with its texts as word numbers (the commonest word is 0)."""
+def _chunk(docs: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarray], learn: list[np.ndarray], number: int) -> pa.RecordBatch:
+    """A chunk's row: its texts as word numbers (the commonest word is 0), and the words' hashes."""
     size = np.concatenate(sizes) + 1
     total = int(size.sum())
-    ends = np.cumsum(size) - 1
     is_end = np.zeros(total, dtype=bool)
-    is_end[ends] = True
+    is_end[np.cumsum(size) - 1] = True
     tokens = np.full(total, _END, dtype=np.uint64)
     tokens[~is_end] = np.concatenate(hashes)
     word, of_word, often = np.unique(tokens, return_inverse=True, return_counts=True)
     number_of = np.empty(len(word), dtype=np.int32)
     by_count = np.argsort(-often, kind="stable")
     number_of[by_count] = np.arange(len(word))
-    to_ctx = ((word % np.uint64(CONTEXTS)).astype(np.int32) + 1)
-    key = of_word * _SPAN + _contexts(to_ctx, of_word, size)
-    pair, of_pair = np.unique(key, return_inverse=True)
-    n = np.bincount(of_pair, weights=np.repeat(np.concatenate(learn), size)).astype(np.int64)
-    offs = np.searchsorted(pair, np.arange(len(word) + 1) * _SPAN)
-    names = ["chunk", "k", "w", "pack", "docs", "sizes", "numbers", "to_ctx"]
     doc = pa.concat_arrays(docs)
-    for a in range(0, len(word), 1 << 16):
-        b = min(a + (1 << 16), len(word))
-        own = slice(offs[a], offs[b])
+    return pa.record_batch(
+        [
+            pa.array([number]),
+            pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc),
+            _lists(np.array([0, len(size)]), size.astype(np.int32)),
+            pa.array([np.concatenate(learn).astype(np.uint8).tobytes()], pa.binary()),
+            pa.array([word[by_count].tobytes()], pa.binary()),
+            pa.array([_squeeze(number_of[of_word.ravel()])], pa.binary()),
+        ],
+        names=["chunk", "docs", "sizes", "learn", "words", "numbers"],
+    )
+
+
+class _Texts:
+    """A chunk's row read back: its tokens, and its distinct pairs in the order of their keys."""
+
+    def __init__(self, row: pa.Table):
+        row = row.combine_chunks()
+        self.size = _flat(row["sizes"].combine_chunks())[0].astype(np.int64)
+        self.word = np.frombuffer(row["words"][0].as_py(), np.uint64)
+        self.tokens = _unsqueeze(row["numbers"][0].as_py(), int(self.size.sum()))
+        self.learn = np.repeat(np.frombuffer(row["learn"][0].as_py(), np.uint8), self.size)
+        self.begin = np.cumsum(self.size) - self.size
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.begin] = np.flatnonzero(self.word == _END)[0]  # a text begins after an end
+        pair, of = np.unique(self.tokens * np.int64(len(self.word)) + before, return_inverse=True)
+        w, ctx = pair // len(self.word), pair % len(self.word)
+        key = _key(self.word[ctx], self.word[w])
+        order = np.argsort(key)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.of, self.key, self.w, self.ctx = place[of.ravel()], key[order], w[order], ctx[order]
+
+
+def _key(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of a word and the word before it."""
+    return T.mix(T.mix(ctx + np.uint64(1)) ^ w)
+
+
+def _split(numbers: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second bytes, and so on: what is small compresses well."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _unsplit(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    return _split(numbers.astype("<u4"))
+
+
+def _column(rows: pa.Table, name: str, kind: str = "<u4") -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unsplit(x.as_buffer(), kind) for x in rows[name] if x.is_valid)])
+
+
+def _each(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Texts]]:
+    for batch in source:
+        for i in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(i, 1)])
+            yield row["chunk"][0].as_py(), _Texts(row)
+
+
+def _ask(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and bucket of keys: keys in order, as steps, and how often each pair is learnt."""
+    for number, texts in _each(source):
+        n = np.bincount(texts.of, weights=texts.learn, minlength=len(texts.key))
+        cut = np.searchsorted(texts.key >> _SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+        have = np.flatnonzero(np.diff(cut))
+        step = [_split(np.diff(texts.key[cut[b] : cut[b + 1]], prepend=np.uint64(0))) for b in have]
         yield pa.record_batch(
-            [pa.array(np.full(b - a, number)), pa.array(number_of[a:b]), pa.array(word[a:b].view(np.int64)), _pack(pair[own] % _SPAN, n[own], np.diff(offs[a : b + 1])), pa.nulls(b - a, pa.list_(doc.type)), pa.nulls(b - a, pa.list_(pa.int32())), *[pa.nulls(b - a, pa.binary())] * 2],
-            names=names,
+            [pa.array(have.astype(np.int32)), pa.array(np.full(len(have), number)), pa.array(step, pa.binary()), pa.array([_small(n[cut[b] : cut[b + 1]]) for b in have], pa.binary())],
+            names=["bucket", "chunk", "keys", "n"],
         )
-    one = pa.array([0, len(doc)], pa.int32())
-    yield pa.record_batch(
-        [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(one, doc), _lists(np.array([0, len(size)]), size.astype(np.int32)), pa.array([_squeeze(number_of[of_word.ravel()])], pa.binary()), pa.array([_squeeze(to_ctx[by_count])], pa.binary())],
-        names=names,
-    )
 
 
-def _contexts(to_ctx: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The context of each token: that of the word before, 0 at the beginning of a text."""
-    out = np.zeros(len(words), dtype=np.int64)
-    out[1:] = to_ctx[words[:-1]]
-    out[(np.cumsum(sizes) - sizes)] = 0
-    return out
+def _count(asked: pa.Table) -> pa.Table:
+    """A bucket: for each chunk the whole counts of its pairs, which of them it is to report, and the places of those counted twice or more."""
+    keys = [np.cumsum(_unsplit(x.as_buffer(), "<u8"), dtype=np.uint64) for x in asked["keys"]]
+    _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    c = np.bincount(at.ravel(), weights=_column(asked, "n")).astype(np.int64)
+    place = np.cumsum(c > 1) - 1
+    own = np.zeros(len(at), dtype=np.uint8)
+    own[first] = 1
+    cut = _offsets(np.array([len(k) for k in keys]))
+    counts, owns, places = [], [], []
+    for a, b in zip(cut[:-1], cut[1:]):
+        here = at[a:b]
+        counts.append(_small(c[here]))
+        owns.append(own[a:b].tobytes())
+        places.append(_small(place[here[c[here] > 1]]))
+    return pa.table({"bucket": asked["bucket"], "chunk": asked["chunk"], "c": pa.array(counts, pa.binary()), "own": pa.array(owns, pa.binary()), "places": pa.array(places, pa.binary())})
+
+
+def _report(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's words, with their counts and the pairs counted once by word and by context; and the pairs counted more often."""
+    texts, right = _Texts(left), right.sort_by("bucket")
+    c = _column(right, "c").astype(np.int64)
+    own = _column(right, "own", "u1") > 0
+    words, once, more = len(texts.word), np.flatnonzero(own & (c == 1)), np.flatnonzero(own & (c > 1))
+    tally = np.bincount(texts.tokens, weights=texts.learn, minlength=words)
+    none = np.zeros(len(more), dtype=np.int64)
+    whole = lambda x, y: pa.array(np.concatenate((x.astype(np.int64), y.astype(np.int64))))
+    hashes = texts.word.view(np.int64)
+    return pa.table(
+        {
+            "pair": pa.array(np.arange(words + len(more)) >= words),
+            "w": whole(hashes, hashes[texts.w[more]]),
+            "ctx": whole(np.zeros(words), hashes[texts.ctx[more]]),
+            "c": whole(tally, c[more]),
+            "once": whole(np.bincount(texts.w[once], minlength=words), none),
+            "ctx_once": whole(np.bincount(texts.ctx[once], minlength=words), none),
+        }
+    )
 
 
 def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,46 +280,14 @@ def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn.append(batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64))
         held += len(h) + len(per_row)
         if held >= CHUNK:
-            yield from _chunk(docs, hashes, sizes, learn, number)
+            yield _chunk(docs, hashes, sizes, learn, number)
             docs, hashes, sizes, learn, held, number = [], [], [], [], 0, number + 1
     if held:
-        yield from _chunk(docs, hashes, sizes, learn, number)
-
-
-def _merge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word -> one state row per word: counts summed, every pair at one table, the parent's customers at one."""
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def rows(w: np.ndarray, pair_w: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        sizes = np.bincount(pair_w, minlength=len(w))
-        offs, nt = _offsets(sizes), (n > 0).astype(np.int32)
-        known = np.bincount(pair_w, nt, len(w)) > 0
-        return pa.record_batch(
-            [pa.array(w), _lists(offs, ctx.astype(np.int16)), _lists(offs, n), _lists(offs, nt), pa.array(known.astype(np.int32)), _lists(offs, np.zeros(len(n), np.float32))],
-            names=["w", "ctxs", "c", "nt", "root", "psum"],
-        )
-
-    for batch in source:
-        ctx, n, sizes = _unpack(batch.column("pack"))
-        w = np.repeat(batch.column("w").to_numpy(), sizes)
-        if held:
-            w, ctx, n = (np.concatenate(x) for x in zip(held, (w, ctx, n)))
-        if not len(w):
-            continue
-        words, of = np.unique(w, return_inverse=True)
-        key, at = np.unique(of * _SPAN + ctx, return_inverse=True)
-        n = np.bincount(at, weights=n).astype(np.int64)
-        pair_w, ctx = key // _SPAN, key % _SPAN
-        last = pair_w == len(words) - 1  # may go on in the next batch
-        held = (np.full(int(last.sum()), words[-1]), ctx[last], n[last])
-        if len(words) > 1:
-            yield rows(words[:-1], pair_w[~last], ctx[~last], n[~last])
-    if held:
-        yield rows(held[0][:1], np.zeros(len(held[0]), dtype=np.int64), held[1], held[2])
+        yield _chunk(docs, hashes, sizes, learn, number)
 
 
 def _sweep(batch: pa.RecordBatch, totals: Totals, keep: bool, rng: np.random.Generator) -> pa.RecordBatch:
-    """All customers of each (word, context) leave their tables and sit down anew, then the same in the parent."""
+    """A sweep over whole words whose contexts fit one vector: all customers leave their tables and sit down anew, then the same in the parent."""
     ctx, sizes = _flat(batch.column("ctxs"))
     c, _ = _flat(batch.column("c"))
     nt, _ = _flat(batch.column("nt"))
@@ -264,36 +308,22 @@ def _sweep(batch: pa.RecordBatch, totals: Totals, keep: bool, rng: np.random.Gen
     )
 
 
-def _tally(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, sums by context (customers, tables); under negative keys, what the totals need beside."""
-    customers, tables, rest = np.zeros(CONTEXTS + 1, np.int64), np.zeros(CONTEXTS + 1, np.int64), np.zeros(6, np.int64)
-    for batch in source:
-        ctx, sizes = _flat(batch.column("ctxs"))
-        c, _ = _flat(batch.column("c"))
-        nt, _ = _flat(batch.column("nt"))
-        root_tables = batch.column("root").to_numpy()
-        customers += np.bincount(ctx, c, CONTEXTS + 1).astype(np.int64)
-        tables += np.bincount(ctx, nt, CONTEXTS + 1).astype(np.int64)
-        spread = _group_sums(c > 0, sizes)
-        rest += [(root_tables > 0).sum(), root_tables.sum(), (c == 1).sum(), (c == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]
-    yield pa.record_batch(
-        [pa.array(np.concatenate((np.arange(CONTEXTS + 1), -1 - np.arange(6)))), pa.array(np.concatenate((customers, rest))), pa.array(np.concatenate((tables, np.zeros(6, np.int64))))],
-        names=["k", "customers", "tables"],
-    )
+def _between(x: float) -> float:
+    return float(min(max(x, 0.05), 0.95))
 
 
-def _totals(state: DataFrame, strength: float, root_strength: float) -> Totals:
-    """CONTEXTS + 7 rows to the driver.  Discounts: n1 / (n1 + 2 n2), of pairs, and of words by their contexts."""
-    sums = state.select("ctxs", "c", "nt", "root").mapInArrow(_tally, "k long, customers long, tables long").groupBy("k").agg(F.sum("customers"), F.sum("tables")).collect()
-    customers, tables, rest = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1), np.zeros(6)
-    for k, a, b in sums:
-        if k < 0:
-            rest[-1 - k] = a
-        else:
-            customers[k], tables[k] = a, b
-    words, root_tables, n1, n2, m1, m2 = rest
-    between = lambda x: float(min(max(x, 0.05), 0.95))
-    return Totals(customers, tables, int(customers.sum()), int(words), int(root_tables), between(n1 / max(n1 + 2 * n2, 1)), between(m1 / max(m1 + 2 * m2, 1)), strength, root_strength)
+def _seated(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``words`` with ``seats``, their customers in the parent, and ``tables``, those of the restaurant after the word."""
+    of = pairs.select("w", F.col("nt").alias("_w"), F.lit(0).alias("_ctx")).unionAll(pairs.select("ctx", F.lit(0), "nt"))
+    sums = of.groupBy("w").agg(F.sum("_w").alias("_w"), F.sum("_ctx").alias("_ctx"))
+    more = lambda x: F.coalesce(F.col(x), F.lit(0))
+    return words.join(sums, "w", "left").withColumns({"seats": F.col("once") + more("_w"), "tables": F.col("ctx_once") + more("_ctx")}).drop("_w", "_ctx")
+
+
+def _totals(words: DataFrame, strength: float, root_strength: float, discounts: tuple[float, float]) -> Totals:
+    """Five sums to the driver; no vector by context."""
+    tokens, known, roots, seats = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("root"), F.sum("seats")).first()
+    return Totals(np.zeros(0), np.zeros(0), tokens or 0, known or 0, roots or 0, *discounts, strength, root_strength, seats or 0)
 
 
 def score(
@@ -307,7 +337,7 @@ def score(
     add-one unigram probability; ``score``: log10 of the averaged predictive
     probability, so perplexity is ``10 ** (-score / n_tokens)``.  States after
     ``burn_in`` of ``sweeps`` sweeps are averaged.  Each sweep reseats every
-    customer of every (word, context), given the totals per context and the
+    customer of every (word, context), given the totals of every context and the
     parent of the sweep before (``draw_tables``).  Discounts come from the counts
     of counts.  Rows and ids may repeat or be null; other
     columns are not read; an empty table gives an empty result.
@@ -315,77 +345,129 @@ def score(
     ok = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), ok.alias("learn"))
     kind = src.schema["doc"].dataType.simpleString()
-    rows = stage(src.mapInArrow(_chunks, f"chunk long, k int, w long, pack binary, docs array<{kind}>, sizes array<int>, numbers binary, to_ctx binary"), "lm-chunks")
-    asked = rows.where("w IS NOT NULL")
-    state = stage(asked.select("w", "pack").repartition("w").sortWithinPartitions("w").mapInArrow(_merge, _STATE), "lm-state")
-    totals = _totals(state, strength, root_strength)
+    texts = stage(src.mapInArrow(_chunks, f"chunk long, docs array<{kind}>, sizes array<int>, learn binary, words binary, numbers binary"), "lm-chunks")
+    asked = texts.drop("docs").mapInArrow(_ask, "bucket int, chunk long, keys binary, n binary")
+    counted = stage(asked.groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, c binary, own binary, places binary"), "lm-counts")
+    report = stage(
+        texts.groupBy("chunk").cogroup(counted.select("chunk", "bucket", "c", "own").groupBy("chunk")).applyInArrow(_report, "pair boolean, w long, ctx long, c long, once long, ctx_once long"), "lm-report"
+    )
+    sums = report.where("NOT pair").groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "once", "ctx_once")])
+    pairs = stage(report.where("pair").select("w", "ctx", "c", F.lit(1).alias("nt"), F.array().cast("array<int>").alias("kept")), "lm-pairs")
+    none = {"seen_tables": F.array().cast("array<long>"), "seen_parent": F.array().cast("array<double>")}
+    words = stage(_seated(sums, pairs).withColumns({"root": F.least("seats", F.lit(1)).cast("long"), **none}), "lm-words")
+    drop(report)
+    # discounts: n1 / (n1 + 2 n2), of pairs, and of words by their contexts; every pair is at one table yet
+    n1, m1, m2 = (x or 0 for x in words.agg(F.sum("once"), F.count_if(F.col("seats") == 1), F.count_if(F.col("seats") == 2)).first())
+    n2 = pairs.where("c = 2").count()
+    discounts = _between(n1 / max(n1 + 2 * n2, 1)), _between(m1 / max(m1 + 2 * m2, 1))
+    totals = _totals(words, strength, root_strength, discounts)
+
+    def parent(now: Totals) -> Column:
+        return (F.col("seats") - now.root_discount * F.col("root") + now.root_new()) / (now.root_strength + now.all_tables)
+
+    def seen(words: DataFrame, now: Totals) -> DataFrame:
+        return words.withColumns({"seen_tables": F.array_append("seen_tables", F.col("tables")), "seen_parent": F.array_append("seen_parent", parent(now))})
+
     for s in range(sweeps):
-        now, keep, number = totals, s >= burn_in, s
+        now, number = totals, s
+        old_words = words
+        if s >= burn_in:
+            words, kept = seen(words, now), F.array_append("kept", F.col("nt"))
+        else:
+            kept = F.col("kept")
 
-        def sweep(source: Iterator[pa.RecordBatch], now=now, keep=keep, number=number) -> Iterator[pa.RecordBatch]:
-            rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
+        def reseat(source: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
+            salt = T.mix(np.array([(seed << 20) + number], np.uint64))
             for batch in source:
-                yield _sweep(batch, now, keep, rng)
+                w, ctx, c, back, up = (batch.column(x).to_numpy() for x in ("w", "ctx", "c", "tables", "parent"))
+                chance = (T.mix(_key(ctx.view(np.uint64), w.view(np.uint64)) ^ salt) >> np.uint64(11)) * 2.0**-53
+                nt = draw_tables(c, (now.strength + now.discount * back) * up, now.discount, chance)
+                yield pa.record_batch([batch.column("w"), batch.column("ctx"), batch.column("c"), pa.array(nt.astype(np.int32)), batch.column("kept")], names=["w", "ctx", "c", "nt", "kept"])
 
-        new = stage(state.mapInArrow(sweep, _STATE), "lm-state")
-        drop(state)
-        state = new
-        sums = _totals(state, strength, root_strength)
-        totals = Totals(**{**vars(sums), "discount": totals.discount, "root_discount": totals.root_discount})
+        def root(source: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
+            salt = T.mix(np.array([(seed << 20) + number], np.uint64))
+            for batch in source:
+                chance = (T.mix(batch.column("w").to_numpy().view(np.uint64) ^ salt) >> np.uint64(11)) * 2.0**-53
+                seats = batch.column("seats").to_numpy()
+                new = draw_tables(seats, np.full(len(seats), now.root_new()), now.root_discount, chance)
+                yield batch.set_column(batch.schema.get_field_index("root"), "root", pa.array(new))
+
+        joined = pairs.withColumn("kept", kept).join(words.select("w", parent(now).alias("parent")), "w").join(words.select(F.col("w").alias("ctx"), "tables"), "ctx")
+        new_pairs = stage(joined.select("w", "ctx", "c", "kept", "tables", "parent").mapInArrow(reseat, pairs.schema), "lm-pairs")
+        moved = _seated(words.drop("seats", "tables"), new_pairs)
+        new_words = stage(moved.mapInArrow(root, moved.schema), "lm-words")
+        drop(pairs)
+        drop(old_words)
+        pairs, words = new_pairs, new_words
+        totals = _totals(words, strength, root_strength, discounts)
     last, samples = totals, max(sweeps - burn_in, 0) + 1
+    model = seen(words, last).select("w", "c", "seen_tables", "seen_parent")
+
+    def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            key = _key(*(batch.column(x).to_numpy().view(np.uint64) for x in ("ctx", "w")))
+            yield pa.record_batch([pa.array((key >> _SHIFT).astype(np.int32)), pa.array(key.view(np.int64)), batch.column("kept")], names=["bucket", "key", "kept"])
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each chunk the tables of its pairs counted twice or more, sample by sample."""
+        order = np.argsort(right["key"].to_numpy().view(np.uint64))
+        kept = np.concatenate([np.zeros(0, np.int32), *(_flat(x)[0] for x in right["kept"].chunks)]).reshape(-1, samples)[order]
+        nt = [_small(kept[_unsplit(x.as_buffer(), "<u4")].T.ravel()) for x in left["places"]]
+        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "c": left["c"], "nt": pa.array(nt, pa.binary())})
+
+    by_key = pairs.select("w", "ctx", F.array_append("kept", F.col("nt")).alias("kept")).mapInArrow(keyed, "bucket int, key long, kept array<int>")
+    of_pairs = counted.select("bucket", "chunk", "c", "places").groupBy("bucket").cogroup(by_key.groupBy("bucket")).applyInArrow(tell, "chunk long, bucket int, c binary, nt binary")
 
-    def answers(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def names(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            ctx, sizes = _flat(batch.column("ctxs"))
-            c, _ = _flat(batch.column("c"))
-            nt, _ = _flat(batch.column("nt"))
-            psum, _ = _flat(batch.column("psum"))
-            parent = last.parent(_group_sums(nt, sizes), batch.column("root").to_numpy())
-            p = (psum + last.predict(ctx, c, nt, np.repeat(parent, sizes))) / samples
-            yield pa.record_batch([batch.column("w"), batch.column("ctxs"), pa.array(_group_sums(c, sizes)), _lists(_offsets(sizes), np.log10(p).astype(np.float32))], names=["w", "known", "c", "logp"])
-
-    model = stage(state.mapInArrow(answers, "w long, known array<short>, c long, logp array<float>"), "lm-model")
-    drop(state)
-
-    def pick(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a word's answers those for the contexts that a chunk asked for; a chunk's words together, batch by batch."""
+            for number, raw in zip(batch.column("chunk").to_pylist(), batch.column("words")):
+                word = np.frombuffer(raw.as_buffer(), np.int64)
+                for a in range(0, len(word), 1 << 16):
+                    some = word[a : a + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(some), number)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(some)], names=["chunk", "k", "w"])
+
+    def gather(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's words together, batch by batch."""
         for batch in source:
-            raw, offs = T.flat_bytes(batch.column("want"))
-            want, sizes = raw.view("<u2").astype(np.int64), np.diff(offs) // 2
-            known, per = _flat(batch.column("known"))
-            logp, _ = _flat(batch.column("logp"))
-            keys = np.repeat(np.arange(len(per), dtype=np.int64), per) * _SPAN + known
-            logp = logp[np.searchsorted(keys, np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * _SPAN + want)]
             chunk = batch.column("chunk").to_numpy()
             order = np.argsort(chunk, kind="stable")
-            names, first = np.unique(chunk[order], return_index=True)
+            number, first = np.unique(chunk[order], return_index=True)
             offs = np.append(first, len(order))
-            pairs = _reorder(_offsets(sizes), order)
+            tables, up = (_flat(batch.column(x))[0].reshape(-1, samples)[order] for x in ("seen_tables", "seen_parent"))
             yield pa.record_batch(
-                [pa.array(names), *[_lists(offs, x[order]) for x in (batch.column("k").to_numpy(), batch.column("c").to_numpy(), sizes.astype(np.int16))], _planes(np.round(-logp[pairs] * _STEPS).astype(np.int64), _offsets(sizes[order])[offs])],
-                names=["chunk", "k", "c", "sizes", "logp"],
+                [pa.array(number), *[_lists(offs, batch.column(x).to_numpy()[order]) for x in ("k", "c")], *[_lists(offs * samples, x.ravel()) for x in (tables, up)]],
+                names=["chunk", "k", "count", "tables", "parent"],
             )
 
-    # of a pack the contexts only: two bytes each, after the flag
-    pairs_in = "((length(pack) - 1) div if(substring(pack, 1, 1) = X'00', 3, 6))"
-    wanted = asked.select("chunk", "k", "w", F.expr(f"substring(pack, 2, 2 * {pairs_in})").alias("want"))
-    told = wanted.join(model, "w").select("chunk", "k", "want", "known", "c", "logp").mapInArrow(pick, "chunk long, k array<int>, c array<long>, sizes array<short>, logp binary")
+    lists = "chunk long, k array<int>, count array<long>, tables array<long>, parent array<double>"
+    of_words = texts.select("chunk", "words").mapInArrow(names, "chunk long, k int, w long").join(model, "w").select("chunk", "k", "c", "seen_tables", "seen_parent").mapInArrow(gather, lists)
+    told = of_pairs.unionByName(of_words, allowMissingColumns=True)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        k, c, sizes = (_flat(right[x].combine_chunks())[0] for x in ("k", "c", "sizes"))
-        logp = np.concatenate([_unplanes(x.as_buffer()) for x in right["logp"]]) / -_STEPS
+        text, bucket = _Texts(left), right["bucket"].is_valid()
+        of_pair, of_word = right.filter(bucket).sort_by("bucket"), right.filter(pc.invert(bucket))
+        k, count, tables, up = (np.concatenate([_flat(x)[0] for x in of_word[name].chunks]) for name in ("k", "count", "tables", "parent"))
         order = np.argsort(k)
-        logp, c = logp[_reorder(_offsets(sizes.astype(np.int64)), order)], np.repeat(c[order], sizes[order])
-        size, _ = _flat(left["sizes"].combine_chunks())
-        words = _unsqueeze(left["numbers"][0].as_py(), int(size.sum()))
-        _, pairs = np.unique(words * np.int64(_SPAN) + _contexts(_unsqueeze(left["to_ctx"][0].as_py(), len(k)), words, size), return_inverse=True)
-        begin = np.cumsum(size) - size
-        base = np.log10((c + 1) / (last.tokens + last.words + 1))
-        total = lambda x: np.add.reduceat(x[pairs], begin)
+        count, tables, up = count[order], tables.reshape(-1, samples)[order], up.reshape(-1, samples)[order]
+        c = _column(of_pair, "c").astype(np.int64)
+        drawn = np.concatenate([np.zeros((samples, 0), np.int64), *(_unsplit(x.as_buffer(), "<u4").reshape(samples, -1) for x in of_pair["nt"])], axis=1)
+        p = np.zeros(len(c))
+        for s in range(samples):
+            here = Totals(count, tables[:, s], last.tokens, last.words, last.root_tables, last.discount, last.root_discount, strength, root_strength)
+            nt = c.copy()
+            nt[c > 1] = drawn[s]
+            p += here.predict(text.ctx, c, nt, up[text.w, s])
+        total = lambda x: np.add.reduceat(x, text.begin)
+        base = np.log10((count + 1) / (last.tokens + last.words + 1))
         return pa.table(
-            {"doc": left["docs"].combine_chunks().flatten(), "n_tokens": size.astype(np.int64), "n_known": total((c > 0).astype(np.int64)), "train_tokens": np.full(len(size), last.tokens), "base_score": total(base), "score": total(logp.astype(np.float64))}
+            {
+                "doc": left["docs"].combine_chunks().flatten(),
+                "n_tokens": text.size,
+                "n_known": total((count > 0).astype(np.int64)[text.tokens]),
+                "train_tokens": np.full(len(text.size), last.tokens),
+                "base_score": total(base[text.tokens]),
+                "score": total(np.log10(p / samples)[text.of]),
+            }
         )
 
-    texts = rows.where("w IS NULL").select("chunk", "docs", "sizes", "numbers", "to_ctx")
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add_up, f"doc {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

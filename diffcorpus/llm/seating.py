@@ -137,14 +137,16 @@ def _chances(c: int, new: float, discount: float) -> tuple[int, np.ndarray]:
     return first, np.maximum(weight, 0)
 
 
-def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator | np.ndarray) -> np.ndarray:
     """Numbers of tables after every customer of every group is reseated, a new table having the weight ``new``.
 
     The seatings of a group have the weight ``new ** tables`` times, for a table
     of s, ``(1 - discount)(2 - discount)...(s - 1 - discount)``: what single
     Gibbs moves converge to.  The number of tables is drawn from just that, for
     groups up to ``EXACT`` by their recursion, for larger ones by ``_chances``.
+    ``rng`` may be one number from 0 to 1 for each group instead.
     """
+    chance = rng if isinstance(rng, np.ndarray) else rng.random(len(customers))
     out = np.minimum(customers, 1).astype(np.int64)
     small = np.flatnonzero((customers > 1) & (customers <= EXACT))
     small = small[np.argsort(customers[small], kind="stable")]
@@ -156,9 +158,9 @@ def draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np
             at = small[k : min(k + step, b)]
             weight = np.log(new[at])[:, None] * t + _arrangements(discount)[c]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            out[at] = 1 + (weight[:, :-1] <= (rng.random(len(at)) * weight[:, -1])[:, None]).sum(axis=1)
+            out[at] = 1 + (weight[:, :-1] <= (chance[at] * weight[:, -1])[:, None]).sum(axis=1)
     for k in np.flatnonzero(customers > EXACT):
         least, weight = _chances(int(customers[k]), float(new[k]), discount)
         weight = np.cumsum(weight)
-        out[k] = least + np.searchsorted(weight, rng.random() * weight[-1], side="right")
+        out[k] = least + min(np.searchsorted(weight, chance[k] * weight[-1], side="right"), len(weight) - 1)
     return out
