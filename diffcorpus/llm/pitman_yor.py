@@ -11,10 +11,11 @@ Layout: texts are cut into chunks of about ``CHUNK`` tokens.  A chunk sends the
 64-bit keys of its distinct (word, context) pairs to ``BUCKETS`` parts, where
 they are counted over all chunks; one chunk of those that have a pair reports
 it.  A pair counted once has one table whatever the sweep, so it goes into sums
-by word and by context; pairs counted more often are rows of a table.  A sweep
-joins that table with its words' weight in the parent and its contexts' tables,
-both from the table of words.  Tables of pairs, and of words with their
-restaurants' totals, then go back by chunk, where the tokens wait as indexes.
+by word and by context, which a chunk sends by parts of the words' hashes; pairs
+counted more often are rows of a table.  A sweep joins that table with its words'
+weight in the parent and its contexts' tables, both from the table of words.
+Tables of pairs, and of words with their restaurants' totals, then meet the
+chunks' keys part by part and go back by chunk, where the tokens wait as indexes.
 Nothing that grows with the words or the contexts is in one row or on the driver.
 """
 
@@ -25,14 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
 from .seating import draw_tables
-from .stages import drop, stage
+from .stages import drop, drop_shuffles, stage
 
 CHUNK = 5 << 20
 #: Places of a vector of contexts (``_sweep``, ``_pack``); the model of ``score`` has a restaurant for every word.
@@ -41,9 +41,13 @@ _SPAN = 2 * CONTEXTS  # above any context number, for (word, context) keys
 #: The end of a text, as a word of its own.
 _END = np.uint64(0x5EED0E0F7E875A11)
 
-#: Parts that the keys of pairs are dealt to; a part's pairs are counted in one task.
+#: Parts that the keys of pairs, and the hashes of words, are dealt to; what is in a part is counted in one task.
 BUCKETS = 1 << 10
 _SHIFT = np.uint64(54)
+#: Pairs of a chunk that are hashed, or predicted, at a time.
+BLOCK = 1 << 18
+#: Rows of the model that go into parcels together.
+PARCEL = 1 << 20
 
 
 @dataclass
@@ -132,7 +136,7 @@ def _unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _squeeze(numbers: np.ndarray) -> bytes:
     """Compressed int32, its four bytes in planes."""
-    return pa.Codec("zstd", compression_level=9).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
 
 def _unsqueeze(raw: bytes, n: int) -> np.ndarray:
@@ -147,7 +151,9 @@ def _chunk(docs: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarra
     is_end[np.cumsum(size) - 1] = True
     tokens = np.full(total, _END, dtype=np.uint64)
     tokens[~is_end] = np.concatenate(hashes)
-    word, of_word, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    coded = pa.array(tokens).dictionary_encode()
+    word, of_word = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    often = np.bincount(of_word)
     number_of = np.empty(len(word), dtype=np.int32)
     by_count = np.argsort(-often, kind="stable")
     number_of[by_count] = np.arange(len(word))
@@ -159,12 +165,30 @@ def _chunk(docs: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarra
             _lists(np.array([0, len(size)]), size.astype(np.int32)),
             pa.array([np.concatenate(learn).astype(np.uint8).tobytes()], pa.binary()),
             pa.array([word[by_count].tobytes()], pa.binary()),
-            pa.array([_squeeze(number_of[of_word.ravel()])], pa.binary()),
+            pa.array([_squeeze(number_of[of_word])], pa.binary()),
         ],
         names=["chunk", "docs", "sizes", "learn", "words", "numbers"],
     )
 
 
+def _distinct(numbers: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and of each number its place there; ``numbers`` are overwritten, and sorted with their places where both fit 63 bits."""
+    shift = len(numbers).bit_length()
+    if below << shift >= 1 << 63:
+        values, of = np.unique(numbers, return_inverse=True)
+        return values, of.ravel()
+    numbers <<= shift
+    numbers |= np.arange(len(numbers))
+    numbers.sort()
+    at = numbers & ((1 << shift) - 1)
+    numbers >>= shift
+    first = np.ones(len(numbers), dtype=bool)
+    first[1:] = numbers[1:] != numbers[:-1]
+    of = np.empty(len(numbers), dtype=np.int32)
+    of[at] = np.cumsum(first, dtype=np.int32) - 1
+    return numbers[first], of
+
+
 class _Texts:
     """A chunk's row read back: its tokens, and its distinct pairs in the order of their keys."""
 
@@ -173,18 +197,26 @@ class _Texts:
         self.size = _flat(row["sizes"].combine_chunks())[0].astype(np.int64)
         self.word = np.frombuffer(row["words"][0].as_py(), np.uint64)
         self.tokens = _unsqueeze(row["numbers"][0].as_py(), int(self.size.sum()))
-        self.learn = np.repeat(np.frombuffer(row["learn"][0].as_py(), np.uint8), self.size)
+        self.learn = np.repeat(np.frombuffer(row["learn"][0].as_py(), np.uint8) > 0, self.size)
         self.begin = np.cumsum(self.size) - self.size
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.begin] = np.flatnonzero(self.word == _END)[0]  # a text begins after an end
-        pair, of = np.unique(self.tokens * np.int64(len(self.word)) + before, return_inverse=True)
-        w, ctx = pair // len(self.word), pair % len(self.word)
-        key = _key(self.word[ctx], self.word[w])
+        pair = self.tokens.astype(np.int64)
+        pair *= len(self.word)
+        pair += before
+        del before
+        pair, of = _distinct(pair, len(self.word) ** 2)
+        w, ctx, key = np.empty(len(pair), np.int32), np.empty(len(pair), np.int32), np.empty(len(pair), np.uint64)
+        for a in range(0, len(pair), BLOCK):
+            some = slice(a, a + BLOCK)
+            w[some], ctx[some] = np.divmod(pair[some], len(self.word))
+            key[some] = _key(self.word[ctx[some]], self.word[w[some]])
+        del pair
         order = np.argsort(key)
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.of, self.key, self.w, self.ctx = place[of.ravel()], key[order], w[order], ctx[order]
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.of, self.key, self.w, self.ctx = place[of], key[order], w[order], ctx[order]
 
 
 def _key(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -209,6 +241,30 @@ def _column(rows: pa.Table, name: str, kind: str = "<u4") -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_unsplit(x.as_buffer(), kind) for x in rows[name] if x.is_valid)])
 
 
+def _samples(rows: pa.Table, name: str, kind: str, samples: int) -> np.ndarray:
+    """The numbers of each sample in a row of their own."""
+    return np.concatenate([np.zeros((samples, 0), kind), *(_unsplit(x.as_buffer(), kind).reshape(samples, -1) for x in rows[name] if x.is_valid)], axis=1)
+
+
+def _cuts(keys: np.ndarray) -> tuple[pa.Array, list[slice]]:
+    """The buckets that have some of the keys, which are in order, and where."""
+    cut = np.searchsorted(keys >> _SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
+    have = np.flatnonzero(np.diff(cut))
+    return pa.array(have.astype(np.int32)), [slice(cut[b], cut[b + 1]) for b in have]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return _split(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(rows: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(_unsplit(x.as_buffer(), "<u8"), dtype=np.uint64) for x in rows["keys"]]
+
+
+def _binary(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
 def _each(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Texts]]:
     for batch in source:
         for i in range(batch.num_rows):
@@ -219,19 +275,17 @@ def _each(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Texts]]:
 def _ask(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk and bucket of keys: keys in order, as steps, and how often each pair is learnt."""
     for number, texts in _each(source):
-        n = np.bincount(texts.of, weights=texts.learn, minlength=len(texts.key))
-        cut = np.searchsorted(texts.key >> _SHIFT, np.arange(BUCKETS + 1, dtype=np.uint64))
-        have = np.flatnonzero(np.diff(cut))
-        step = [_split(np.diff(texts.key[cut[b] : cut[b + 1]], prepend=np.uint64(0))) for b in have]
+        n = np.bincount(texts.of[texts.learn], minlength=len(texts.key))
+        bucket, at = _cuts(texts.key)
         yield pa.record_batch(
-            [pa.array(have.astype(np.int32)), pa.array(np.full(len(have), number)), pa.array(step, pa.binary()), pa.array([_small(n[cut[b] : cut[b + 1]]) for b in have], pa.binary())],
+            [bucket, pa.array(np.full(len(at), number)), _binary([_steps(texts.key[x]) for x in at]), _binary([_small(n[x]) for x in at])],
             names=["bucket", "chunk", "keys", "n"],
         )
 
 
 def _count(asked: pa.Table) -> pa.Table:
     """A bucket: for each chunk the whole counts of its pairs, which of them it is to report, and the places of those counted twice or more."""
-    keys = [np.cumsum(_unsplit(x.as_buffer(), "<u8"), dtype=np.uint64) for x in asked["keys"]]
+    keys = _keys(asked)
     _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     c = np.bincount(at.ravel(), weights=_column(asked, "n")).astype(np.int64)
     place = np.cumsum(c > 1) - 1
@@ -248,27 +302,66 @@ def _count(asked: pa.Table) -> pa.Table:
 
 
 def _report(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's words, with their counts and the pairs counted once by word and by context; and the pairs counted more often."""
+    """A chunk's words by bucket of their hashes, with their counts and the pairs counted once by word and by context; and the pairs counted more often."""
     texts, right = _Texts(left), right.sort_by("bucket")
     c = _column(right, "c").astype(np.int64)
     own = _column(right, "own", "u1") > 0
     words, once, more = len(texts.word), np.flatnonzero(own & (c == 1)), np.flatnonzero(own & (c > 1))
-    tally = np.bincount(texts.tokens, weights=texts.learn, minlength=words)
-    none = np.zeros(len(more), dtype=np.int64)
-    whole = lambda x, y: pa.array(np.concatenate((x.astype(np.int64), y.astype(np.int64))))
+    order = np.argsort(texts.word)
+    bucket, at = _cuts(texts.word[order])
+    by_word = {
+        "n": np.bincount(texts.tokens[texts.learn], minlength=words),
+        "once": np.bincount(texts.w[once], minlength=words),
+        "ctx_once": np.bincount(texts.ctx[once], minlength=words),
+    }
     hashes = texts.word.view(np.int64)
-    return pa.table(
-        {
-            "pair": pa.array(np.arange(words + len(more)) >= words),
-            "w": whole(hashes, hashes[texts.w[more]]),
-            "ctx": whole(np.zeros(words), hashes[texts.ctx[more]]),
-            "c": whole(tally, c[more]),
-            "once": whole(np.bincount(texts.w[once], minlength=words), none),
-            "ctx_once": whole(np.bincount(texts.ctx[once], minlength=words), none),
-        }
+    return pa.concat_tables(
+        [
+            pa.table({"bucket": bucket, "keys": _binary([_steps(texts.word[order[x]]) for x in at]), **{k: _binary([_small(v[order[x]]) for x in at]) for k, v in by_word.items()}}),
+            pa.table({"w": hashes[texts.w[more]], "ctx": hashes[texts.ctx[more]], "c": c[more]}),
+        ],
+        promote_options="default",
     )
 
 
+def _sum_words(told: pa.Table) -> pa.Table:
+    """A bucket of words: their counts over all chunks."""
+    w, at = np.unique(np.concatenate(_keys(told)), return_inverse=True)
+    total = lambda x: np.bincount(at.ravel(), weights=_column(told, x)).astype(np.int64)
+    return pa.table({"w": w.view(np.int64), "c": total("n"), "once": total("once"), "ctx_once": total("ctx_once")})
+
+
+def _ask_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and bucket of words: their hashes in order, as steps."""
+    for batch in source:
+        for number, raw in zip(batch.column("chunk").to_pylist(), batch.column("words")):
+            word = np.sort(np.frombuffer(raw.as_buffer(), np.uint64))
+            bucket, at = _cuts(word)
+            yield pa.record_batch([bucket, pa.array(np.full(len(at), number)), _binary([_steps(word[x]) for x in at])], names=["bucket", "chunk", "keys"])
+
+
+def _parcels(source: Iterator[pa.RecordBatch], key: list[str], lists: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    """Rows of a word or pair by bucket: keys in order, as steps, and each list of columns one column after the other."""
+
+    def parcel(rows: pa.Table) -> pa.RecordBatch:
+        of = [rows[x].to_numpy().view(np.uint64) for x in key]
+        keys = of[0] if len(of) == 1 else _key(*of)
+        order = np.argsort(keys)
+        keys = keys[order]
+        bucket, at = _cuts(keys)
+        values = {name: np.stack([rows[x].to_numpy()[order] for x in columns]) for name, columns in lists.items()}
+        return pa.record_batch([bucket, _binary([_steps(keys[x]) for x in at]), *[_binary([_split(v[:, x].ravel()) for x in at]) for v in values.values()]], names=["bucket", "keys", *lists])
+
+    held: list[pa.RecordBatch] = []
+    for batch in source:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= PARCEL:
+            yield parcel(pa.Table.from_batches(held))
+            held = []
+    if sum(x.num_rows for x in held):
+        yield parcel(pa.Table.from_batches(held))
+
+
 def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, held = TaskContext.get().partitionId() << 32, 0
     docs, hashes, sizes, learn = [], [], [], []
@@ -317,7 +410,7 @@ def _seated(words: DataFrame, pairs: DataFrame) -> DataFrame:
     of = pairs.select("w", F.col("nt").alias("_w"), F.lit(0).alias("_ctx")).unionAll(pairs.select("ctx", F.lit(0), "nt"))
     sums = of.groupBy("w").agg(F.sum("_w").alias("_w"), F.sum("_ctx").alias("_ctx"))
     more = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return words.join(sums, "w", "left").withColumns({"seats": F.col("once") + more("_w"), "tables": F.col("ctx_once") + more("_ctx")}).drop("_w", "_ctx")
+    return words.join(sums.hint("shuffle_hash"), "w", "left").withColumns({"seats": F.col("once") + more("_w"), "tables": F.col("ctx_once") + more("_ctx")}).drop("_w", "_ctx")
 
 
 def _totals(words: DataFrame, strength: float, root_strength: float, discounts: tuple[float, float]) -> Totals:
@@ -348,14 +441,13 @@ def score(
     texts = stage(src.mapInArrow(_chunks, f"chunk long, docs array<{kind}>, sizes array<int>, learn binary, words binary, numbers binary"), "lm-chunks")
     asked = texts.drop("docs").mapInArrow(_ask, "bucket int, chunk long, keys binary, n binary")
     counted = stage(asked.groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, c binary, own binary, places binary"), "lm-counts")
-    report = stage(
-        texts.groupBy("chunk").cogroup(counted.select("chunk", "bucket", "c", "own").groupBy("chunk")).applyInArrow(_report, "pair boolean, w long, ctx long, c long, once long, ctx_once long"), "lm-report"
-    )
-    sums = report.where("NOT pair").groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "once", "ctx_once")])
-    pairs = stage(report.where("pair").select("w", "ctx", "c", F.lit(1).alias("nt"), F.array().cast("array<int>").alias("kept")), "lm-pairs")
-    none = {"seen_tables": F.array().cast("array<long>"), "seen_parent": F.array().cast("array<double>")}
-    words = stage(_seated(sums, pairs).withColumns({"root": F.least("seats", F.lit(1)).cast("long"), **none}), "lm-words")
-    drop(report)
+    drop_shuffles(docs.sparkSession)
+    told = "bucket int, keys binary, n binary, once binary, ctx_once binary, w long, ctx long, c long"
+    report = stage(texts.groupBy("chunk").cogroup(counted.select("chunk", "bucket", "c", "own").groupBy("chunk")).applyInArrow(_report, told), "lm-report")
+    sums = report.where("w IS NULL").select("bucket", "keys", "n", "once", "ctx_once").groupBy("bucket").applyInArrow(_sum_words, "w long, c long, once long, ctx_once long")
+    pairs, written = report.where("w IS NOT NULL").select("w", "ctx", "c", F.lit(1).alias("nt")), report
+    words = stage(_seated(sums, pairs).withColumn("root", F.least("seats", F.lit(1)).cast("long")), "lm-words")
+    drop_shuffles(docs.sparkSession)
     # discounts: n1 / (n1 + 2 n2), of pairs, and of words by their contexts; every pair is at one table yet
     n1, m1, m2 = (x or 0 for x in words.agg(F.sum("once"), F.count_if(F.col("seats") == 1), F.count_if(F.col("seats") == 2)).first())
     n2 = pairs.where("c = 2").count()
@@ -365,24 +457,23 @@ def score(
     def parent(now: Totals) -> Column:
         return (F.col("seats") - now.root_discount * F.col("root") + now.root_new()) / (now.root_strength + now.all_tables)
 
-    def seen(words: DataFrame, now: Totals) -> DataFrame:
-        return words.withColumns({"seen_tables": F.array_append("seen_tables", F.col("tables")), "seen_parent": F.array_append("seen_parent", parent(now))})
-
+    kept: list[str] = []
     for s in range(sweeps):
         now, number = totals, s
-        old_words = words
+        old_words, old_pairs = words, written
         if s >= burn_in:
-            words, kept = seen(words, now), F.array_append("kept", F.col("nt"))
-        else:
-            kept = F.col("kept")
+            kept = [*kept, str(s)]
+            words = words.withColumns({f"tables{s}": F.col("tables"), f"parent{s}": parent(now)})
+            pairs = pairs.withColumn(f"nt{s}", F.col("nt"))
+        columns = ["w", "ctx", "c", *(f"nt{k}" for k in kept)]
 
-        def reseat(source: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
+        def reseat(source: Iterator[pa.RecordBatch], now=now, number=number, columns=columns) -> Iterator[pa.RecordBatch]:
             salt = T.mix(np.array([(seed << 20) + number], np.uint64))
             for batch in source:
                 w, ctx, c, back, up = (batch.column(x).to_numpy() for x in ("w", "ctx", "c", "tables", "parent"))
                 chance = (T.mix(_key(ctx.view(np.uint64), w.view(np.uint64)) ^ salt) >> np.uint64(11)) * 2.0**-53
                 nt = draw_tables(c, (now.strength + now.discount * back) * up, now.discount, chance)
-                yield pa.record_batch([batch.column("w"), batch.column("ctx"), batch.column("c"), pa.array(nt.astype(np.int32)), batch.column("kept")], names=["w", "ctx", "c", "nt", "kept"])
+                yield pa.record_batch([*(batch.column(x) for x in columns), pa.array(nt.astype(np.int32))], names=[*columns, "nt"])
 
         def root(source: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
             salt = T.mix(np.array([(seed << 20) + number], np.uint64))
@@ -392,71 +483,58 @@ def score(
                 new = draw_tables(seats, np.full(len(seats), now.root_new()), now.root_discount, chance)
                 yield batch.set_column(batch.schema.get_field_index("root"), "root", pa.array(new))
 
-        joined = pairs.withColumn("kept", kept).join(words.select("w", parent(now).alias("parent")), "w").join(words.select(F.col("w").alias("ctx"), "tables"), "ctx")
-        new_pairs = stage(joined.select("w", "ctx", "c", "kept", "tables", "parent").mapInArrow(reseat, pairs.schema), "lm-pairs")
-        moved = _seated(words.drop("seats", "tables"), new_pairs)
-        new_words = stage(moved.mapInArrow(root, moved.schema), "lm-words")
-        drop(pairs)
+        up, back = words.select("w", parent(now).alias("parent")), words.select(F.col("w").alias("ctx"), "tables")
+        joined = pairs.drop("nt").join(up.hint("shuffle_hash"), "w").join(back.hint("shuffle_hash"), "ctx")
+        pairs = written = stage(joined.mapInArrow(reseat, pairs.select(*columns, "nt").schema), "lm-pairs")
+        moved = _seated(words.drop("seats", "tables"), pairs)
+        words = stage(moved.mapInArrow(root, moved.schema), "lm-words")
+        drop(old_pairs)
         drop(old_words)
-        pairs, words = new_pairs, new_words
         totals = _totals(words, strength, root_strength, discounts)
-    last, samples = totals, max(sweeps - burn_in, 0) + 1
-    model = seen(words, last).select("w", "c", "seen_tables", "seen_parent")
-
-    def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            key = _key(*(batch.column(x).to_numpy().view(np.uint64) for x in ("ctx", "w")))
-            yield pa.record_batch([pa.array((key >> _SHIFT).astype(np.int32)), pa.array(key.view(np.int64)), batch.column("kept")], names=["bucket", "key", "kept"])
+    last, samples = totals, len(kept) + 1
+    model = words.select("w", "c", *(f"tables{k}" for k in kept), "tables", *(f"parent{k}" for k in kept), parent(last).alias("parent"))
+    of = lambda x: [*(f"{x}{k}" for k in kept), x]
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         """For each chunk the tables of its pairs counted twice or more, sample by sample."""
-        order = np.argsort(right["key"].to_numpy().view(np.uint64))
-        kept = np.concatenate([np.zeros(0, np.int32), *(_flat(x)[0] for x in right["kept"].chunks)]).reshape(-1, samples)[order]
-        nt = [_small(kept[_unsplit(x.as_buffer(), "<u4")].T.ravel()) for x in left["places"]]
-        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "c": left["c"], "nt": pa.array(nt, pa.binary())})
-
-    by_key = pairs.select("w", "ctx", F.array_append("kept", F.col("nt")).alias("kept")).mapInArrow(keyed, "bucket int, key long, kept array<int>")
+        order = np.argsort(np.concatenate([np.zeros(0, np.uint64), *_keys(right)]))
+        drawn = _samples(right, "nt", "<u4", samples)[:, order]
+        nt = [_small(drawn[:, _unsplit(x.as_buffer(), "<u4")].ravel()) for x in left["places"]]
+        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "c": left["c"], "nt": _binary(nt)})
+
+    def tell_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each chunk the counts of its words, and sample by sample the tables after them and their weights in the parent."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *_keys(right)])
+        order = np.argsort(keys)
+        at = [order[np.searchsorted(keys, x, sorter=order)] for x in _keys(left)]
+        table = {"chunk": left["chunk"], "bucket": left["bucket"]}
+        for name, kind, rows in (("count", "<i8", 1), ("tables", "<i8", samples), ("parent", "<f8", samples)):
+            values = _samples(right, name, kind, rows)
+            table[name] = _binary([_split(values[:, x].ravel()) for x in at])
+        return pa.table(table)
+
+    by_key = pairs.mapInArrow(lambda x: _parcels(x, ["ctx", "w"], {"nt": of("nt")}), "bucket int, keys binary, nt binary")
+    by_word = model.mapInArrow(lambda x: _parcels(x, ["w"], {"count": ["c"], "tables": of("tables"), "parent": of("parent")}), "bucket int, keys binary, count binary, tables binary, parent binary")
     of_pairs = counted.select("bucket", "chunk", "c", "places").groupBy("bucket").cogroup(by_key.groupBy("bucket")).applyInArrow(tell, "chunk long, bucket int, c binary, nt binary")
-
-    def names(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for number, raw in zip(batch.column("chunk").to_pylist(), batch.column("words")):
-                word = np.frombuffer(raw.as_buffer(), np.int64)
-                for a in range(0, len(word), 1 << 16):
-                    some = word[a : a + (1 << 16)]
-                    yield pa.record_batch([pa.array(np.full(len(some), number)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(some)], names=["chunk", "k", "w"])
-
-    def gather(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's words together, batch by batch."""
-        for batch in source:
-            chunk = batch.column("chunk").to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            number, first = np.unique(chunk[order], return_index=True)
-            offs = np.append(first, len(order))
-            tables, up = (_flat(batch.column(x))[0].reshape(-1, samples)[order] for x in ("seen_tables", "seen_parent"))
-            yield pa.record_batch(
-                [pa.array(number), *[_lists(offs, batch.column(x).to_numpy()[order]) for x in ("k", "c")], *[_lists(offs * samples, x.ravel()) for x in (tables, up)]],
-                names=["chunk", "k", "count", "tables", "parent"],
-            )
-
-    lists = "chunk long, k array<int>, count array<long>, tables array<long>, parent array<double>"
-    of_words = texts.select("chunk", "words").mapInArrow(names, "chunk long, k int, w long").join(model, "w").select("chunk", "k", "c", "seen_tables", "seen_parent").mapInArrow(gather, lists)
+    asked_words = texts.select("chunk", "words").mapInArrow(_ask_words, "bucket int, chunk long, keys binary")
+    of_words = asked_words.groupBy("bucket").cogroup(by_word.groupBy("bucket")).applyInArrow(tell_words, "chunk long, bucket int, count binary, tables binary, parent binary")
     told = of_pairs.unionByName(of_words, allowMissingColumns=True)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        text, bucket = _Texts(left), right["bucket"].is_valid()
-        of_pair, of_word = right.filter(bucket).sort_by("bucket"), right.filter(pc.invert(bucket))
-        k, count, tables, up = (np.concatenate([_flat(x)[0] for x in of_word[name].chunks]) for name in ("k", "count", "tables", "parent"))
-        order = np.argsort(k)
-        count, tables, up = count[order], tables.reshape(-1, samples)[order], up.reshape(-1, samples)[order]
-        c = _column(of_pair, "c").astype(np.int64)
-        drawn = np.concatenate([np.zeros((samples, 0), np.int64), *(_unsplit(x.as_buffer(), "<u4").reshape(samples, -1) for x in of_pair["nt"])], axis=1)
+        text, right = _Texts(left), right.sort_by("bucket")
+        order = np.argsort(text.word)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        count, tables, up = (_samples(right, name, kind, rows)[:, back] for name, kind, rows in (("count", "<i8", 1), ("tables", "<i8", samples), ("parent", "<f8", samples)))
+        count, c, drawn = count[0], _column(right, "c").astype(np.int64), _samples(right, "nt", "<u4", samples)
         p = np.zeros(len(c))
         for s in range(samples):
-            here = Totals(count, tables[:, s], last.tokens, last.words, last.root_tables, last.discount, last.root_discount, strength, root_strength)
+            here = Totals(count, tables[s], last.tokens, last.words, last.root_tables, last.discount, last.root_discount, strength, root_strength)
             nt = c.copy()
             nt[c > 1] = drawn[s]
-            p += here.predict(text.ctx, c, nt, up[text.w, s])
+            for a in range(0, len(p), BLOCK):
+                some = slice(a, a + BLOCK)
+                p[some] += here.predict(text.ctx[some], c[some], nt[some], up[s][text.w[some]])
         total = lambda x: np.add.reduceat(x, text.begin)
         base = np.log10((count + 1) / (last.tokens + last.words + 1))
         return pa.table(

@@ -27,15 +27,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Remove the files of a stage made by ``stage``; only when no later frame reads it.
-
-    The shuffles behind it go too: Spark's cleaner removes their files once the
-    JVM has collected the plans, which is asked for here as the driver's heap
-    may not fill for hours.
-    """
+    """Remove the files of a stage made by ``stage``, and the shuffles behind it; only when no later frame reads it."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Remove the files of shuffles that no plan uses any more.
+
+    Spark's cleaner does so once the JVM has collected the plans, which is
+    asked for here as the driver's heap may not fill for hours.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
